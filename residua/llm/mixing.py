@@ -15,7 +15,7 @@ SEED = "mix"
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size) -> (source, source_size, target).
+    """(source, source_size, ...) -> the same with target.
 
     Sources by code point, null last, weigh ``weights`` in turn. Targets share the sum of all sizes; a source stops at ``cap``
     times its size and what it can't take is shared by weight among the rest until none is above. That fixed point is
@@ -29,30 +29,34 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     before, rest, everything = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(F.lit(1))
     t = t.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
     t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"])
-    return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.lit(0.0))).alias("target"))
+    return t.select(*sizes.columns, F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.lit(0.0))).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` (doc_id, source, text or _size, any others) with _size, _source_size, _target and _copies.
 
-    Every document's expected number of copies is target / source size of its source. Within a source, documents stand by size,
-    then doc_id; the expected copies are summed up along that order, one offset in [0, 1) from the source's name and ``seed``
-    is added, and a document is emitted once for every whole number that the sum crosses at it. Standing by size makes the
-    sample follow the sizes, so the words taken differ from the target by no more than about the longest document.
+    Every document's expected number of copies is target / source size of its source. Within a source, documents stand by size
+    (ties by doc_id), first every other one upwards and then the rest downwards; the expected copies are summed up along that
+    order, one offset in [0, 1) from the source's name and ``seed`` is added, and a document is emitted once for every whole
+    number that the sum crosses at it. In that order the sample follows the sizes, and what an offset adds on the way up it takes
+    on the way down, so the words taken differ from the target by less than the longest document.
 
     Null text: size 0. Null source: a source of its own. A source without words has target 0. Rows equal in size and doc_id are
     interchangeable. Empty table: empty result.
     """
     t = docs if "_size" in docs.columns else docs.withColumn("_size", n_words(F.col("text")))
-    sums, _ = stored(targets(t.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, cap), "targets")
+    sums, _ = stored(targets(t.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, cap), "targets")
     ranked = grouped_rank(t, ["source"], [F.col("_size").asc(), F.col("doc_id").asc_nulls_first()], "_rank")
-    s = sums.toDF("_s", "_source_size", "_target")
+    s = sums.toDF("_s", "_source_size", "_n", "_target")
     j = ranked.join(bounded(s), F.col("source").eqNullSafe(F.col("_s")), "inner").drop("_s")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     j = j.withColumn("_u", u).withColumn("_rate", rate)
+    odd = F.col("_rank") % 2
+    half = F.floor(F.col("_rank") / 2).cast("long")
+    j = j.withColumn("_rank", F.when(odd == 0, half).otherwise(F.col("_n") - 1 - half))
     copies = F.floor((F.col("_rank") + 1) * F.col("_rate") + F.col("_u")) - F.floor(F.col("_rank") * F.col("_rate") + F.col("_u"))
-    return j.withColumn("_copies", copies.cast("long")).drop("_u", "_rate", "_rank")
+    return j.withColumn("_copies", copies.cast("long")).drop("_u", "_rate", "_rank", "_n")
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,16 +68,17 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS w FROM s),
 c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS full_at FROM w),
 l AS (SELECT *, ((SELECT sum(size) FROM d)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE level <= full_at ORDER BY full_at, level LIMIT 1) * w, 0)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS k,
+t AS (SELECT source, source_size, n, least(cap, coalesce((SELECT level FROM l WHERE level <= full_at ORDER BY full_at, level LIMIT 1) * w, 0)) AS target FROM l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.n, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS up,
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
   ('0x' || substr(md5('mix' || coalesce(':' || d.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, (floor((k + 1) * rate + u) - floor(k * rate + u))::BIGINT AS copies FROM r)
+p AS (SELECT *, CASE WHEN up % 2 = 0 THEN up // 2 ELSE n - 1 - up // 2 END AS k FROM r),
+x AS (SELECT *, (floor((k + 1) * rate + u) - floor(k * rate + u))::BIGINT AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
 """
