@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from residua.llm import licenses, mixing, packing, sharding
+from residua.llm import html, importance, licenses, media, mixing, packing, rules, sharding, toxicity
 
 QUERIES = {
+    "op1_chunked_media": media.op1_chunked_media,
+    "op2_importance_resampling": importance.op2_importance_resampling,
     "op3_systematic_mix": mixing.op3_systematic_mix,
+    "op4_wrapper_induction": html.op4_wrapper_induction,
+    "op5_boosted_rules": rules.op5_boosted_rules,
+    "op6_counterfactual_toxicity": toxicity.op6_counterfactual_toxicity,
     "op8_length_buckets": packing.op8_length_buckets,
     "op9_license_rules": licenses.op9_license_rules,
     "op10_virtual_slots": sharding.op10_virtual_slots,
