@@ -1 +1,10 @@
-"""Training-data operators. Nothing outside this subpackage imports it."""
+"""Training-data operators. Nothing outside this subpackage imports it.
+
+Functions that run on executors are sent by value, so that executors need this package's dependencies but not the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

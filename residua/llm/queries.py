@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from residua.llm import html, importance, licenses, media, mixing, packing, rules, sharding, toxicity
+from residua.llm import html, importance, jaccard, licenses, media, mixing, packing, rules, sharding, toxicity
 
 QUERIES = {
     "op1_chunked_media": media.op1_chunked_media,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_wrapper_induction": html.op4_wrapper_induction,
     "op5_boosted_rules": rules.op5_boosted_rules,
     "op6_counterfactual_toxicity": toxicity.op6_counterfactual_toxicity,
+    "op7_signature_trees": jaccard.op7_signature_trees,
     "op8_length_buckets": packing.op8_length_buckets,
     "op9_license_rules": licenses.op9_license_rules,
     "op10_virtual_slots": sharding.op10_virtual_slots,
