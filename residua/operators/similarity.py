@@ -69,7 +69,11 @@ def minhash_pairs(items: DataFrame, percent: int = 50, k: int = 3, bands: int =
     """As ``jaccard_pairs``, but candidates come from MinHash bands: exact precision, high recall, less to shuffle."""
     g = stored(grams(items, k).withColumn("h", F.xxhash64("gram")), "hashes")
     sets = stored(g.groupBy("item_id").agg(F.collect_set("h").alias("s")).withColumn("n", F.size("s")), "sets")
-    mins = [F.array_min(F.transform("s", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(bands * rows)]
+
+    def least(i: int) -> Column:
+        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(i))))
+
+    mins = [least(i) for i in range(bands * rows)]
     keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)]))
     b = sets.select("item_id", keys.alias("band"))
     pairs = b.toDF("source_id", "band").join(b.toDF("target_id", "band"), "band").filter("source_id < target_id").select("source_id", "target_id").distinct()

@@ -26,14 +26,17 @@ class CacheStaleError(RuntimeError):
 
 @dataclass(frozen=True)
 class FetchOptions:
+    """stale_behavior: use_stale, warn (fetch again) or fail."""
+
+    allow_partial: bool = False
     use_cache: bool = True
     decompress: bool = True
-    max_cache_age_seconds: float | None = None
-    on_stale: str = "warn"  # use_stale, warn (fetch again), fail
+    max_age_seconds: float | None = None
+    stale_behavior: str = "use_stale"
 
     def __post_init__(self) -> None:
-        if self.on_stale not in ("use_stale", "warn", "fail"):
-            raise ValueError(f"unknown on_stale: {self.on_stale}")
+        if self.stale_behavior not in ("use_stale", "warn", "fail"):
+            raise ValueError(f"unknown stale_behavior: {self.stale_behavior}")
 
 
 def is_stale(age_seconds: float, most: float | None) -> bool:
@@ -41,17 +44,17 @@ def is_stale(age_seconds: float, most: float | None) -> bool:
 
 
 def cached(folder: str, entry: str, options: FetchOptions, now: datetime) -> Path | None:
-    """The file to reuse: plain before compressed; a stale one by ``on_stale``."""
+    """The file to reuse: plain before compressed; a stale one by ``stale_behavior``."""
     if not options.use_cache:
         return None
     for suffix in SUFFIXES:
         p = Path(folder) / f"{entry.lower()}{suffix}"
         if p.exists():
-            if not is_stale(now.timestamp() - p.stat().st_mtime, options.max_cache_age_seconds):
+            if not is_stale(now.timestamp() - p.stat().st_mtime, options.max_age_seconds):
                 return p
-            if options.on_stale == "fail":
+            if options.stale_behavior == "fail":
                 raise CacheStaleError(str(p))
-            return p if options.on_stale == "use_stale" else None
+            return p if options.stale_behavior == "use_stale" else None
     return None
 
 
@@ -63,10 +66,10 @@ def download(url: str) -> bytes:
         raise RuntimeError(f"fetching {url} failed: {e}") from e
 
 
-def fetch_many(spark: SparkSession, entry_ids: list[str], folder: str, provider: str | None = None, source_uri: str | None = None, options: FetchOptions | None = None, fetcher: Callable[[str], bytes] = download, allow_partial: bool = False, clock: Callable[[], datetime] | None = None) -> DataFrame:
+def fetch_many(spark: SparkSession, entry_ids: list[str], folder: str, provider: str | None = None, source_uri: str | None = None, options: FetchOptions | None = None, fetcher: Callable[[str], bytes] = download, clock: Callable[[], datetime] | None = None) -> DataFrame:
     """(ord, entry_id, provider, source_uri, path, retrieved_at, from_cache, status, message) in the order of the ids.
 
-    Executors fetch; ``folder`` must be one that they share. Without ``allow_partial`` the first failure raises; with it, failed rows stay
+    Executors fetch; ``folder`` must be one that they share. Without the option allow_partial the first failure raises; with it, failed rows stay
     with their message. ``fetcher`` replaces the network.
     """
     options = options or FetchOptions()
@@ -103,7 +106,7 @@ def fetch_many(spark: SparkSession, entry_ids: list[str], folder: str, provider:
     t = ids.repartition(min(len(entry_ids), 64) or 1).mapInPandas(run, "ord int, entry_id string, provider string, source_uri string, path string, retrieved_at string, from_cache boolean, status string, message string")
     rows = sorted(t.collect(), key=lambda r: r["ord"])
     bad = [r for r in rows if r["status"] == "failed"]
-    if bad and not allow_partial:
+    if bad and not options.allow_partial:
         raise RuntimeError(bad[0]["message"])
     return spark.createDataFrame(rows, t.schema)
 
