@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word, for every operator of this subpackage: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that go to Python at a time.
+ARROW_ROWS = 1000
 #: At most so many rows are broadcast after their number has been counted; beyond, the same join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -123,6 +125,9 @@ def hot_keys(df: DataFrame, key: str, parts: int = 1000) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of whole texts; Python is handed fewer rows at a time than the default, as they can be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

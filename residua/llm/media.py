@@ -19,7 +19,7 @@ from residua.llm.common import _CLEANUP, hot_keys, read, stored, work_dir
 #: Payloads are padded with spaces to a positive multiple of this.
 FRAME = 192
 #: Chunk sizes in bytes: none below LEAST but a last one, about MEAN (a power of two) beyond it, none above MOST.
-LEAST, MEAN, MOST = 1024, 4096, 16_384
+LEAST, MEAN, MOST = 2048, 8192, 32_768
 RATE = 8000
 #: The gear table: 256 numbers drawn from a fixed seed.
 GEAR = np.random.RandomState(20_240_229).randint(0, 2**63, size=256, dtype=np.int64).astype(np.uint64)
@@ -78,7 +78,7 @@ def listed(docs: DataFrame) -> DataFrame:
                 names, sizes, lists = [], [], []
                 for s in part.column(1).to_pylist():
                     raw, media, pieces = split(s)
-                    names.append(hashlib.sha256(media).digest())
+                    names.append(digest(media))
                     sizes.append(len(raw))
                     lists.append([digest(p) for p in pieces])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(lists, type=pa.list_(pa.binary()))], names=["doc_id", "media", "n_bytes", "chunks"])
@@ -96,7 +96,8 @@ def split(text: str | None) -> tuple[bytes, bytes, list[bytes]]:
 
 
 def digest(piece: bytes) -> bytes:
-    return hashlib.sha256(piece).digest()[:20]
+    """The first 128 bits of the SHA-256 of a chunk or a medium: its key in all tables. The whole hash of a medium is checked on reading."""
+    return hashlib.sha256(piece).digest()[:16]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def once(rows: DataFrame) -> DataFrame:
 
 def rebuilt(lists: DataFrame) -> DataFrame:
     """(media, chunks: array of (place, digest, data)) -> what is read back, after each chunk and the whole are verified."""
-    kinds = {"media": pa.binary(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    kinds = {"media": pa.binary(), "payload_bytes": pa.int64(), "payload_sha256": pa.binary(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.binary(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -154,14 +155,15 @@ def rebuilt(lists: DataFrame) -> DataFrame:
                         if digest(pieces[-1]) != c["digest"]:
                             raise ValueError("a stored chunk doesn't have its digest")
                     media = b"".join(pieces)
-                    if hashlib.sha256(media).digest() != name:
+                    whole = hashlib.sha256(media).digest()
+                    if whole[:16] != name:
                         raise ValueError("the chunks of a list don't give its media")
                     payload = samples(media)
-                    rows.append((name, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), name.hex(), feature(payload)))
+                    rows.append((name, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(media), whole, feature(payload)))
                 cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
-    return lists.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return lists.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,4 +206,4 @@ def op1_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lists, table = store(read(spark, sf_dir, "documents"))
     media, _ = stored(load(lists, table), "media")
-    return lists.select("doc_id", "media", "n_bytes").join(media, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return lists.select("doc_id", "media", "n_bytes").join(media, "media").select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha256")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
