@@ -4,14 +4,18 @@ Plan, in passes over the texts and joins of small tables:
 
 1. Every text's shingle set gets a size and a 64-bit digest; texts with equal sets form a class, and only classes go on. The same
    pass counts shingles into a sketch of fixed size.
-2. Shingles are put in one global order, those in rarely hit sketch cells first. Two sets that link share one of the
-   first ``n - ceil(t n) + 1`` shingles of either, in any global order, so those prefixes are dealt out by shingle and only shingles
-   that two classes share stay. With rare ones first, passages that many texts quote stay out of the prefixes.
-3. Classes that share a prefix shingle are candidates. They get a bitmap of their shingles, several bits to a shingle.
-4. In blocks of bounded size, candidates that share a shingle stand in a signature tree whose nodes hold the OR of the bitmaps and
-   the range of sizes; a traversal of node pairs drops those whose largest possible overlap can't reach the threshold,
-   and those that lie in one component already. Two cheap rounds propose a spanning forest per block only, so that most groups of near copies become one
-   component; the last round proposes every remaining pair of different components, with all pairs of blocks of a large group.
+2. Shingles are put in one global order, those in rarely hit sketch cells first, so that passages that many texts quote come
+   last. Two sets that link share at least m of the first ``d + m`` shingles of either in any global order, where d is how
+   many of its shingles a set may miss. These prefixes, with m about d, are dealt out by shingle, and only shingles that two classes
+   share stay. A class with fewer shared ones than any link needs goes, which takes the others down with it; it is done twice.
+3. What is left shares much of its prefixes with something. Only these texts are read again, for whole sets and for bitmaps with
+   several bits to a shingle.
+4. In blocks of bounded size, candidates that share one of the first ``d + 1`` shingles stand in a signature tree whose nodes hold the
+   OR of the bitmaps and the range of sizes; a traversal of node pairs drops those whose largest possible overlap can't reach the
+   threshold, and those that lie in one component already. The first round puts each class in its largest group only and proposes
+   a spanning forest of each block, so that most groups of near copies become one component; a second does the same for one member
+   of each component of groups over one block; the last proposes every remaining pair of different components, with all
+   pairs of blocks of a large group.
 5. Proposed pairs are verified on the whole sets, and components are built from the links.
 
 So each link is either verified or lies inside a component that verified links already join: components are exact, but for
@@ -20,7 +24,6 @@ collisions of 64-bit hashes (about N * N / 2**65 for N classes or for the shingl
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,23 +32,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.common import WORD, bounded, components, read, stored
+from residua.llm.common import bounded, components, delete, read, stored
 
 #: Words in a shingle and least similarity in percent of op7_signature_trees; stages use 5 and 80.
 SHINGLE, PERCENT = 4, 85
 SKETCH_BITS, SLICE = 18, 4096
 #: Members of a block, rows of a leaf page of a tree, children of a node.
 BLOCK, PAGE, FAN = 128, 16, 8
-_WORD = re.compile(WORD)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class Hashes(dict):
-    """Word -> 64-bit hash, forgetting all when it holds a million."""
+    """Word -> 64-bit hash, forgetting all when it holds half a million."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -58,8 +59,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list[str], k: int, known: Hashes) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, ascending: of k words, or of the whole sequence where it has fewer."""
-    lists = [_WORD.findall(s.translate(_LOWER)) for s in texts]
+    """Each text's distinct shingle hashes, ascending: of k words, or of the whole sequence where it has fewer.
+
+    In UTF-8, lower() of bytes changes A-Z alone and split() parts at the six ASCII white-space characters alone.
+    """
+    lists = [s.encode().lower().split() for s in texts]
     n = [len(x) for x in lists]
     h = np.fromiter((known[w] for x in lists for w in x), dtype=np.uint64, count=sum(n))
     runs = max(0, len(h) - k + 1)
@@ -69,7 +73,8 @@ def shingles(texts: list[str], k: int, known: Hashes) -> list[np.ndarray]:
     out, at = [], 0
     for m in n:
         if m >= k:
-            out.append(np.unique(acc[at : at + m - k + 1]))
+            x = np.sort(acc[at : at + m - k + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
         elif m:
             v = np.full(1, m, dtype=np.uint64)
             for w in h[at : at + m]:
@@ -125,66 +130,83 @@ def levels(parts: DataFrame) -> np.ndarray:
     return out
 
 
+def missable(n: int, percent: int) -> int:
+    """How many of its n shingles a set may miss in one that it links with."""
+    return n - -(-percent * n // 100)
+
+
+def wanted(n: int, percent: int) -> int:
+    """How many shingles of its prefix a set of n shares at least with any that it links with (which has percent of its size or more)."""
+    return max(1, missable(-(-percent * n // 100), percent))
+
+
 def prefixes(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
-    """(h, cls, n): the prefix of every class that can link to another one."""
+    """(h, cls, v): the prefix of every class that can link to another one; v is 2 * ``wanted``, plus 1 for the first d + 1 shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Hashes = Hashes()
         seen: set[int] = set()
         for batch in batches:
             for j in range(0, batch.num_rows, 512):
-                hs, cs, ns = [], [], []
+                hs, cs, vs = [], [], []
                 for s in shingles([x or "" for x in batch.column(0).slice(j, 512).to_pylist()], k, known):
                     n = len(s)
                     if 100 * n < percent * (n + 1) or (c := digest(s)) in seen:
                         continue
                     seen.add(c)
-                    first = np.lexsort((s, level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[: n + percent * -n // 100 + 1]
+                    d = missable(n, percent)
+                    first = np.lexsort((s, level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[: d + max(1, d)]
+                    v = np.full(len(first), 2 * wanted(n, percent), dtype=np.int32)
+                    v[: d + 1] += 1
                     hs.append(s[first])
-                    cs.append(c)
-                    ns.append(n)
+                    vs.append(v)
+                    cs.append(np.full(len(first), c, dtype=np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if hs:
-                    m = [len(x) for x in hs]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(np.array(cs, dtype=np.int64), m)), pa.array(np.repeat(np.array(ns, dtype=np.int32), m))], names=["h", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(vs))], names=["h", "cls", "v"])
 
-    return docs.select("text").mapInArrow(run, "h long, cls long, n int")
+    return docs.select("text").mapInArrow(run, "h long, cls long, v int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Rows (h, cls, n) of the h that at least two classes have, each once. One exchange by h; a partition is read as a stream."""
+    """Rows (h, cls, v) of the h that at least two classes have, each once. One exchange by h; a partition is read as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None  # the last row (h, cls); the only row of its h so far, if it is
         for batch in batches:
-            h, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, c, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(h):
+                continue
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            if len(h) and last is not None and (h[0], c[0]) == last:
+            if last is not None and (h[0], c[0]) == last:
                 new[0] = False
-            if len(h):
-                before, last = last, (h[-1], c[-1])
-            h, c, n = h[new], c[new], n[new]
+            before, last = last, (h[-1], c[-1])
+            h, c, v = h[new], c[new], v[new]
             if not len(h):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             count = np.diff(np.append(starts, len(h)))
             goes_on = before is not None and h[0] == before[0]
             live = count > 1
-            extra = []
-            if goes_on:
-                live[0] = True
-                if held is not None:
-                    extra = [held]
-            alone = count[-1] == 1 and not (goes_on and len(count) == 1)
-            held = (h[-1], c[-1], n[-1]) if alone else None
+            live[0] |= goes_on
+            extra = [held] if goes_on and held is not None else []
+            held = (h[-1], c[-1], v[-1]) if count[-1] == 1 and not (goes_on and len(count) == 1) else None
             keep = np.repeat(live, count)
-            cols = [np.concatenate([np.array([e[i] for e in extra], dtype=x.dtype), x[keep]]) for i, x in enumerate((h, c, n))]
+            cols = [np.concatenate([np.array([e[i] for e in extra], dtype=x.dtype), x[keep]]) for i, x in enumerate((h, c, v))]
             if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], names=["h", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "cls", "v"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(run, "h long, cls long, n int")
+    return rows.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(run, "h long, cls long, v int")
+
+
+def pruned(post: DataFrame) -> DataFrame:
+    """``post`` without the classes that share fewer shingles than any link needs, and then without shingles of one class."""
+    enough = post.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("v", 1)).alias("least")).filter("n >= least").select("cls")
+    t, _ = stored(post.join(enough, "cls", "left_semi"), "postings")
+    live = t.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    return stored(t.join(live, "h", "left_semi"), "postings")[0]
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -255,56 +277,121 @@ class Tree:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
 
 
-def proposals(cls: np.ndarray, n: np.ndarray, bits: list[bytes], comp: np.ndarray, side: np.ndarray | None, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of classes of one block that may link. side: only pairs across sides. forest: only a spanning forest of likeliest pairs."""
+def folded(bits: list[bytes], rows: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of the rows as a table of ``words`` 64-bit words, those of twice the width folded."""
+    out = np.empty((len(rows), words), dtype=np.uint64)
+    for k, r in enumerate(rows):
+        x = np.frombuffer(bits[r], dtype=np.uint64)
+        out[k] = x if len(x) == words else x[:words] | x[words:]
+    return out
+
+
+def near_rows(gid: np.ndarray, n: np.ndarray, bits: list[bytes], comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Tree.pairs`` gives, for many groups of one leaf page at most at once: every node pair of theirs is a row pair."""
+    i, j = [], []
+    for d in range(1, PAGE):
+        x = np.flatnonzero(gid[:-d] == gid[d:])
+        if not len(x):
+            break
+        i.append(x)
+        j.append(x + d)
+    if not i:
+        return (np.empty(0, dtype=np.int64),) * 3
+    i, j = np.concatenate(i), np.concatenate(j)
+    ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((side[i] < 0) | (side[i] != side[j]))
+    i, j = i[ok], j[ok]
+    width = np.array([len(b) // 8 for b in bits], dtype=np.int64)
+    w = np.minimum(width[i], width[j])
+    got = []
+    for words in np.unique(w):
+        at = np.flatnonzero((w == words) & (width[i] <= 2 * words) & (width[j] <= 2 * words))
+        for k in range(0, len(at), step := max(64, 4_000_000 // int(words))):
+            x, y = i[at[k : k + step]], j[at[k : k + step]]
+            rows, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            table = folded(bits, rows, int(words))
+            over = n[rows] - np.bitwise_count(table).sum(axis=1)
+            px, py = place[: len(x)], place[len(x) :]
+            bound = np.bitwise_count(table[px] & table[py]).sum(axis=1, dtype=np.int64) + np.minimum(over[px], over[py])
+            keep = bound * (100 + percent) >= percent * (n[x] + n[y])
+            got.append((x[keep], y[keep], bound[keep]))
+    return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.empty(0, dtype=np.int64),) * 3
+
+
+def near_in_tree(cls: np.ndarray, n: np.ndarray, bits: list[bytes], comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of one group that may link, by a tree per bitmap width over the rows of that width and the next (folded)."""
     width = np.array([len(b) // 8 for b in bits], dtype=np.int64)
     got = []
     for w in np.unique(width):
         rows = np.flatnonzero((width == w) | (width == 2 * w))
         rows = rows[np.lexsort((cls[rows], n[rows]))]
-        if len(rows) < 2:
-            continue
-        table = np.empty((len(rows), w), dtype=np.uint64)
-        for k, r in enumerate(rows):
-            x = np.frombuffer(bits[r], dtype=np.uint64)
-            table[k] = x if len(x) == w else x[:w] | x[w:]
-        own = width[rows] == w
-        s = side[rows] if side is not None else None
-        i, j, b = Tree(table, n[rows].astype(np.int64), comp[rows]).pairs(percent, lambda x, y, own=own, s=s: (own[x] | own[y]) & ((s[x] != s[y]) if s is not None else True))
-        got.append((rows[i], rows[j], b))
-    if not got:
-        return []
-    i, j, b = (np.concatenate(c) for c in zip(*got, strict=True))
-    if forest:
-        order = np.lexsort((cls[j], cls[i], -b / (n[i] + n[j])))
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        keep = []
-        for k in order:
-            x, y = find(int(comp[i[k]])), find(int(comp[j[k]]))
-            if x != y:
-                root[x] = y
-                keep.append(k)
-        i, j = i[keep], j[keep]
-    return [(min(x, y), max(x, y)) for x, y in zip(cls[i].tolist(), cls[j].tolist(), strict=True)]
-
-
-def propose(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(h, i, j, side, cls, comp) in blocks (h, i, j) -> distinct pairs (a, b)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        cls, n, comp, side = (table[c].to_numpy() for c in ("cls", "n", "comp", "side"))
-        across = table["i"][0].as_py() != table["j"][0].as_py()
-        pairs = proposals(cls, n, table["bits"].to_pylist(), comp, side if across else None, percent, forest)
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
-
-    return members.join(sets.select("cls", "n", "bits"), "cls").groupBy("h", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        if len(rows) > 1:
+            own, s = width[rows] == w, side[rows]
+            i, j, b = Tree(folded(bits, rows, int(w)), n[rows], comp[rows]).pairs(percent, lambda x, y, own=own, s=s: (own[x] | own[y]) & ((s[x] < 0) | (s[x] != s[y])))
+            got.append((rows[i], rows[j], b))
+    return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.empty(0, dtype=np.int64),) * 3
+
+
+def forest(group: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> list[int]:
+    """Places of the pairs (a, b) that make a spanning forest of each group, of highest scores."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    keep = []
+    for k in np.lexsort((b, a, -score, group)).tolist():
+        x, y = find((group[k], a[k])), find((group[k], b[k]))
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return keep
+
+
+def propose(members: DataFrame, sets: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """(h, i, j, side, cls, comp) in blocks (h, i, j) -> distinct pairs (a, b) that may link; with ``spanning``, a forest of each block only.
+
+    A block of two sides (side >= 0) pairs across them, any other (side -1) within.
+    """
+
+    def pairs(h, i, j, side, cls, comp, n, bits) -> pa.RecordBatch:
+        gid = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.bincount(gid)
+        got = []
+        small = np.flatnonzero(size[gid] <= PAGE)
+        if len(small):
+            x, y, b = near_rows(gid[small], n[small], [bits[r] for r in small], comp[small], side[small], percent)
+            got.append((small[x], small[y], b))
+        for g in np.flatnonzero(size > PAGE):
+            rows = np.flatnonzero(gid == g)
+            x, y, b = near_in_tree(cls[rows], n[rows], [bits[r] for r in rows], comp[rows], side[rows], percent)
+            got.append((rows[x], rows[y], b))
+        x, y, b = (np.concatenate(c) for c in zip(*got, strict=True))
+        if spanning:
+            keep = forest(gid[x], comp[x], comp[y], b / (n[x] + n[y]))
+            x, y = x[keep], y[keep]
+        out = np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], axis=1), axis=0) if len(x) else np.empty((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the group at the end, until it is known to be whole
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            h, i, j = (t.column(c).to_numpy() for c in ("h", "i", "j"))
+            whole_ = np.flatnonzero((h != h[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(whole_[-1]) + 1 if len(whole_) else 0
+            if cut:
+                yield pairs(h[:cut], i[:cut], j[:cut], *(t.column(c).slice(0, cut).to_numpy() for c in ("side", "cls", "comp", "n")), t.column("bits").slice(0, cut).to_pylist())
+            held = [t.slice(cut)]
+        if held:
+            t = held[0]
+            yield pairs(*(t.column(c).to_numpy() for c in ("h", "i", "j", "side", "cls", "comp", "n")), t.column("bits").to_pylist())
+
+    t = members.join(sets.select("cls", F.col("n").cast("long").alias("n"), "bits"), "cls").select("h", "i", "j", "side", "cls", "comp", "n", "bits")
+    return t.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "cls").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -335,41 +422,51 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     got, _ = stored(profile(docs, k), "profile")
     rows = got.filter("slice is null").select("doc_id", "n", "cls")
     classes, _ = stored(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
-    post, _ = stored(shared(prefixes(docs, k, percent, levels(got.filter("slice is not null").select("slice", "counters")))), "postings")
-    wanted, _ = stored(classes.join(post.select("cls").distinct(), "cls"), "candidates")
-    ids = bounded(wanted.filter("least is not null").select(F.col("least").alias("doc_id")).distinct(), 1_000_000)
+    post, raw_path = stored(shared(prefixes(docs, k, percent, levels(got.filter("slice is not null").select("slice", "counters")))), "postings")
+    post = pruned(pruned(post))
+    delete(docs.sparkSession, raw_path)
+    post, _ = stored(post.filter("v % 2 = 1").select("h", "cls"), "postings")
+    left, _ = stored(classes.join(post.select("cls").distinct(), "cls"), "candidates")
+    ids = bounded(left.filter("least is not null").select(F.col("least").alias("doc_id")).distinct(), 1_000_000)
     texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    sets, _ = stored(whole(texts, k).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets, _ = stored(whole(texts, k).join(left.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     sizes, _ = stored(post.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "sizes")
 
     def salted(t: DataFrame) -> DataFrame:
         """Blocks within h, of about BLOCK members."""
         s = F.pmod(F.xxhash64("cls", "h"), F.ceil(F.col("size") / BLOCK)).cast("int")
-        return t.withColumn("i", s).withColumn("j", s).withColumn("side", F.lit(0)).select("h", "i", "j", "side", "cls", "comp")
+        return t.withColumn("i", s).withColumn("j", s).withColumn("side", F.lit(-1)).select("h", "i", "j", "side", "cls", "comp")
 
-    # first: each class in the largest group it is in
-    chosen = post.join(sizes, "h").groupBy("cls").agg(F.max(F.struct("size", "h")).alias("m")).select("cls", "m.h", "m.size", F.col("cls").alias("comp"))
-    links, _ = stored(verified(stored(propose(salted(chosen), sets, percent, True), "pairs")[0], sets, percent), "links")
-    labels = components(links)
+    def found(members: DataFrame, spanning: bool) -> DataFrame:
+        return stored(verified(stored(propose(members, sets, percent, spanning), "pairs")[0], sets, percent), "links")[0]
 
-    def split_groups(post: DataFrame, labels: DataFrame) -> DataFrame:
+    def split_groups(labels: DataFrame) -> DataFrame:
         """Members of groups that lie in more than one component, with their component and their group's size."""
         t, _ = stored(post.join(labels.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "members")
         live, _ = stored(t.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("h", "size"), "live")
         return t.join(bounded(live), "h")
 
-    # then: one member of each component of a group
-    t, _ = stored(split_groups(post, labels).groupBy("h", "comp").agg(F.min_by("cls", F.xxhash64("cls")).alias("cls")), "one-each")
-    t = t.join(t.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "h")
-    more, _ = stored(verified(stored(propose(salted(t), sets, percent, True), "pairs")[0], sets, percent), "links")
-    links = links.unionByName(more)
+    # first: each class in the largest group that it is in
+    chosen = post.join(sizes, "h").groupBy("cls").agg(F.max(F.struct("size", "h")).alias("m")).select("cls", "m.h", "m.size", F.col("cls").alias("comp"))
+    links = found(salted(chosen), True)
     labels = components(links)
+    t = split_groups(labels)
+
+    # then: one member of each component of a group of several blocks
+    big = t.filter(F.col("size") > BLOCK)
+    if not big.isEmpty():
+        one, _ = stored(big.groupBy("h", "comp").agg(F.min_by("cls", F.xxhash64("cls")).alias("cls")), "one-each")
+        more = found(salted(one.join(one.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "h")), True)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+            t = split_groups(labels)
 
     # last: every pair of different components that share a prefix shingle
-    t = split_groups(post, labels).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    t = t.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     t = t.withColumn("s", F.pmod(F.xxhash64("cls", "h"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    t = t.select("h", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), (F.col("s") > F.col("o")).cast("int").alias("side"), "cls", "comp")
-    more, _ = stored(verified(stored(propose(t, sets, percent, False), "pairs")[0], sets, percent), "links")
+    side = F.when(F.col("s") == F.col("o"), -1).when(F.col("s") < F.col("o"), 0).otherwise(1)
+    more = found(t.select("h", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), side.alias("side"), "cls", "comp"), False)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
