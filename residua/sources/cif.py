@@ -107,7 +107,7 @@ def read_rows(files: DataFrame, raw_tokens: bool = False) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str | list[str], model_num: int = 1, raw_tokens: bool = False) -> dict[str, DataFrame]:
-    """All tables of the files under ``path``: entries, entities, asym_units, atoms, connections, assemblies, conf_records, sheet_strands, raw, diagnostics, status."""
+    """All tables of the files under ``path`` (Spark lists no files of 0 bytes): entries, entities, asym_units, atoms, connections, assemblies, conf_records, sheet_strands, raw, diagnostics, status."""
     return tables(read_rows(spark.read.format("binaryFile").load(path), raw_tokens), model_num)
 
 
