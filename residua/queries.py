@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from residua.fixtures import ctes, frame
 from residua.functions import scalars as S
 from residua.operators import canonical as C
-from residua.operators import curate, metadata, records, similarity, spatial
+from residua.operators import checks, curate, metadata, records, similarity, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -477,3 +477,29 @@ def canonical_pipeline(spark: SparkSession, d: str) -> DataFrame:
     tables["entries"] = tables["atoms"].select("entry_id").distinct()
     p = policy({"identifier_rules": {"chain_id": {"strategy": "remap"}, "residue_numbering": {"strategy": "renumber"}}, "altloc_rules": {"tie_breaker": "lowest_b_factor"}, "entity_rules": {"strategy": "merge_equivalent_entities"}, "ligand_rules": {"strategy": "filter", "keep_waters": False, "keep_ions": False}})
     return canonicalise(tables, p).tables["atoms"].select("entry_id", "atom_ord", "label_asym_id", "label_entity_id", "label_seq_id", "label_comp_id", "label_atom_id")
+
+
+@query(ATOMS + " SELECT DISTINCT entry_id, label_asym_id FROM (SELECT *, lag(label_seq_id) OVER (PARTITION BY entry_id, label_asym_id ORDER BY auth_seq_id DESC, atom_ord) AS b FROM fx_atoms WHERE group_pdb = 'ATOM' AND label_seq_id IS NOT NULL) WHERE label_seq_id < b")
+def discontinuous_numbers(spark: SparkSession, d: str) -> DataFrame:
+    atoms = C.reordered(_atoms(spark, d), F.col("auth_seq_id").desc(), F.col("atom_ord"))
+    return checks.discontinuous(atoms)
+
+
+@query(ATOMS + ", r AS (SELECT entry_id, label_asym_id, label_seq_id, arg_min(label_comp_id, atom_ord) AS c FROM fx_atoms WHERE group_pdb = 'ATOM' AND label_seq_id IS NOT NULL GROUP BY ALL) SELECT entry_id, label_asym_id AS chain_id, string_agg(CASE c WHEN 'ALA' THEN 'A' WHEN 'GLY' THEN 'G' ELSE 'X' END, '' ORDER BY label_seq_id) AS sequence FROM r GROUP BY 1, 2")
+def sequences_from_atoms(spark: SparkSession, d: str) -> DataFrame:
+    return checks.sequences_from_atoms(_atoms(spark, d))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (s = 'success') AS success, count(*) FILTER (s = 'warning') AS warning, count(*) FILTER (s = 'failed') AS failed FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'warning' ELSE 'success' END AS s FROM orders)")
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "warning").otherwise("success")
+    return checks.batch_summary(frame(spark, d, "orders").select(s.alias("status")))
+
+
+@query(TYPES + ", f AS (SELECT s.entry_id, 'UNRESOLVED_ENTITY_REF' AS code FROM fx_asym s LEFT JOIN fx_types t ON t.entry_id = s.entry_id AND t.id = s.entity_id WHERE t.type IS NULL OR t.type = 'water'), a AS (SELECT DISTINCT entry_id, 'ALTLOC_WITHOUT_OCCUPANCY' AS code, label_asym_id FROM fx_atoms WHERE label_alt_id <> '' AND occupancy < 0.91) SELECT code, count(*) AS n FROM (SELECT code FROM f UNION ALL SELECT code FROM a UNION ALL SELECT 'MISSING_ASSEMBLY' FROM (SELECT DISTINCT entry_id FROM fx_atoms) UNION ALL SELECT 'MISSING_ENTITY_POLY' FROM fx_types WHERE type = 'polymer' UNION ALL SELECT 'MISSING_ENTITY' FROM (SELECT entry_id FROM fx_types GROUP BY 1 HAVING bool_and(type = 'water'))) GROUP BY 1")
+def structure_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Validation of parsed structures, where waters have lost their entities and low occupancies count as none."""
+    atoms = _atoms(spark, d).withColumn("occupancy", F.when(F.col("occupancy") >= 0.91, F.col("occupancy")))
+    t = {"entries": atoms.select("entry_id").distinct(), "atoms": atoms, "asym_units": frame(spark, d, "fx_asym"), "entities": frame(spark, d, "fx_types").filter("type <> 'water'")}
+    raw = spark.createDataFrame([], "entry_id string, category string, row_ord int, cols map<string,string>")
+    return checks.structure(t, raw).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
