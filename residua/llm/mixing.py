@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.llm.common import bounded, grouped_rank, n_words, read, stored
@@ -12,6 +12,8 @@ from residua.llm.common import bounded, grouped_rank, n_words, read, stored
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix"
+#: Offsets that are tried for a source, evenly spaced from a random one.
+OFFSETS = 32
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -37,9 +39,10 @@ def mix(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, cap
 
     Every document's expected number of copies is target / source size of its source. Within a source, documents stand by size
     (ties by doc_id), first every other one upwards and then the rest downwards; the expected copies are summed up along that
-    order, one offset in [0, 1) from the source's name and ``seed`` is added, and a document is emitted once for every whole
-    number that the sum crosses at it. In that order the sample follows the sizes, and what an offset adds on the way up it takes
-    on the way down, so the words taken differ from the target by less than the longest document.
+    order, one offset in [0, 1) is added, and a document is emitted once for every whole number that the sum crosses at it. In that
+    order the sample follows the sizes, and what an offset adds on the way up it takes on the way down. The offset is random, from
+    the source's name and ``seed``, up to its choice among OFFSETS evenly spaced ones: the one whose words come nearest the target, so that
+    a source with few documents isn't far off because its longest is in or out.
 
     Null text: size 0. Null source: a source of its own. A source without words has target 0. Rows equal in size and doc_id are
     interchangeable. Empty table: empty result.
@@ -51,12 +54,22 @@ def mix(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, cap
     j = ranked.join(bounded(s), F.col("source").eqNullSafe(F.col("_s")), "inner").drop("_s")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    j = j.withColumn("_u", u).withColumn("_rate", rate)
-    odd = F.col("_rank") % 2
-    half = F.floor(F.col("_rank") / 2).cast("long")
-    j = j.withColumn("_rank", F.when(odd == 0, half).otherwise(F.col("_n") - 1 - half))
-    copies = F.floor((F.col("_rank") + 1) * F.col("_rate") + F.col("_u")) - F.floor(F.col("_rank") * F.col("_rate") + F.col("_u"))
-    return j.withColumn("_copies", copies.cast("long")).drop("_u", "_rate", "_rank", "_n")
+    odd, half = F.col("_rank") % 2, F.floor(F.col("_rank") / 2).cast("long")
+    j = j.withColumn("_rate", rate).withColumn("_u", u).withColumn("_rank", F.when(odd == 0, half).otherwise(F.col("_n") - 1 - half))
+
+    def copies(offset: Column) -> Column:
+        return (F.floor((F.col("_rank") + 1) * F.col("_rate") + offset) - F.floor(F.col("_rank") * F.col("_rate") + offset)).cast("long")
+
+    def shifted(k: int) -> Column:
+        v = F.col("_u") + F.lit(k / OFFSETS)
+        return F.when(v >= 1.0, v - 1.0).otherwise(v)
+
+    tried = j.groupBy("source").agg(F.first("_target").alias("t"), *[F.sum(copies(shifted(k)) * F.col("_size")).alias(f"w{k}") for k in range(OFFSETS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
+    tried, _ = stored(tried.select(F.col("source").alias("_s"), best.alias("_k")), "offsets")
+    j = j.join(bounded(tried), F.col("source").eqNullSafe(F.col("_s")), "inner")
+    v = F.col("_u") + F.col("_k") / F.lit(float(OFFSETS))
+    return j.withColumn("_copies", copies(F.when(v >= 1.0, v - 1.0).otherwise(v))).drop("_u", "_rate", "_rank", "_n", "_s", "_k")
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +87,14 @@ c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w
 l AS (SELECT *, ((SELECT sum(size) FROM d)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, n, least(cap, coalesce((SELECT level FROM l WHERE level <= full_at ORDER BY full_at, level LIMIT 1) * w, 0)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.n, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS up,
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.n, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS up,
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
   ('0x' || substr(md5('mix' || coalesce(':' || d.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CASE WHEN up % 2 = 0 THEN up // 2 ELSE n - 1 - up // 2 END AS k FROM r),
-x AS (SELECT *, (floor((k + 1) * rate + u) - floor(k * rate + u))::BIGINT AS copies FROM p)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
+o AS (SELECT p.*, j, CASE WHEN u + j / 32.0::DOUBLE >= 1 THEN u + j / 32.0::DOUBLE - 1 ELSE u + j / 32.0::DOUBLE END AS v FROM p, (SELECT unnest(range(32)) AS j)),
+c2 AS (SELECT *, (floor((k + 1) * rate + v) - floor(k * rate + v))::BIGINT AS copies FROM o),
+w2 AS (SELECT source, j, abs(sum(copies * size)::DOUBLE - first(target)) AS off FROM c2 GROUP BY source, j),
+b2 AS (SELECT source, j FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, j) AS r FROM w2) WHERE r = 1)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c2 JOIN b2 ON c2.j = b2.j AND c2.source IS NOT DISTINCT FROM b2.source
 """
