@@ -6,31 +6,18 @@ alignment search, whose result files can be read by ``sources.sequences`` and en
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import scalars as S
+from residua.operators.ranking import numbered, stored
 
 SPLITS = ("train", "val", "test")
 TOLERANCE = 0.001
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a written table in the shared checkpoint folder, so that a lost executor costs a re-read only."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        base = tempfile.mkdtemp(prefix="residua-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/residua/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def grams(items: DataFrame, k: int = 3, words: bool = True) -> DataFrame:
     """(item_id, sequence) -> distinct (item_id, gram): runs of ``k`` words (or letters); a shorter sequence is one gram."""
     w = F.split(F.col("sequence"), " ") if words else F.filter(F.split(F.col("sequence"), ""), lambda x: x != "")
@@ -150,7 +137,7 @@ def clusters(items: DataFrame, edges: DataFrame, threshold: float | None = None,
     e = e.select("source_id", "target_id")
     t = connected(items, e if enabled else e.limit(0))
     g = t.groupBy("root").agg(F.sort_array(F.collect_list("item_id")).alias("components"), F.count(F.lit(1)).alias("n_components"), F.min_by("item_id", "item_ord").alias("_first"))
-    return g.withColumn("cluster_ord", F.row_number().over(Window.orderBy("_first"))).select("cluster_ord", "components", "n_components")
+    return numbered(g, "_n", [F.col("_first").asc()]).select((F.col("_n") + 1).cast("int").alias("cluster_ord"), "components", "n_components")
 
 
 def cluster_summary(c: DataFrame) -> DataFrame:
@@ -161,7 +148,7 @@ def merge_small(c: DataFrame, least: int) -> DataFrame:
     """Clusters under ``least`` members become one residual cluster, the last."""
     key = F.when(F.col("n_components") < least, F.lit(2**31 - 1)).otherwise(F.col("cluster_ord"))
     g = c.groupBy(key.alias("cluster_ord")).agg(F.sort_array(F.flatten(F.collect_list("components"))).alias("components"), F.sum("n_components").alias("n_components"))
-    return g.withColumn("cluster_ord", F.row_number().over(Window.orderBy("cluster_ord")))
+    return numbered(g, "_n", [F.col("cluster_ord").asc()]).select((F.col("_n") + 1).cast("int").alias("cluster_ord"), "components", "n_components")
 
 
 def representatives(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -201,31 +188,53 @@ def partition_keep(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -
     return c.join(out.select(F.col("x.l.cluster_ord").alias("cluster_ord"), F.col("x.o").alias("split")), "cluster_ord")
 
 
-def partition_keep_large(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
-    """The same result for any number of clusters: the fold runs over (size, number of clusters) on the driver.
+def fold_steps(sizes: Sequence[tuple[int, int]], fractions: Sequence[float]) -> list[tuple[int, int, int, str]]:
+    """(size, number of clusters), largest first -> (size, from, to, splits in turn): what the greedy fold does, in few steps a size.
 
-    Clusters of one size are taken in order of cluster_ord, so their places in the run give their splits; the driver holds
-    the distinct sizes only, and runs inside a size as (split, count) steps that are joined back by rank.
+    While one split lacks most by a cluster or more, it takes a run; when two lack about the same, they take turns until they are down to the
+    third; when all three do, they take turns for good, as a round leaves what they lack relative to each other as it was.
     """
-    check_fractions(fractions)
-    sizes = sorted(((int(r[0]), int(r[1])) for r in c.groupBy("n_components").count().collect()), reverse=True)
     total = sum(n * k for n, k in sizes)
     goal = [round(total * fractions[0]), round(total * fractions[1])]
-    goal.append(total - sum(goal))
-    has, rows = [0, 0, 0], []
+    lack, rows = [*goal, total - sum(goal)], []
     for n, k in sizes:
         at = 0
         while at < k:
-            lack = [g - h for g, h in zip(goal, has, strict=True)]
-            s = max(range(3), key=lambda i: (lack[i], -i))
-            second = max((lack[i] for i in range(3) if i != s))
-            run = max(1, min(k - at, (lack[s] - second) // n))  # as long as it stays ahead
-            rows.append((n, at, at + run, SPLITS[s]))
-            has[s] += run * n
-            at += run
-    steps = c.sparkSession.createDataFrame(rows or [(0, 0, 0, "train")], "n bigint, lo bigint, hi bigint, split string")
-    ranked = c.withColumn("_r", F.row_number().over(Window.partitionBy("n_components").orderBy("cluster_ord")) - 1)
-    return ranked.join(steps, (F.col("n_components") == F.col("n")) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi"))).drop("n", "lo", "hi", "_r")
+            trial, turn = list(lack), []
+            for _ in range(3):
+                turn.append(max(range(3), key=lambda i: (trial[i], -i)))
+                trial[turn[-1]] -= n
+            a, b = turn[:2]
+            rest = 3 - a - b if a != b else -1
+            if len(set(turn)) == 3:
+                pattern, rounds = turn, (k - at) // 3
+            elif a != b and turn[2] == a:
+                pattern, rounds = turn[:2], min((k - at) // 2, (min(lack[a], lack[b]) - lack[rest] - 1) // n + 1)
+            else:
+                pattern, rounds = [a], min(k - at, (lack[a] - max(lack[i] for i in range(3) if i != a)) // n)
+            if rounds < 1:
+                pattern, rounds = [a], 1
+            rows.append((n, at, at + rounds * len(pattern), ",".join(SPLITS[i] for i in pattern)))
+            for i in pattern:
+                lack[i] -= n * rounds
+            at += rounds * len(pattern)
+    return rows
+
+
+def partition_keep_large(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
+    """The result of ``partition_keep`` for any number of clusters.
+
+    The driver sees distinct sizes and their counts only and folds over them; clusters of a size are numbered by cluster_ord over many
+    tasks and find their split by a broadcast of a few steps a size.
+    """
+    check_fractions(fractions)
+    sizes = sorted(((int(r[0]), int(r[1])) for r in c.groupBy("n_components").count().collect()), reverse=True)
+    steps = c.sparkSession.createDataFrame(fold_steps(sizes, fractions) or [(0, 0, 0, "train")], "n bigint, lo bigint, hi bigint, turn string")
+    ranked = numbered(c, "_r", [F.col("cluster_ord").asc()], ["n_components"])
+    on = (F.col("n_components") == F.col("n")) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi"))
+    turn = F.split("turn", ",")
+    split = F.element_at(turn, ((F.col("_r") - F.col("lo")) % F.size(turn) + 1).cast("int"))
+    return ranked.join(F.broadcast(steps), on).withColumn("split", split).drop("n", "lo", "hi", "turn", "_r")
 
 
 def partition_proportional(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:

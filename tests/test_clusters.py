@@ -66,6 +66,28 @@ def test_large_fold_equals_fold(spark):
     assert a == b
 
 
+def test_fold_steps_are_the_greedy_fold():
+    import random
+
+    r = random.Random(2)
+    for _ in range(400):
+        sizes = sorted(((n, r.choice([1, 2, 3, 7, 50])) for n in r.sample(range(1, 40), r.randrange(1, 6))), reverse=True)
+        f = r.choice([(0.6, 0.2, 0.2), (0.8, 0.1, 0.1), (1 / 3, 1 / 3, 1 / 3), (0.5, 0.5, 0.0)])
+        total = sum(n * k for n, k in sizes)
+        lack = [round(total * f[0]), round(total * f[1])]
+        lack.append(total - sum(lack))
+        want = []
+        for n, k in sizes:
+            for _ in range(k):
+                i = max(range(3), key=lambda i: (lack[i], -i))
+                lack[i] -= n
+                want.append((n, X.SPLITS[i]))
+        steps = X.fold_steps(sizes, f)
+        got = [(n, turn.split(",")[j % len(turn.split(","))]) for n, lo, hi, turn in steps for j in range(hi - lo)]
+        assert got == want
+    assert len(X.fold_steps([(9, 5), (1, 10**12)], (0.6, 0.2, 0.2))) < 20
+
+
 def test_best_hits_and_representative(spark):
     hits = spark.createDataFrame([("a", "b", 0.5, 0.9, 0), ("b", "a", 0.7, 0.1, 1), ("a", "b", 0.7, 0.3, 2), ("a", "a", 1.0, 1.0, 3)], "query string, target string, score double, coverage double, line_no int")
     assert [tuple(r) for r in X.best_hits(hits).collect()] == [("a", "b", 0.7, 0.1)]
