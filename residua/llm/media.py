@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import uuid
@@ -10,8 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.llm.common import _CLEANUP, hot_keys, read, stored, work_dir
@@ -101,10 +101,9 @@ def digest(piece: bytes) -> bytes:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(text) -> (digest, data), data compressed; a task sends a digest once as long as it remembers it."""
+    """(text) -> (digest, data), data compressed (block sorting suits chunks of text best); a task sends a digest once as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=12, write_checksum=False)
         seen: set[bytes] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -114,7 +113,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                         if (d := digest(piece)) not in seen:
                             seen.add(d)
                             names.append(d)
-                            data.append(squeeze.compress(piece))
+                            data.append(bz2.compress(piece, 1))
                 if len(seen) > 500_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.binary()), pa.array(data, type=pa.binary())], names=["digest", "data"])
@@ -122,28 +121,11 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, data binary")
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """The first row of each digest in its partition; all rows of a digest must be in one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for i, d in enumerate(batch.column(0).to_pylist()):
-                if d not in seen:
-                    seen.add(d)
-                    keep.append(i)
-            yield batch.take(pa.array(keep, type=pa.int64()))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def rebuilt(lists: DataFrame) -> DataFrame:
     """(media, chunks: array of (place, digest, data)) -> what is read back, after each chunk and the whole are verified."""
     kinds = {"media": pa.binary(), "payload_bytes": pa.int64(), "payload_sha256": pa.binary(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.binary(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -151,7 +133,7 @@ def rebuilt(lists: DataFrame) -> DataFrame:
                 for name, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     pieces = []
                     for c in sorted(parts, key=lambda c: c["place"]):
-                        pieces.append(expand.decompress(c["data"]))
+                        pieces.append(bz2.decompress(c["data"]))
                         if digest(pieces[-1]) != c["digest"]:
                             raise ValueError("a stored chunk doesn't have its digest")
                     media = b"".join(pieces)
@@ -178,7 +160,9 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        once(chunks(docs).repartition(n, "digest")).write.option("path", f"{work_dir(spark)}/{table}").option("compression", "uncompressed").bucketBy(n, "digest").saveAsTable(table)
+        first = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
+        rows = chunks(docs).repartition(n, "digest").withColumn("_n", first).filter("_n = 1").drop("_n")
+        rows.write.option("path", f"{work_dir(spark)}/{table}").option("compression", "uncompressed").bucketBy(n, "digest").saveAsTable(table)
     finally:
         spark.conf.set(_CLEANUP, before)
     return lists, spark.table(table)
