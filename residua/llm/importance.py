@@ -18,8 +18,11 @@ from residua.llm.common import kth_largest, read, stored
 BUCKETS = 10_000
 #: Good labelled documents that the target model is counted from, at most.
 SAMPLE = 20_000
-#: A document whose importance weight is at least exp(-MARGIN) counts towards k.
-MARGIN = 10.0
+#: One in HELD of the good labelled documents isn't counted into the target model; how low their weights go says what to keep.
+HELD = 5
+#: The log weight from which on documents count towards k: that under which a share TAIL of the held-out good documents lies, less SLACK and
+#: FEW / their number (few of them know their tail less well).
+TAIL, SLACK, FEW = 0.001, 5.0, 500.0
 #: N-grams of a long text that count as independent: its log weight is its mean times this.
 LENGTH = 256
 #: N-grams that the raw model is worth in the target model, so that n-grams it has hardly seen count as neither good nor bad.
@@ -123,18 +126,21 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, names: tuple[str
     return out.withColumn(names[2], F.floor(F.greatest(F.lit(-4.0e9), F.least(F.lit(4.0e9), F.col(names[1]))) * F.lit(1.0e9)).cast("long"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, margin: float = MARGIN, seed: int = SEED, store_text: bool = False) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = SEED, store_text: bool = False) -> DataFrame:
     """``docs`` with log_weight, gumbel_key, kept: a sample without replacement, proportional to importance weights.
 
-    The target is the documents labelled good (at most ``rows``), raw text is everything. k is the number of documents whose
-    weight is at least exp(-margin), that is, which the target model doesn't find clearly less likely than the raw one; the k
-    largest keys are kept (rows that tie with the k-th as well). Where nothing is labelled good, all stay.
+    The target is the documents labelled good (at most ``rows``, less those held out), raw text is everything. k is the number of
+    documents whose weight isn't under nearly all of the held-out good ones; the k largest keys are kept (rows that tie with the k-th
+    as well). Where no good documents can be held out, all stay.
     """
-    good = labelled_sample(labels, "quality", rows).filter("y = 1")
-    ratio = fit(docs, good)
+    good, _ = stored(labelled_sample(labels, "quality", rows).filter("y = 1").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held")), "good")
+    ratio = fit(docs, good.filter(~F.col("held")))
     t = weigh(docs if store_text else docs.select("doc_id", "text"), ratio, seed, ("_log_weight", "_key", "_order"))
     t, _ = stored(t if store_text else t.drop("text"), "weights")
-    k = t.filter(F.col("_log_weight") >= -margin).count()
+    seen = sorted(r[0] for r in t.join(F.broadcast(good.filter("held")), "doc_id", "left_semi").select("_log_weight").collect())
+    if not seen:
+        return t.withColumn("_kept", F.lit(True)).drop("_order")
+    k = t.filter(F.col("_log_weight") >= seen[int(TAIL * len(seen))] - SLACK - FEW / len(seen)).count()
     least = kth_largest(t, "_order", k)
     return t.withColumn("_kept", F.col("_order") >= F.lit(least if least is not None else 0)).drop("_order")
 
