@@ -223,35 +223,32 @@ def pick_altlocs(atoms: DataFrame, strategy: str = "select_best_occupancy", tie:
     """atoms -> (atoms with one conformer per residue, its label cleared; mapping of the residues that had several).
 
     A residue is (chain, number, component), NULLs equal. Means are taken over decimals, so that ties don't depend on the order of
-    summation. Atoms without a label come first in the result, then the chosen ones by residue.
+    summation. Atoms without a label come first in the result, then the chosen ones by residue. All of it is windows within an entry: atoms
+    that are partitioned by entry aren't moved.
     """
     if strategy == "preserve":
         return atoms, nowhere(atoms.select("entry_id", "label_asym_id", F.lit("").alias("residue_id"), F.col("label_alt_id").alias("selected")))
     has = F.coalesce(F.col("label_alt_id") != "", F.lit(False))
-    each = atoms.filter(has).groupBy(*RESIDUE, "label_alt_id").agg(F.avg(F.coalesce(F.col("occupancy"), F.lit(0)).cast("decimal(18,6)")).alias("occ"), F.avg(F.coalesce(F.col("b_iso"), F.lit(0)).cast("decimal(18,6)")).alias("b"), F.min("atom_ord").alias("first_ord"))
-    ties = {"alphabetical_first": [F.asc("label_alt_id")], "alphabetical_last": [F.desc("label_alt_id")], "lowest_b_factor": [F.asc("b"), F.asc("label_alt_id")], "highest_b_factor": [F.desc("b"), F.asc("label_alt_id")]}
+    mean = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,6)"))
+    alike, residue = Window.partitionBy(*RESIDUE, "label_alt_id"), Window.partitionBy(*RESIDUE)
+    ties = {"alphabetical_first": [F.asc("label_alt_id")], "alphabetical_last": [F.desc("label_alt_id")], "lowest_b_factor": [F.asc("_b"), F.asc("label_alt_id")], "highest_b_factor": [F.desc("_b"), F.asc("label_alt_id")]}
     if tie not in ties:
         raise ValueError(f"unknown tie_breaker: {tie}")
     if strategy == "select_best_occupancy":
-        order = [F.desc("occ"), *ties[tie]]
+        order = [F.desc("_occ"), *ties[tie]]
     elif strategy == "select_first":
-        order = [F.asc("first_ord"), F.asc("label_alt_id")]
+        order = [F.asc("_first"), F.asc("label_alt_id")]
     elif strategy == "select_user_defined":
-        order = [F.desc(F.col("label_alt_id") == F.lit(label)), F.asc("first_ord"), F.asc("label_alt_id")]
+        order = [F.desc(F.col("label_alt_id") == F.lit(label)), F.asc("_first"), F.asc("label_alt_id")]
     else:
         raise ValueError(f"unknown altloc strategy: {strategy}")
-    w = Window.partitionBy(*RESIDUE)
-    best = each.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("n_altlocs", F.count(F.lit(1)).over(w)).withColumn("_f", F.min("first_ord").over(w)).filter("_r = 1")
-    chosen = best.select(*RESIDUE, F.col("label_alt_id").alias("_alt"), "_f", "n_altlocs")
-    c = chosen.toDF(*[f"_c_{x}" for x in chosen.columns])
-    on = F.lit(True)
-    for k in RESIDUE:
-        on = on & atoms[k].eqNullSafe(c[f"_c_{k}"])
-    t = atoms.withColumn("_has", has).join(c, on, "left").filter(~F.col("_has") | (F.col("label_alt_id") == F.col("_c__alt")))
-    t = t.withColumn("label_alt_id", F.lit(None).cast("string"))
-    t = reordered(t, F.col("_has"), F.when(F.col("_has"), F.col("_c__f")), F.col("atom_ord")).select(*atoms.columns)
-    mapping = chosen.filter("n_altlocs > 1").select("entry_id", "label_asym_id", S.altloc_residue_id(F.col("label_seq_id"), F.col("label_comp_id")).alias("residue_id"), F.col("_alt").alias("selected"), "n_altlocs")
-    return t, mapping
+    t = atoms.withColumn("_has", has).withColumns({"_occ": mean("occupancy").over(alike), "_b": mean("b_iso").over(alike), "_first": F.min("atom_ord").over(alike)})
+    best = F.first("label_alt_id").over(residue.orderBy(F.desc("_has"), *order))
+    t = t.withColumn("_alt", best).withColumn("_group", F.min(F.when(F.col("_has"), F.col("atom_ord"))).over(residue))
+    kept = t.filter(~F.col("_has") | (F.col("label_alt_id") == F.col("_alt"))).withColumn("label_alt_id", F.lit(None).cast("string"))
+    out = reordered(kept, F.col("_has"), F.when(F.col("_has"), F.col("_group")), F.col("atom_ord")).select(*atoms.columns)
+    several = t.filter("_has").groupBy(*RESIDUE).agg(F.first("_alt").alias("selected"), F.count_distinct("label_alt_id").alias("n_altlocs")).filter("n_altlocs > 1")
+    return out, several.select("entry_id", "label_asym_id", S.altloc_residue_id(F.col("label_seq_id"), F.col("label_comp_id")).alias("residue_id"), "selected", "n_altlocs")
 
 
 # --- entities ----------------------------------------------------------------------------------------------------------

@@ -19,11 +19,11 @@ TOLERANCE = 0.001
 
 
 def grams(items: DataFrame, k: int = 3, words: bool = True) -> DataFrame:
-    """(item_id, sequence) -> distinct (item_id, gram): runs of ``k`` words (or letters); a shorter sequence is one gram."""
+    """(item_id, sequence) -> distinct (item_id, gram): 64-bit hashes of runs of ``k`` words (or letters); a shorter sequence is one gram."""
     w = F.split(F.col("sequence"), " ") if words else F.filter(F.split(F.col("sequence"), ""), lambda x: x != "")
     t = items.filter("sequence is not null").select("item_id", w.alias("w"))
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (k - 1))))
-    return t.select("item_id", "w", at.alias("i")).select("item_id", F.array_join(F.slice("w", F.col("i"), F.lit(k)), " " if words else "").alias("gram")).distinct()
+    return t.select("item_id", "w", at.alias("i")).select("item_id", F.xxhash64(F.array_join(F.slice("w", F.col("i"), F.lit(k)), " " if words else "")).alias("gram")).distinct()
 
 
 def jaccard_pairs(items: DataFrame, percent: int = 50, k: int = 3, words: bool = True, most_shared: int | None = None) -> DataFrame:
@@ -40,12 +40,12 @@ def jaccard_pairs(items: DataFrame, percent: int = 50, k: int = 3, words: bool =
         g = g.filter(F.col("df").between(2, most_shared))
     g = stored(g, "grams")
     sizes = g.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    sets = stored(g.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("gram").alias("h"), "gram"))).alias("s")).join(sizes, "item_id"), "sets")
+    sets = stored(g.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s")).join(sizes, "item_id"), "sets")
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    pre = sets.select("item_id", "n", F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("x")).filter("x.df > 1").select("item_id", "n", "x.h")
-    a, b = pre.toDF("source_id", "size_a", "h"), pre.toDF("target_id", "size_b", "h")
+    pre = sets.select("item_id", "n", F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("x")).filter("x.df > 1").select("item_id", "n", "x.gram")
+    a, b = pre.toDF("source_id", "size_a", "gram"), pre.toDF("target_id", "size_b", "gram")
     close = (F.col("source_id") < F.col("target_id")) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = a.join(b, "h").filter(close).select("source_id", "target_id", "size_a", "size_b").distinct()
+    pairs = a.join(b, "gram").filter(close).select("source_id", "target_id", "size_a", "size_b").distinct()
     hs = sets.select("item_id", F.transform("s", lambda x: x["gram"]).alias("grams"))
     t = pairs.join(hs.toDF("source_id", "ga"), "source_id").join(hs.toDF("target_id", "gb"), "target_id")
     t = t.withColumn("shared", F.size(F.array_intersect("ga", "gb")).cast("bigint")).drop("ga", "gb")
@@ -54,8 +54,7 @@ def jaccard_pairs(items: DataFrame, percent: int = 50, k: int = 3, words: bool =
 
 def minhash_pairs(items: DataFrame, percent: int = 50, k: int = 3, bands: int = 24, rows: int = 3) -> DataFrame:
     """As ``jaccard_pairs``, but candidates come from MinHash bands: exact precision, high recall, less to shuffle."""
-    g = stored(grams(items, k).withColumn("h", F.xxhash64("gram")), "hashes")
-    sets = stored(g.groupBy("item_id").agg(F.collect_set("h").alias("s")).withColumn("n", F.size("s")), "sets")
+    sets = stored(grams(items, k).groupBy("item_id").agg(F.collect_list("gram").alias("s")).withColumn("n", F.size("s")), "sets")
 
     def least(i: int) -> Column:
         return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(i))))

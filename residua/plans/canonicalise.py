@@ -36,6 +36,8 @@ def canonicalise(tables: dict[str, DataFrame], policy: Policy) -> Canonical:
     ``raw`` isn't rewritten: metadata from it keeps original identifiers.
     """
     t, out, notes = dict(tables), Canonical({}), []
+    if policy["identifier_rules.residue_numbering.strategy"] == "renumber" or policy["altloc_rules.strategy"] != "preserve":
+        t["atoms"] = t["atoms"].repartition("entry_id")  # one exchange; every window below is within an entry
     record = policy["provenance_rules.record_original_mappings"]
 
     def done(name: str, strategy: str) -> None:

@@ -336,7 +336,7 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.jaccard_pairs(_documents(spark, d)).select("source_id", "target_id", "shared", "size_a", "size_b")
 
 
-@query()
+@query(_GRAMS + " SELECT * FROM e")
 def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.minhash_pairs(_documents(spark, d))
 
@@ -467,7 +467,19 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("bigint").alias("id"), S.entity_sequence(F.lit(""), F.col("p_name")).alias("sequence"), F.length("p_name").alias("n"), S.clean(F.col("p_brand")).alias("brand"), S.as_int(F.regexp_extract("p_brand", "[0-9]+", 0)).alias("number"))
 
 
-@query()
+_PLAN = TYPES + """, m AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY entry_id ORDER BY f) AS VARCHAR) AS c FROM (SELECT *, CASE WHEN type = 'polymer' AND seq_can <> '' THEN min(entity_ord) OVER (PARTITION BY entry_id, seq_can, type = 'polymer') ELSE entity_ord END AS f FROM fx_types)),
+ch AS (SELECT entry_id, id, entity_id, chr(CAST(64 + row_number() OVER (PARTITION BY entry_id ORDER BY asym_ord) AS INT)) AS nc FROM fx_asym),
+a1 AS (SELECT a.* REPLACE (ch.nc AS label_asym_id) FROM fx_atoms a JOIN ch ON ch.entry_id = a.entry_id AND ch.id = a.label_asym_id),
+a2 AS (SELECT * REPLACE (CAST(dense_rank() OVER (PARTITION BY entry_id, label_asym_id ORDER BY f) AS INT) AS label_seq_id) FROM (SELECT *, min(atom_ord) OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id, ins_code) AS f FROM a1)),
+e AS (SELECT entry_id, label_asym_id, label_seq_id, label_comp_id, label_alt_id, CAST(sum(CAST(occupancy AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS occ, CAST(sum(CAST(b_iso AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS b, min(atom_ord) AS o FROM a2 WHERE label_alt_id <> '' GROUP BY ALL),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id ORDER BY occ DESC, b, label_alt_id) AS r, min(o) OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id) AS g FROM e) WHERE r = 1),
+a3 AS (SELECT a.entry_id, a.label_asym_id, a.label_entity_id, a.label_seq_id, a.label_comp_id, a.label_atom_id, CAST(row_number() OVER (PARTITION BY a.entry_id ORDER BY a.label_alt_id IS NOT NULL, CASE WHEN a.label_alt_id IS NOT NULL THEN w.g END, a.atom_ord) AS BIGINT) AS atom_ord
+ FROM a2 a LEFT JOIN w ON w.entry_id = a.entry_id AND w.label_asym_id = a.label_asym_id AND w.label_seq_id IS NOT DISTINCT FROM a.label_seq_id AND w.label_comp_id = a.label_comp_id WHERE a.label_alt_id IS NULL OR a.label_alt_id = w.label_alt_id)
+SELECT a3.entry_id, a3.atom_ord, a3.label_asym_id, m.c AS label_entity_id, a3.label_seq_id, a3.label_comp_id, a3.label_atom_id FROM a3 JOIN ch ON ch.entry_id = a3.entry_id AND ch.nc = a3.label_asym_id JOIN m ON m.entry_id = a3.entry_id AND m.id = a3.label_entity_id
+ WHERE m.type = 'polymer' OR (m.type <> 'water' AND NOT (""" + _ION.replace("pdbx_description", "m.pdbx_description") + "))"
+
+
+@query(_PLAN)
 def canonical_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole canonicalisation plan: remapped chains, renumbered residues, best occupancy by low B, merged entities, no waters or ions."""
     from residua.plans.canonicalise import canonicalise
