@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residua.llm.common import without
+
 #: Rows that Python holds as objects at a time.
 ROWS = 512
 
 
 def appended(df: DataFrame, column: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[list[str]], list]) -> DataFrame:
-    """``df`` with ``fields`` made from its string column; nulls in it count as empty. Names in ``fields`` must be new."""
+    """``df`` with ``fields`` made from its string column; nulls in it count as empty. Columns of those names are replaced."""
+    df = without(df, [n for n, _, _ in fields])
     at = df.columns.index(column)
     schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t, _ in fields])
 
@@ -38,15 +41,3 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, where: Column | No
     t = t.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return t.filter("y = 0").orderBy(*order).limit(rows).unionByName(t.filter("y = 1").orderBy(*order).limit(rows))
-
-
-def free(names: list[str], taken: list[str]) -> list[str]:
-    """``names``, each with underscores added until it isn't in ``taken``, whatever the case."""
-    used, out = {x.lower() for x in taken}, []
-    for n in names:
-        while n.lower() in used:
-            n += "_"
-        out.append(n)
-    return out
-
-

@@ -73,6 +73,12 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
+def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df`` without columns of these names, whatever their case: operators replace columns named like what they add."""
+    gone = {n.lower() for n in names}
+    return df.select(*[df[c] for c in df.columns if c.lower() not in gone])
+
+
 def grouped_rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Adds ``name``, 0, 1, 2 ... within each group in the given order, without a window over a group.
 
@@ -81,18 +87,18 @@ def grouped_rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     the partitions. Rows that tie in everything get places in any order among themselves.
     """
     keys = [F.col(g).asc_nulls_last() for g in groups] + list(order)
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_gr_at", F.monotonically_increasing_id())
     t, _ = stored(dealt, "rank")
-    t = t.withColumn("_part", F.shiftright("_at", 33))
-    runs = t.groupBy(*groups, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    t = t.withColumn("_gr_part", F.shiftright("_gr_at", 33))
+    runs = t.groupBy(*groups, "_gr_part").agg(F.min("_gr_at").alias("_gr_first"), F.count(F.lit(1)).alias("_gr_rows"))
+    before = Window.partitionBy(*groups).orderBy("_gr_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_gr_base", F.coalesce(F.sum("_gr_rows").over(before), F.lit(0))).drop("_gr_rows")
     runs, _ = stored(runs, "runs")
     runs = runs.toDF(*[f"_r_{c}" for c in runs.columns])
-    on = t["_part"] == runs["_r__part"]
+    on = t["_gr_part"] == runs["_r__gr_part"]
     for g in groups:
         on = on & t[g].eqNullSafe(runs[f"_r_{g}"])
-    return t.join(bounded(runs), on, "inner").select(*[t[c] for c in df.columns], (F.col("_r__base") + F.col("_at") - F.col("_r__first")).alias(name))
+    return t.join(bounded(runs), on, "inner").select(*[t[c] for c in df.columns], (F.col("_r__gr_base") + F.col("_gr_at") - F.col("_r__gr_first")).alias(name))
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:

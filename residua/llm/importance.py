@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from residua.llm.arrow import ROWS, appended, labelled_sample
-from residua.llm.common import kth_largest, read, stored
+from residua.llm.common import kth_largest, read, stored, without
 
 BUCKETS = 10_000
 #: Good labelled documents that the target model is counted from, at most.
@@ -134,6 +134,7 @@ def resample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int =
     as well). Where no good documents can be held out, all stay.
     """
     good, _ = stored(labelled_sample(labels, "quality", rows).filter("y = 1").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held")), "good")
+    docs = without(docs, ["_log_weight", "_key", "_order", "_kept"])
     ratio = fit(docs, good.filter(~F.col("held")))
     t = weigh(docs if store_text else docs.select("doc_id", "text"), ratio, seed, ("_log_weight", "_key", "_order"))
     t, _ = stored(t if store_text else t.drop("text"), "weights")

@@ -76,7 +76,7 @@ def scan(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with n_license_sentences, sentence_ids (comma-joined, in text order) and licenses (comma-joined, by precedence).
 
     A sentence is lower-cased, each run outside a-z 0-9 becomes a space, and it is looked up whole; identifiers in text order
-    are matched against each rule. It is one projection: no shuffle, no join, whatever a document's length. Null or empty text: 0 and empty strings.
+    are matched against each rule. It is one projection: no shuffle, no join, whatever a document's length. Columns of those names are replaced. Null or empty text: 0 and empty strings.
     """
     clean = F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     known = F.filter(clean, lambda s: s.isin(*SENTENCES))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import bounded, grouped_rank, n_words, read, stored
+from residua.llm.common import bounded, grouped_rank, n_words, read, stored, without
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -44,9 +44,10 @@ def mix(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, cap
     the source's name and ``seed``, up to its choice among OFFSETS evenly spaced ones: the one whose words come nearest the target, so that
     a source with few documents isn't far off because its longest is in or out.
 
-    Null text: size 0. Null source: a source of its own. A source without words has target 0. Rows equal in size and doc_id are
+    Columns named like those that are added are replaced. Null text: size 0. Null source: a source of its own. A source without words has target 0. Rows equal in size and doc_id are
     interchangeable. Empty table: empty result.
     """
+    docs = without(docs, ["_source_size", "_target", "_copies", "_rank", "_n", "_s", "_u", "_k", "_rate"])
     t = docs if "_size" in docs.columns else docs.withColumn("_size", n_words(F.col("text")))
     sums, _ = stored(targets(t.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, cap), "targets")
     ranked = grouped_rank(t, ["source"], [F.col("_size").asc(), F.col("doc_id").asc_nulls_first()], "_rank")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.common import grouped_rank, n_words, read, stored
+from residua.llm.common import grouped_rank, n_words, read, stored, without
 
 BUCKETS = 12
 TOKEN_BUDGET = 8192
@@ -57,8 +57,10 @@ def pack(sizes: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -
     The histogram has EXACT + STEPS * log2(longest / EXACT) bins at most and is all that reaches the driver. Documents of a
     bucket stand by length, then doc_id, and fill batches of floor(budget / bucket_len) rows (1 at least: a document over
     the budget is a batch of its own); each row of a batch is padded to bucket_len. A bucket that holds most documents is ranked over
-    many tasks. Documents without tokens go to the first bucket. Nothing is dropped or cut. Empty table: empty result.
+    many tasks. Documents without tokens go to the first bucket. Nothing is dropped or cut. Columns named like those that are
+    added are replaced. Empty table: empty result.
     """
+    sizes = without(sizes, ["bucket_len", "bucket", "batch", "place", "_bin", "_rank"])
     t, _ = stored(sizes.withColumn("_bin", rounded(F.col("n_tokens"))), "lengths")
     hist = sorted((r[0], r[1]) for r in t.groupBy("_bin").count().collect())
     bounds = best_bounds(np.array([x for x, _ in hist], dtype=np.int64), np.array([n for _, n in hist], dtype=np.int64), buckets)

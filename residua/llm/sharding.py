@@ -8,7 +8,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.common import grouped_rank, read, stored
+from residua.llm.common import grouped_rank, read, stored, without
 
 SLOTS = 16_384
 SHARDS = 24
@@ -74,9 +74,10 @@ def assign(records: DataFrame, slots: int = SLOTS, shards: int = SHARDS, toleran
 
     Bytes are summed per slot (``slots`` rows come to the driver, whatever the input), version 1 of the map deals out runs of slots,
     and version 2 moves single slots from full to empty shards. Both versions are stored as (version, slot, shard, bytes).
+    Columns named like those that are added are replaced.
     """
     spark = records.sparkSession
-    t = records.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots))
+    t = without(records, ["virtual_slot", "shard", "map_version"]).withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots))
     held = [0] * slots
     for s, b in t.groupBy("virtual_slot").agg(F.sum("size")).collect():
         held[s] = int(b or 0)

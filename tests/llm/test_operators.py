@@ -44,6 +44,23 @@ def test_odd_and_empty_tables(spark, odd, f):
     assert f(spark, odd[1]).count() == 0
 
 
+def test_clashing_columns_are_replaced(spark):
+    names = ["Kept", "score", "N_words", "predicted", "log_weight", "_key", "_kept", "_rank", "_u", "_copies", "_n", "bucket", "_bin", "place", "shard", "virtual_slot", "licenses", "_at", "_part", "h", "n", "slice", "html_"]
+    docs = spark.createDataFrame([(i, f"w{i} " * (i + 1), "a", 5, 9, *["x"] * len(names)) for i in range(20)], ", ".join(["doc_id long", "text string", "source string", "n_tokens long", "size long", *[f"{n} string" for n in names]]))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality long, toxic long")
+    for t, kind in (
+        (rules.judge(docs, rules.train(docs, labels)).select("kept"), "boolean"),
+        (importance.resample(docs, labels, store_text=True).select("_kept"), "boolean"),
+        (toxicity.score(docs, toxicity.train(docs, labels)).select("score"), "double"),
+        (mixing.mix(docs).select("_copies"), "bigint"),
+        (packing.pack(docs).select("bucket"), "int"),
+        (sharding.assign(docs)[0].select("shard"), "int"),
+        (licenses.scan(docs, F.col("text")).select("licenses"), "string"),
+        (jaccard.linked(docs).select("component_id"), "bigint"),
+    ):
+        assert t.dtypes[0][1] == kind and t.count() == 20
+
+
 # --- 1
 
 
