@@ -6,8 +6,6 @@ serves consecutive steps. A residue's key compares NULLs as equal.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +25,6 @@ def diagnostic(df: DataFrame, code: str, message: Column, field: Column, severit
     return df.select("entry_id", F.lit(stage).alias("stage"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), field.cast("string").alias("field"))
 
 
-def equal_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
-
-
-def semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` whose keys (NULLs equal) occur in ``right``."""
-    r = right.select(*keys).toDF(*[f"_k{i}" for i in range(len(keys))])
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & left[k].eqNullSafe(r[f"_k{i}"])
-    return left.join(r, on, "left_semi")
-
-
-def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    r = right.select(*keys).toDF(*[f"_k{i}" for i in range(len(keys))])
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & left[k].eqNullSafe(r[f"_k{i}"])
-    return left.join(r, on, "left_anti")
-
-
 # --- chain identifiers -------------------------------------------------------------------------------------------------
 
 
@@ -67,15 +41,26 @@ def chain_map(asym: DataFrame, strategy: str = "preserve") -> DataFrame:
     return asym.select("entry_id", F.col("id").alias("original_chain_id"), new.alias("canonical_chain_id"), "asym_ord")
 
 
+def per_entry(mapping: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(entry_id, _map): a mapping folded into one map per entry; a key that occurs twice takes its last value. Entries are small, so atoms that
+    are partitioned by entry meet their map without being moved again."""
+    last = mapping.groupBy("entry_id", key).agg(F.max_by(value, order).alias("to"))
+    return last.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "to"))).alias("_map"))
+
+
+def in_listed(atoms: DataFrame, chains: DataFrame) -> DataFrame:
+    """Atoms of the chains (entry_id, id), by one list per entry."""
+    lists = chains.groupBy("entry_id").agg(F.collect_set("id").alias("_ids"))
+    return atoms.join(lists, "entry_id").filter(F.array_contains("_ids", F.col("label_asym_id"))).drop("_ids").select(*atoms.columns)
+
+
 def rename_chains(df: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
     """Chain columns (also the fields ``ptnr1.label_asym_id`` of structs) through the mapping; unknown chains keep their names.
 
     The mapping is folded into one map per entry, so that any number of columns costs one join by entry. An identifier mapped twice
     takes its last row.
     """
-    last = mapping.groupBy("entry_id", "original_chain_id").agg(F.max_by("canonical_chain_id", "asym_ord").alias("to"))
-    maps = last.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("original_chain_id", "to"))).alias("_map"))
-    out = df.join(maps, "entry_id", "left")
+    out = df.join(per_entry(mapping, "original_chain_id", "canonical_chain_id", "asym_ord"), "entry_id", "left")
     new = lambda c: F.coalesce(F.try_element_at("_map", c), c)
     for c in columns:
         head, dot, leaf = c.partition(".")
@@ -88,9 +73,7 @@ def rename_chains(df: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame
 
 def rename_generators(assemblies: DataFrame, mapping: DataFrame) -> DataFrame:
     """The chain lists inside assembly generators through the mapping."""
-    last = mapping.groupBy("entry_id", "original_chain_id").agg(F.max_by("canonical_chain_id", "asym_ord").alias("to"))
-    maps = last.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("original_chain_id", "to"))).alias("_map"))
-    t = assemblies.join(maps, "entry_id", "left")
+    t = assemblies.join(per_entry(mapping, "original_chain_id", "canonical_chain_id", "asym_ord"), "entry_id", "left")
     one = lambda g: g.withField("asym_id_list", F.transform(g["asym_id_list"], lambda c: F.coalesce(F.try_element_at("_map", c), c)))
     return t.withColumn("generators", F.transform("generators", one)).drop("_map")
 
@@ -182,7 +165,7 @@ def sequence_gaps(atoms: DataFrame) -> DataFrame:
 
 def drop_gapped_chains(atoms: DataFrame) -> DataFrame:
     """Atoms of chains without gaps; the chains themselves stay listed."""
-    return anti(atoms, sequence_gaps(atoms).select("entry_id", "label_asym_id").distinct(), ["entry_id", "label_asym_id"])
+    return atoms.join(sequence_gaps(atoms).select("entry_id", "label_asym_id").distinct(), ["entry_id", "label_asym_id"], "left_anti").select(*atoms.columns)
 
 
 def incomplete_chains(atoms: DataFrame) -> DataFrame:
@@ -195,8 +178,8 @@ def incomplete_chains(atoms: DataFrame) -> DataFrame:
 def exclude_incomplete(atoms: DataFrame, asym: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chains and atoms without the incomplete chains; atoms of unlisted chains go too."""
     bad = incomplete_chains(atoms).select("entry_id", F.col("label_asym_id").alias("id"))
-    kept = anti(asym, bad, ["entry_id", "id"])
-    return semi(atoms, kept.select("entry_id", F.col("id").alias("label_asym_id")), ["entry_id", "label_asym_id"]), kept
+    kept = asym.join(bad, ["entry_id", "id"], "left_anti")
+    return in_listed(atoms, kept), kept
 
 
 def longest_regions(atoms: DataFrame) -> DataFrame:
@@ -275,8 +258,8 @@ def map_entities(entities: DataFrame, strategy: str = "preserve") -> DataFrame:
 
 
 def apply_entity_map(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
-    m = mapping.select("entry_id", F.col("original_entity_id").alias(column), F.col("canonical_entity_id").alias("_to"))
-    return df.join(m, ["entry_id", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to").select(*df.columns)
+    t = df.join(per_entry(mapping, "original_entity_id", "canonical_entity_id", "entity_ord"), "entry_id", "left")
+    return t.withColumn(column, F.coalesce(F.try_element_at("_map", F.col(column)), F.col(column))).drop("_map").select(*df.columns)
 
 
 def merged_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -315,7 +298,7 @@ def filter_ligands(asym: DataFrame, atoms: DataFrame, entities: DataFrame, strat
     t = kept_chains(asym, entities, strategy, waters, ions, nonpolymers)
     keep = t.filter("_keep").select(*asym.columns)
     notes = diagnostic(t.filter(~F.col("_keep")) if strategy == "annotate_only" else nowhere(t), "LIGAND_ANNOTATED_ONLY", F.concat(F.lit("chain "), F.col("id"), F.lit(" is kept as an annotation only")), F.col("id"), "info")
-    return keep, semi(atoms, keep.select("entry_id", F.col("id").alias("label_asym_id")).distinct(), ["entry_id", "label_asym_id"]), notes
+    return keep, in_listed(atoms, keep), notes
 
 
 # --- validation --------------------------------------------------------------------------------------------------------
