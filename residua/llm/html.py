@@ -31,7 +31,7 @@ _ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"})
 #: Elements, roles and words in class names that stand around an article.
 _AROUND = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button", "search", "fieldset"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
-_NAMES = {"nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "footers", "sidebar", "sidebars", "aside", "widget", "widgets", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsors", "sponsored", "promo", "promos", "promotion", "banner", "banners", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "copyright", "form", "search", "skip", "paywall", "teaser", "teasers"}
+_NAMES = {"nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "footers", "sidebar", "sidebars", "aside", "widget", "widgets", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsors", "sponsored", "promo", "promos", "promotion", "banner", "banners", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "copyright", "form", "search", "skip", "paywall", "teaser", "teasers"}
 _HEADS = {"header", "headers"}
 _WITH = {"with", "has", "no", "without", "is", "js"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -166,9 +166,23 @@ def parse(html: str) -> Node:
             if tag not in _VOID and not (attrs.rstrip().endswith("/") and tag == "hr"):
                 stack.append(node)
     flush()
+    if "<form" in html or "<FORM" in html:
+        unwrap(root)
     return root
 
 
+def holds(node: Node, tags: set[str]) -> bool:
+    return any(x.tag in tags or holds(x, tags) for x in node.kids)
+
+
+def unwrap(node: Node) -> None:
+    """A form around a whole page, as some servers write it, isn't one: it holds an article, a main element or a first heading."""
+    for x in node.kids:
+        if x.tag == "form" and x.role == "around" and holds(x, {"article", "main", "h1"}):
+            x.role = ""
+        unwrap(x)
+
+
 def outline(node: Node) -> list:
     """[label, digest of all below, children] of a tree without its head, with runs of like siblings folded beyond PEEL at either end.
 

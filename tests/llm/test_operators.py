@@ -208,6 +208,7 @@ def test_copies_of_a_page_make_no_template(spark):
         ("<body><div class='cookie-notice'>c</div><div class='has-sidebar'><p>x</p><div class=ad-slot>buy</div></div></body>", "x"),
         ("<main><ul><li>one<li>two &lt;3</ul><table><tr><td>a<td>b</table></main>", "one\ntwo <3\na\nb"),
         ("<article><p><b>x<p>y</p></article><p>z", "x\ny"),
+        ("<form id=page><nav>n</nav><h1>T</h1><p>x</p><label>name</label><input><ol class=commentlist><li>c</ol></form>", "T\nx"),
         ("<p hidden>h</p><p style='display: none'>d</p><p>ok</p>", "ok"),
         ("<article><pre> a\n  b </pre><blockquote>q</blockquote></article><article class=comment>no no no no no no</article>", "a b\nq"),
     ],
