@@ -22,7 +22,7 @@ SAMPLE = 12_000
 #: Word parts that the classifier keeps: those most unlike between the classes.
 KEPT = 6_000
 #: Least difference of a kept part's rates, in standard errors; penalties on squared and absolute weights.
-LEAST_Z, L2, L1 = 3.0, 2e-5, 1e-4
+LEAST_Z, L2, L1 = 4.0, 2e-5, 1e-4
 #: Weight of the squared change in score when an identity term is swapped.
 COUNTERFACTUAL = 5.0
 #: Terms that name a group, in sets within which one can stand for another.
