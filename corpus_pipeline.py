@@ -23,6 +23,11 @@ def _kept_whole(docs: DataFrame, *used: str) -> DataFrame:
     return docs.select(*used, F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
 
+def _ids_will_do(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or repeated, so that rows can be told apart by it."""
+    return docs.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").isEmpty()
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the boosted trees keep. Null and empty texts go."""
     t = _kept_whole(docs, "doc_id", "text")
@@ -40,8 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Where an id is null or repeated, rows get ids of their own first, so that one row stays all the same.
     """
-    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    if ids.filter("doc_id is null or n > 1").isEmpty():
+    if _ids_will_do(docs):
         found, _ = stored(jaccard.linked(docs, SHINGLE, PERCENT).filter("component_id < doc_id").select("doc_id"), "duplicates")
         return docs.join(bounded(found, 1_000_000), "doc_id", "left_anti").select(docs.columns)
     t, _ = stored(docs.select(F.monotonically_increasing_id().alias("_id"), "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row")), "rows")
@@ -50,9 +54,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the systematic sample of its source takes it: not at all, or up to three times."""
-    t = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    t = mixing.mix(t).filter("_copies > 0")
+    """Each document as often as the systematic sample of its source takes it: not at all, or up to three times.
+
+    Sizes are ranked without the texts, and the numbers of copies are joined to them; where an id is null or repeated, whole rows are ranked.
+    """
+    row, size = F.struct(*[docs[c] for c in docs.columns]).alias("_row"), n_words(F.col("text")).alias("_size")
+    if _ids_will_do(docs):
+        slim, _ = stored(docs.select("doc_id", "source", size), "sizes")
+        copies, _ = stored(mixing.mix(slim).filter("_copies > 0").select("doc_id", "_copies"), "copies")
+        t = docs.select("doc_id", row).join(bounded(copies, 1_000_000), "doc_id")
+    else:
+        t = mixing.mix(docs.select("doc_id", "source", size, row)).filter("_copies > 0")
     return t.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 

@@ -45,6 +45,15 @@ def test_stages(spark, folder):
     assert set(seen[4]) == set(seen[3]) and len(seen[4]) == len(seen[3])
 
 
+def test_mixing_is_the_same_by_ids_and_by_rows(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id between 1 and 119")
+    by_ids, by_rows = [], []
+    for out, plain in ((by_ids, True), (by_rows, False)):
+        monkeypatch.setattr(P, "_ids_will_do", lambda _, plain=plain: plain)
+        out += sorted(r["doc_id"] for r in P.mix_sources(spark, docs, folder).collect())
+    assert by_ids == by_rows and len(by_ids) > 0
+
+
 def test_run_equals_the_stages(spark, folder):
     assert P.run(spark, folder).columns == ["doc_id", "n_tokens", "bucket", "bucket_len", "batch", "place"]
 
