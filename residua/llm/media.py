@@ -19,7 +19,9 @@ from residua.llm.common import _CLEANUP, hot_keys, read, stored, work_dir
 #: Payloads are padded with spaces to a positive multiple of this.
 FRAME = 192
 #: Chunk sizes in bytes: none below LEAST but a last one, about MEAN (a power of two) beyond it, none above MOST.
-LEAST, MEAN, MOST = 2048, 8192, 32_768
+LEAST, MEAN, MOST = 256, 1024, 8192
+#: Bytes of a WAVE file before its samples. They hold lengths, so they are a chunk of their own.
+HEADER = 44
 RATE = 8000
 #: The gear table: 256 numbers drawn from a fixed seed.
 GEAR = np.random.RandomState(20_240_229).randint(0, 2**63, size=256, dtype=np.int64).astype(np.uint64)
@@ -32,9 +34,9 @@ def wave(payload: bytes) -> bytes:
 
 def samples(media: bytes) -> bytes:
     """The samples of a WAVE file as ``wave`` writes it."""
-    if media[:4] != b"RIFF" or media[8:16] != b"WAVEfmt " or media[36:40] != b"data" or struct.unpack("<I", media[40:44])[0] != len(media) - 44:
+    if media[:4] != b"RIFF" or media[8:16] != b"WAVEfmt " or media[36:40] != b"data" or struct.unpack("<I", media[40:44])[0] != len(media) - HEADER:
         raise ValueError("not a WAVE file of this store")
-    return media[44:]
+    return media[HEADER:]
 
 
 def cuts(data: bytes, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
@@ -91,7 +93,7 @@ def split(text: str | None) -> tuple[bytes, bytes, list[bytes]]:
     """A text's bytes, its media and the media's chunks."""
     raw = (text or "").encode()
     media = wave(raw + b" " * (-len(raw) % FRAME if raw else FRAME))
-    ends = cuts(media)
+    ends = [HEADER, *(HEADER + e for e in cuts(media[HEADER:]))]
     return raw, media, [media[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
@@ -100,8 +102,17 @@ def digest(piece: bytes) -> bytes:
     return hashlib.sha256(piece).digest()[:16]
 
 
+def packed(piece: bytes) -> bytes:
+    """The shorter of a bz2 stream (better from about a kilobyte of text on) and a raw deflate stream after a D."""
+    return min(bz2.compress(piece, 1), b"D" + zlib.compress(piece, 9, -15), key=len)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zlib.decompress(data[1:], -15) if data[:1] == b"D" else bz2.decompress(data)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(text) -> (digest, data), data compressed (block sorting suits chunks of text best); a task sends a digest once as long as it remembers it."""
+    """(text) -> (digest, data), data compressed; a task sends a digest once as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -113,7 +124,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                         if (d := digest(piece)) not in seen:
                             seen.add(d)
                             names.append(d)
-                            data.append(bz2.compress(piece, 1))
+                            data.append(packed(piece))
                 if len(seen) > 500_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.binary()), pa.array(data, type=pa.binary())], names=["digest", "data"])
@@ -133,7 +144,7 @@ def rebuilt(lists: DataFrame) -> DataFrame:
                 for name, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     pieces = []
                     for c in sorted(parts, key=lambda c: c["place"]):
-                        pieces.append(bz2.decompress(c["data"]))
+                        pieces.append(unpacked(c["data"]))
                         if digest(pieces[-1]) != c["digest"]:
                             raise ValueError("a stored chunk doesn't have its digest")
                     media = b"".join(pieces)

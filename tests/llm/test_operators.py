@@ -94,6 +94,20 @@ def test_media_round_trip(spark, tmp_path):
     assert lists.count() == len(docs)
 
 
+def test_texts_of_usual_length_share_chunks():
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(n))
+    common = whole = 0
+    for _ in range(20):
+        shared = prose(700)
+        a, b, c = (media.split(t)[2] for t in (prose(40) + shared, shared + prose(90), shared))
+        assert b[0] == media.wave(b"".join(b[1:]))[: media.HEADER] and b[0] not in c
+        common += sum(map(len, {*a} & {*b})) + sum(map(len, {*b} & {*c}))
+        whole += 2 * len(shared)
+    assert common > whole / 2
+    assert all(media.unpacked(media.packed(x)) == x for x in (b"", b"D", b"BZh", b"a" * 9000, prose(900).encode()))
+
+
 def test_a_broken_chunk_is_noticed(spark):
     rows = spark.createDataFrame([(b"m" * 16, [(0, b"d" * 16, media.bz2.compress(b"abc"))])], "media binary, chunks array<struct<place:int,digest:binary,data:binary>>")
     with pytest.raises(Exception, match="digest"):
