@@ -64,8 +64,24 @@ RULES = (
     ("BSD-2-Clause", ("bsd_grant", "bsd_source")),
     ("Proprietary", ("all_rights_reserved",)),
 )
-#: Sentences end at a line break, or at . ! ? before white space or the end.
-ENDS = r"[.!?]+\s+|\n+|[.!?]+$"
+#: Each known sentence has one of these in it; texts without any aren't cut into sentences.
+KEYS = ("licen", "permission", "redistribution", "warranty", "all rights")
+#: Replaced in turn, in lower case: comment marks and letters or numbers of lists at the start of a line, then what ends a sentence (|: . ! ? before white space or the end, and a line
+#: without letters or digits), then what may end or go on within one (a line feed: line breaks and , ; :), then spaces about them.
+STEPS = (
+    (r"(?m)^[^a-z0-9\n.!?]{0,40}(?:(?:rem|dnl)(?=\s|$)[^a-z0-9\n.!?]{0,40})?(?:[0-9a-z]\)(?=\s))?", " "),
+    (r"[^a-z0-9\n.!?,;:]+", " "),
+    (r"(?<![.!?])[.!?]++(?:\s+|$)", "|"),
+    (r"[.!?]+", " "),
+    (r"\n[ ,;:]*+(?=\n)", "|"),
+    (r" +", " "),
+    (r"[\n,;:][ \n,;:]*", "\n"),
+    (r" \n", "\n"),
+    (r"[ \n]?\|[ \n|]*", "|"),
+    (r"^[ \n]+|[ \n]+$", ""),
+)
+#: A known sentence, perhaps over several lines, from where one may begin to where one may end; the longest first.
+KNOWN = r"(?<![^|\n])(?:" + "|".join(x.replace(" ", r"[ \n]") for x in sorted(SENTENCES, key=len, reverse=True)) + r")(?![^|\n])"
 
 
 def pattern(ids: tuple[str, ...]) -> str:
@@ -75,11 +91,16 @@ def pattern(ids: tuple[str, ...]) -> str:
 def scan(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with n_license_sentences, sentence_ids (comma-joined, in text order) and licenses (comma-joined, by precedence).
 
-    A sentence is lower-cased, each run outside a-z 0-9 becomes a space, and it is looked up whole; identifiers in text order
-    are matched against each rule. It is one projection: no shuffle, no join, whatever a document's length. Columns of those names are replaced. Null or empty text: 0 and empty strings.
+    Sentences end at . ! ? and at blank lines; line breaks within them, with comment marks, are joined. A known sentence may also begin
+    or end at a line break or at , ; : so that one-line notices and headings are found. Case, and each run outside a-z 0-9, don't count.
+    Identifiers in text order are matched against each rule. It is one projection: no shuffle, no join, whatever a document's length.
+    Columns of those names are replaced. Null or empty text: 0 and empty strings.
     """
-    clean = F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.filter(clean, lambda s: s.isin(*SENTENCES))
+    clean = F.lower(F.coalesce(text, F.lit("")))
+    some = clean.rlike("|".join(KEYS))
+    for old, new in STEPS:
+        clean = F.regexp_replace(clean, old, new)
+    known = F.when(some, F.transform(F.regexp_extract_all(clean, F.lit(KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " "))).otherwise(F.array().cast("array<string>"))
     table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     t = docs.withColumn("_ids", F.transform(known, lambda s: F.element_at(table, s)))
     t = t.withColumn("n_license_sentences", F.size("_ids").cast("long")).withColumn("sentence_ids", F.array_join("_ids", ","))

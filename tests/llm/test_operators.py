@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -408,6 +409,41 @@ def test_license_rules(spark):
     assert got == ["Apache-2.0", "MIT,Proprietary", "", "", "BSD-2-Clause"]
 
 
+MIT = """The MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+
+
+@pytest.mark.parametrize("width", [50, 72, 79])
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "# ", "dnl ", "\r"])
+def test_wrapped_licenses(spark, width, mark):
+    def wrapped(text):
+        lines = [x for line in text.split("\n") for x in textwrap.wrap(line, width) or [""]]
+        return "".join(f"{x}\r\n" if mark == "\r" else f"{mark}{x}".rstrip() + "\n" for x in lines)
+
+    texts = [MIT, GPL.format(3), GPL.format(2), BSD.format("2."), BSD.format("(b)"), APACHE, "Code, licensed under the MIT License, see LICENSE", "The project is not licensed under the MIT License. Permission is no\nMIT License matter."]
+    docs = spark.createDataFrame([(i, wrapped(t)) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1)
+    got = [(x["sentence_ids"], x["licenses"]) for x in licenses.scan(docs, F.col("text")).orderBy("doc_id").collect()]
+    bsd = ("bsd_grant,bsd_source,bsd_binary", "BSD-3-Clause,BSD-2-Clause")
+    gpl = ("gpl3_grant,gpl_warranty,gpl_details", "GPL-3.0")
+    assert got == [("mit_title,mit_grant,mit_condition", "MIT"), gpl, ("gpl2_grant,gpl_warranty,gpl_details", "GPL-2.0"), bsd, bsd, ("apache_header,apache_compliance,apache_copy_at", "Apache-2.0"), ("mit_notice", "MIT"), ("", "")]
+    assert all(any(k in s for k in licenses.KEYS) for s in licenses.SENTENCES)
+
+
 # --- 10
 
 
