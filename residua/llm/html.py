@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.llm.common import bounded, read, stored
 
-#: A node is template if it is the same on SHARE of the pages aligned to it, of at least PAGES different ones.
+#: A node is template if it is the same on SHARE of the pages that have its slot, on at least PAGES different ones.
 PAGES, SHARE = 4, 0.8
 #: Nodes at either end of a run of like siblings that are aligned singly; the rest of the run is one node.
 PEEL = 2
@@ -33,6 +33,7 @@ _AROUND = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button",
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
 _NAMES = {"nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "footers", "sidebar", "sidebars", "aside", "widget", "widgets", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsors", "sponsored", "promo", "promos", "promotion", "banner", "banners", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "copyright", "form", "search", "skip", "paywall", "teaser", "teasers"}
 _HEADS = {"header", "headers"}
+_DIVIDES = {"html", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form"}
 _WITH = {"with", "has", "no", "without", "is", "js"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
@@ -213,10 +214,6 @@ def outline(node: Node) -> list:
     return [node.label, xxhash.xxh64_intdigest(f"{node.label}({','.join(str(x[1]) for x in kids)})"), kids, [node]]
 
 
-def plain(o: list) -> list:
-    return [o[0], o[1], [plain(x) for x in o[2]]]
-
-
 def numbered(o: list, out: list | None = None) -> list[list]:
     """Nodes of an outline in page order; a node's number is its place."""
     out = [] if out is None else out
@@ -255,8 +252,39 @@ def align(a: list, b: list) -> tuple[float, list[tuple[list, list]]]:
     return 1 + best[m][n], pairs
 
 
+def slots(node: Node, path: int, out: list[tuple[int, int, list[Node]]]) -> tuple[int, bool]:
+    """Adds (slot, digest of all below, nodes) of the elements with text below a node, without its head, and of text beside elements.
+
+    A slot is the path of labels from the root. Returns the node's digest and whether it has text.
+    """
+    got = []
+    kids = [x for x in node.kids if x.tag != "head"]
+    for x in kids:
+        slot = xxhash.xxh64_intdigest(f"{path}/{x.label}") >> 1
+        if x.tag == "#":
+            d, some = xxhash.xxh64_intdigest(x.text) >> 1, True
+        else:
+            d, some = slots(x, slot, out)
+        if some and (x.tag != "#" or len(kids) > 1):
+            out.append((slot, d, [x]))
+        got.append((d, some))
+    return xxhash.xxh64_intdigest(f"{node.label}({','.join(str(d) for d, _ in got)})") >> 1, any(some for _, some in got)
+
+
+def layout(node: Node, depth: int = 4) -> str:
+    """Labels of the elements that divide a page, down to ``depth``, with runs of equal ones as one; plain elements of content don't count."""
+    kids: list[str] = []
+    for x in node.kids:
+        if x.tag in _DIVIDES or "." in x.label:
+            one = layout(x, depth - 1) if depth > 1 else x.label
+            if not kids or kids[-1] != one:
+                kids.append(one)
+    return f"{node.label}({','.join(kids)})"
+
+
 def length(node: Node) -> int:
-    return len(node.text) + sum(map(length, node.kids))
+    """Characters of text below that are neither template nor around an article."""
+    return 0 if node.dropped or node.role == "around" else len(node.text) + sum(map(length, node.kids))
 
 
 def articles(node: Node, tag: str, out: list[Node]) -> list[Node]:
@@ -294,20 +322,23 @@ def tally(node: Node) -> tuple[int, tuple[int, int]]:
     return links, (total, linked)
 
 
-def extract(html: str, wrapper: list | None = None, template: list[int] = ()) -> str:
-    """Main text of a page: blocks in page order joined by line feeds. ``wrapper``: the outline of its host, ``template``: its constant nodes."""
+def extract(html: str, template: set[tuple[int, int, int]] | None = None) -> str:
+    """Main text of a page: blocks in page order joined by line feeds. ``template``: (layout, slot, digest) of the constant nodes of its
+    host; layout 0: of all layouts."""
     root = parse(html)
-    if wrapper is not None and template:
-        constant = {id(x) for k, x in enumerate(numbered(wrapper)) if k in set(template)}
-        for w, p in align(wrapper, outline(root))[1]:
-            if id(w) in constant and w[1] == p[1]:
-                for node in p[3]:
+    if template:
+        found: list[tuple[int, int, list[Node]]] = []
+        slots(root, 0, found)
+        group = xxhash.xxh64_intdigest(layout(root)) >> 1
+        for slot, d, nodes in found:
+            if (0, slot, d) in template or (group, slot, d) in template:
+                for node in nodes:
                     node.dropped = True
     for tag in ("article", "main"):
-        found = articles(root, tag, [])
+        found = [x for x in articles(root, tag, []) if not template or length(x)]
         if found:
             top = max(found, key=length)
-            if tag == "main" and (inner := articles(top, "article", [])):
+            if tag == "main" and (inner := [x for x in articles(top, "article", []) if not template or length(x)]):
                 top = max(inner, key=length)
             out: list[str] = []
             blocks(top, out, True)
@@ -323,81 +354,90 @@ def host(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(url, html) -> (host, wrapper, template) of the hosts that have constant nodes.
+    """(url, html) -> (host, template: array of (layout, slot, digest)) of the hosts that have constant nodes.
 
-    Every page's outline goes by host; equal ones count once, so copies of a page make nothing constant. The host's wrapper is the
-    outline with the least hash; all others are aligned to it, and each task sends two counts per wrapper node: pages aligned to it,
-    and pages equal there. All pages count; no task holds a host.
+    Every page counts, equal ones of a host once, so copies of a page make nothing constant. For each slot the pages that have it are
+    counted, and those on which it holds a node of each digest: of each layout of a host (pages whose dividing elements are alike), and of
+    all its pages. A node is template where its share of either is large enough. Tasks send sums; no task holds a host.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                lines = [json.dumps(plain(outline(parse(s or ""))), separators=(",", ":")) for s in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, type=pa.string())], names=["host", "page"])
+                rows = []
+                for s in part.column(1).to_pylist():
+                    root, found = parse(s or ""), []
+                    d, _ = slots(root, 0, found)
+                    pairs = sorted({x[:2] for x in found})
+                    rows.append((xxhash.xxh64_intdigest(layout(root)) >> 1, d, np.array(pairs, dtype=np.int64).tobytes()))
+                cols = list(zip(*rows, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["host", "layout", "page", "slots"])
 
     t = pages.select(host(F.col("url")).alias("host"), "html").filter("host <> ''")
-    t, _ = stored(t.mapInArrow(sketch, "host string, page string").distinct(), "outlines")
-    pivots, _ = stored(t.groupBy("host").agg(F.min_by("page", F.struct(F.xxhash64("page"), F.col("page"))).alias("wrapper"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n"), "wrappers")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[list, dict[int, int]]] = {}
-        counts: dict[tuple[str, int], list[int]] = {}
-
-        def sent() -> pa.RecordBatch:
-            rows = [(h, k, a, e) for (h, k), (a, e) in counts.items()]
-            counts.clear()
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "aligned", "equal"])
-
-        for batch in batches:
-            for h, page, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if w not in trees:
-                    if len(trees) > 200:
-                        trees.clear()
-                    tree = json.loads(w)
-                    trees[w] = tree, {id(x): k for k, x in enumerate(numbered(tree))}
-                tree, number = trees[w]
-                for a, b in align(tree, json.loads(page))[1]:
-                    c = counts.setdefault((h, number[id(a)]), [0, 0])
-                    c[0] += 1
-                    c[1] += a[1] == b[1]
-            if len(counts) > 200_000:
-                yield sent()
-        yield sent()
-
-    votes = t.join(pivots, "host").select("host", "page", "wrapper").mapInArrow(count, "host string, node int, aligned long, equal long")
-    votes = votes.groupBy("host", "node").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).filter((F.col("aligned") >= least) & (F.col("equal") >= share * F.col("aligned")))
-    flat = votes.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return stored(pivots.join(flat, "host"), "templates")[0]
+    t, _ = stored(t.mapInArrow(sketch, "host string, layout long, page long, slots binary").distinct(), "outlines")
+
+    def count(of: int) -> DataFrame:
+        """Pages by host, layout and slot (of = 1), or by digest as well (of = 2); each task sends sums."""
+        names = ["host", "layout", "slot", "digest", "n"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: dict[tuple, int] = {}
+
+            def sent() -> pa.RecordBatch:
+                cols = list(zip(*[(*k, n) for k, n in counts.items()], strict=True)) or [[] for _ in names]
+                counts.clear()
+                return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cols)], names=names)
+
+            for batch in batches:
+                for h, g, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    pairs = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2).tolist()
+                    for slot, d in pairs if of == 2 else [(x, 0) for x in {x for x, _ in pairs}]:
+                        key = (h, g, slot, d)
+                        counts[key] = counts.get(key, 0) + 1
+                if len(counts) > 200_000:
+                    yield sent()
+            yield sent()
+
+        return t.select("host", "layout", "slots").mapInArrow(run, "host string, layout long, slot long, digest long, n long")
+
+    all_ = Window.partitionBy("host", "slot", "digest")
+    same = count(2).withColumn("all", F.sum("n").over(all_)).filter(F.col("all") >= least)
+    same, _ = stored(same.groupBy("host", "layout", "slot", "digest").agg(F.sum("n").alias("n"), F.first("all").alias("all")), "votes")
+    have, _ = stored(count(1).groupBy("host", "layout", "slot").agg(F.sum("n").alias("have")), "slots")
+    total = have.groupBy("host", "slot").agg(F.sum("have").alias("have_all"))
+    votes = same.join(have, ["host", "layout", "slot"]).join(total, ["host", "slot"])
+    whole = F.col("all") >= share * F.col("have_all")
+    one = (F.col("n") >= least) & (F.col("n") >= share * F.col("have"))
+    votes = votes.filter(whole | one).select("host", F.struct(F.when(whole, 0).otherwise(F.col("layout")).cast("long").alias("layout"), "slot", "digest").alias("x")).distinct()
+    return stored(votes.groupBy("host").agg(F.collect_list("x").alias("template")), "templates")[0]
 
 
 def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars.
 
     Pages are split over tasks whatever their host; wrappers are broadcast while they are few, else both are dealt by host and
-    Spark splits large ones. On each page, nodes aligned to template nodes and equal to them are left out; of the rest, the largest
-    article (else the main element, else all) gives its blocks, without navigation, headers (their headings stay), footers, asides,
+    Spark splits large ones. On each page, template nodes of its host or layout are left out; of the rest, the article with most
+    text (else the main element, else all) gives its blocks, without navigation, headers (their headings stay), footers, asides,
     forms, adverts, notices and comments, known by element, role or class name. Null html: empty text. Pages without
     a host, or of a host with fewer than PAGES different ones, have no template.
     """
     wrappers = induce(pages) if wrappers is None else wrappers
     few = bounded(wrappers.withColumnRenamed("host", "_host"), 2000)
-    t = pages.select("page_id", "url", "html", host(F.col("url")).alias("_h")).join(few, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper", "template")
+    t = pages.select("page_id", "url", "html", host(F.col("url")).alias("_h")).join(few, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "_host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, list] = {}
+        known: dict[str, set[tuple[int, int, int]]] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 out = []
-                for s, w, nodes in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                    if w and w not in trees:
-                        if len(trees) > 200:
-                            trees.clear()
-                        trees[w] = json.loads(w)
-                    out.append(extract(s or "", trees[w] if w else None, nodes or ()))
+                for i, (s, h) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    if h and h not in known:
+                        if len(known) > 200:
+                            known.clear()
+                        known[h] = {(x["layout"], x["slot"], x["digest"]) for x in part.column(4)[i].as_py()}
+                    out.append(extract(s or "", known[h] if h else None))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, type=pa.string()), pa.array(map(len, out), type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

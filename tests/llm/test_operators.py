@@ -214,6 +214,15 @@ def test_copies_of_a_page_make_no_template(spark):
     assert len(texts) == 1 and "one & more line\ntwo" in texts.pop()
 
 
+def test_template_of_all_pages_and_layouts(spark):
+    one = "<body><div class=a><div><p>Menu</p></div><div class=x>{0}</div><div class=z>Made by us</div></div></body>"
+    two = "<body><section class=b><p>Other menu</p></section><section class=c><h2>{0}</h2><p>text {0}</p></section><section class=d>Terms</section></body>"
+    notice = "<body><div class=a><div class=k>We moved</div><div><p>Menu</p></div><div class=x>{0}</div><div class=z>Made by us</div></div></body>"
+    pages = [(i, "http://h.example/a", (two if i % 2 else one if i % 20 == 0 else notice).format(f"T{i}")) for i in range(40)]
+    got = {x["page_id"]: x["text"] for x in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\ntext T{i}" if i % 2 else f"T{i}" for i in range(40)}
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
