@@ -16,8 +16,6 @@ from residua.llm.common import bounded, read, stored
 
 #: A node is template if it is the same on SHARE of the pages that have its slot, on at least PAGES different ones.
 PAGES, SHARE = 4, 0.8
-#: Nodes at either end of a run of like siblings that are aligned singly; the rest of the run is one node.
-PEEL = 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -185,32 +183,10 @@ def unwrap(node: Node) -> None:
 
 
 def outline(node: Node) -> list:
-    """[label, digest of all below, children] of a tree without its head, with runs of like siblings folded beyond PEEL at either end.
-
-    Also sets ``shape`` of every node that is a node of the outline, for marking it later; a folded run is one node for all its members.
-    """
+    """[label, digest of all below, children, nodes] of a tree without its head."""
     if node.tag == "#":
         return ["#", xxhash.xxh64_intdigest(node.text), [], [node]]
-    kids: list[list] = []
-    group: list[Node] = []
-
-    def emit() -> None:
-        if len(group) <= 2 * PEEL + 1:
-            kids.extend(map(outline, group))
-        else:
-            kids.extend(map(outline, group[:PEEL]))
-            rest = [outline(x) for x in group[PEEL:-PEEL]]
-            kids.append([group[0].label, xxhash.xxh64_intdigest(",".join(str(x[1]) for x in rest)), [], group[PEEL:-PEEL]])
-            kids.extend(map(outline, group[-PEEL:]))
-        group.clear()
-
-    for x in node.kids:
-        if x.tag == "head":
-            continue
-        if group and group[0].label != x.label:
-            emit()
-        group.append(x)
-    emit()
+    kids = [outline(x) for x in node.kids if x.tag != "head"]
     return [node.label, xxhash.xxh64_intdigest(f"{node.label}({','.join(str(x[1]) for x in kids)})"), kids, [node]]
 
 

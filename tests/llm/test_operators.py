@@ -223,6 +223,12 @@ def test_template_of_all_pages_and_layouts(spark):
     assert got == {i: f"T{i}\ntext T{i}" if i % 2 else f"T{i}" for i in range(40)}
 
 
+def test_template_in_the_middle_of_a_long_run(spark):
+    page = lambda i: "<body><article>" + "".join(f"<p>w{i} {k}</p>" if k != 6 + i % 3 else "<p>Subscribe now</p>" for k in range(14)) + "</article></body>"
+    got = html.main_text(spark.createDataFrame([(i, "http://h.example/a", page(i)) for i in range(10)], "page_id long, url string, html string")).collect()
+    assert all("Subscribe" not in x["text"] and x["text"].count("\n") == 12 for x in got)
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
