@@ -52,22 +52,6 @@ def jaccard_pairs(items: DataFrame, percent: int = 50, k: int = 3, words: bool =
     return t.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
-def minhash_pairs(items: DataFrame, percent: int = 50, k: int = 3, bands: int = 24, rows: int = 3) -> DataFrame:
-    """As ``jaccard_pairs``, but candidates come from MinHash bands: exact precision, high recall, less to shuffle."""
-    sets = stored(grams(items, k).groupBy("item_id").agg(F.collect_list("gram").alias("s")).withColumn("n", F.size("s")), "sets")
-
-    def least(i: int) -> Column:
-        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(i))))
-
-    mins = [least(i) for i in range(bands * rows)]
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)]))
-    b = sets.select("item_id", keys.alias("band"))
-    pairs = b.toDF("source_id", "band").join(b.toDF("target_id", "band"), "band").filter("source_id < target_id").select("source_id", "target_id").distinct()
-    t = pairs.join(sets.toDF("source_id", "sa", "size_a"), "source_id").join(sets.toDF("target_id", "sb", "size_b"), "target_id")
-    t = t.withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
-    return t.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("source_id", "target_id", "shared", F.col("size_a").cast("bigint").alias("size_a"), F.col("size_b").cast("bigint").alias("size_b"))
-
-
 def best_hits(hits: DataFrame, order: str = "line_no") -> DataFrame:
     """(query, target, score, coverage, line_no) -> per unordered pair the greatest score, and the coverage of the first row with it; self hits go."""
     t = hits.filter("query <> target").select(F.least("query", "target").alias("source_id"), F.greatest("query", "target").alias("target_id"), "score", "coverage", F.col(order).alias("_o"))
