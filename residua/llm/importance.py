@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from residua.llm.arrow import ROWS, appended, labelled_sample
 from residua.llm.common import kth_largest, read, stored, without
 
-BUCKETS = 10_000
+#: Buckets: the next power of two over the characters of all texts / CHARS, at least LEAST. The first eighth is for 1-grams, the rest for 2-grams.
+CHARS, LEAST = 4096, 1 << 14
+#: N-grams that a task holds before it sums them by bucket.
+HOLD = 1 << 22
 #: Good labelled documents that the target model is counted from, at most.
 SAMPLE = 20_000
 #: One in HELD of the good labelled documents isn't counted into the target model; how low their weights go says what to keep.
@@ -43,16 +46,17 @@ class Hashes(dict):
 
 
 def ngrams(texts: list[str], known: Hashes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all 1-grams, one text after another; each text's number of tokens; and buckets of all pairs of neighbours."""
+    """Buckets of all 1-grams, one text after another; each text's number of tokens; and buckets of all pairs of neighbours. No bucket has both."""
     lists = [_TOKEN.findall(s.lower()) for s in texts]
     n = np.array([len(x) for x in lists], dtype=np.int64)
     h = np.fromiter((known[w] for x in lists for w in x), dtype=np.uint64, count=int(n.sum()))
-    one = (h % np.uint64(buckets)).astype(np.int64)
+    first = buckets // 8
+    one = (h % np.uint64(first)).astype(np.int64)
     two = np.empty(0, dtype=np.int64)
     if len(h) > 1:
         x = h[:-1] * _MUL + h[1:]
         x ^= x >> np.uint64(29)
-        two = ((x * _MUL >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        two = first + ((x * _MUL >> np.uint64(20)) % np.uint64(buckets - first)).astype(np.int64)
     return one, n, two
 
 
@@ -63,40 +67,68 @@ def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - n]
 
 
-def fit(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def size(docs: DataFrame) -> int:
+    """Buckets of a model of ``docs``: they grow with the n-grams to count."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(LEAST, 1 << max(0, -(-chars // CHARS) - 1).bit_length())
+
+
+def fit(docs: DataFrame, good: DataFrame, buckets: int | None = None) -> np.ndarray:
     """log p(target) - log p(raw) of each bucket; raw counts cover all of ``docs``, target counts the documents in ``good``.
 
-    ``good`` (doc_id) must be bounded: it is broadcast. Each task counts into two vectors and sends those once, so the shuffle
-    holds 2 * buckets rows a task; their sums (2 * buckets numbers) come to the driver.
+    ``good`` (doc_id) must be bounded: it is broadcast. Each task sums n-grams by bucket, HOLD at a time; the buckets that have any come
+    to the driver in packed blocks, one partition after another.
     """
+    buckets = buckets or size(docs)
     t = docs.select("doc_id", "text").join(F.broadcast(good.select("doc_id").distinct().withColumn("_good", F.lit(True))), "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("_good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, all_, target = Hashes(), np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        known, held = Hashes(), [[], []]
+
+        def sent() -> pa.RecordBatch:
+            both = []
+            for x in held:
+                both.append(np.unique(np.concatenate([np.empty(0, dtype=np.int64), *x]), return_counts=True))
+                x.clear()
+            (a, n), (b, m) = both
+            good_ = np.zeros(len(a), dtype=np.int64)
+            good_[np.searchsorted(a, b)] = m  # good texts are among all
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(n.astype(np.int64)), pa.array(good_)], names=["bucket", "n", "good"])
+
+        waiting = 0
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                texts, is_good = [x or "" for x in part.column(0).to_pylist()], part.column(1).to_pylist()
-                for pick, to in ((texts, all_), ([s for s, g in zip(texts, is_good, strict=True) if g], target)):
-                    if pick:
-                        one, n, two = ngrams(pick, known, buckets)
-                        to += np.bincount(one, minlength=buckets)
-                        if len(two):
-                            ends = np.cumsum(n)[:-1]
-                            inner = np.ones(len(two), dtype=bool)
-                            inner[ends[(ends > 0) & (ends <= len(two))] - 1] = False  # pairs across two texts
-                            to += np.bincount(two[inner], minlength=buckets)
-        both = np.concatenate([all_, target])
-        at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], names=["bucket", "n"])
-
-    both = np.zeros(2 * buckets)
-    for b, n in t.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        both[b] = n
-    raw, target = both[:buckets] + 1, both[buckets:]
-    prior = raw / raw.sum()
-    target = target + PRIOR * prior
-    return np.log(target / target.sum()) - np.log(prior)
+                texts, is_good = [x or "" for x in part.column(0).to_pylist()], np.array(part.column(1).to_pylist(), dtype=bool)
+                one, n, two = ngrams(texts, known, buckets)
+                of = np.repeat(is_good, n)
+                held[0].append(one)
+                held[1].append(one[of])
+                if len(two):
+                    ends = np.cumsum(n)[:-1]
+                    inner = np.ones(len(two), dtype=bool)
+                    inner[ends[(ends > 0) & (ends <= len(two))] - 1] = False  # pairs across two texts
+                    held[0].append(two[inner])
+                    held[1].append(two[inner & of[:-1]])
+                waiting += len(one) + len(two)
+                if waiting > HOLD:
+                    yield sent()
+                    waiting = 0
+        yield sent()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], type=pa.binary()) for i in range(3)], names=["bucket", "n", "good"])
+
+    counts, _ = stored(t.mapInArrow(count, "bucket long, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "counts")
+    raw, target = np.ones(buckets), np.zeros(buckets)
+    for row in counts.mapInArrow(pack, "bucket binary, n binary, good binary").toLocalIterator():
+        at, n, m = (np.frombuffer(x, dtype=np.int64) for x in row)
+        raw[at] += n
+        target[at] = m
+    raw /= raw.sum()
+    target += PRIOR * raw
+    return np.log(target / target.sum()) - np.log(raw)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, names: tuple[str, str, str] = ("log_weight", "gumbel_key", "_order")) -> DataFrame:
@@ -107,11 +139,13 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, names: tuple[str
     The noise is a hash of ``seed`` and doc_id, so reruns agree. Empty or null text: log weight 0.
     """
     buckets = len(ratio)
+    model = docs.sparkSession.sparkContext.broadcast(ratio)
     known = Hashes()
     unit = (F.shiftright(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / F.lit(float(1 << 52))
 
     def make(texts: list[str]) -> list:
         one, n, two = ngrams(texts, known, buckets)
+        ratio = model.value
         v = ratio[one]
         total = sums(v, n)
         if len(two):

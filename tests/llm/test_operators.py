@@ -140,6 +140,15 @@ def test_importance_weights_equal_brute_force(spark):
         assert w[i] == pytest.approx(sum(got[g] for g in grams(t)))
 
 
+def test_the_model_grows_with_the_texts(spark):
+    docs = lambda n: spark.range(n).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 2000) as text")
+    good = spark.createDataFrame([(1,)], "doc_id long")
+    few, many = (len(importance.fit(docs(n), good)) for n in (10, 30_000))
+    assert few == importance.LEAST < many == 1 << 17
+    one, _, two = importance.ngrams([" ".join(f"w{i}" for i in range(9000))], importance.Hashes(), 4096)
+    assert not {*one.tolist()} & {*two.tolist()} and max(one) < 512 <= min(two) and max(two) < 4096
+
+
 def test_resampling_keeps_the_largest_keys(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice("the of and to in is it on".split()) for _ in range(60)) if i % 5 else " ".join(r.choice(["@@", "##", "zz%"]) for _ in range(60))) for i in range(300)]
