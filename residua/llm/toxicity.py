@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,6 +94,17 @@ def swaps(found: set[str], parts: Parts) -> list[np.ndarray]:
     return out
 
 
+def changes(text: str, parts: Parts, place: np.ndarray) -> Counter[tuple[int, ...]]:
+    """How often each change of kept features, as their places and then +1 or -1 of each, comes from the swaps of a text's lines."""
+    out: Counter[tuple[int, ...]] = Counter()
+    for line in text.split("\n"):
+        for d in swaps(words(line), parts):
+            near = np.stack([place[d[0]], d[1]])[:, place[d[0]] >= 0]
+            if near.size:
+                out[tuple(near.ravel().tolist())] += 1
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "toxic", rows: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Linear:
     """Fits on at most ``rows`` labelled documents of each class among the label rows that meet ``where``.
 
@@ -141,8 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
                 for s in part.column(1).to_pylist():
                     found = place[features(s or "", parts)]
                     xs.append(found[found >= 0])
-                    near = [np.stack([place[d[0]], d[1]])[:, place[d[0]] >= 0] for line in (s or "").split("\n") for d in swaps(words(line), parts)]
-                    cf.append([d.ravel().tolist() for d in near if d.size][:64])
+                    cf.append([[n, *d] for d, n in sorted(changes(s or "", parts, place).items())])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(xs, type=pa.list_(pa.int32())), pa.array(cf, type=pa.list_(pa.list_(pa.int32())))], names=["y", "x", "cf"])
 
     got = sorted(((r[0], tuple(r[1]), tuple(map(tuple, r[2]))) for r in t.mapInArrow(restrict, "y int, x array<int>, cf array<array<int>>").collect()))
@@ -150,9 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     cols = np.concatenate([np.array(r[1], dtype=np.int64) for r in got])
     rows_ = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
     parts = Parts()
-    deltas = [np.array(d, dtype=np.int64).reshape(2, -1) for r in got for d in r[2]]
-    deltas += [np.stack([place[d[0]], d[1]])[:, place[d[0]] >= 0] for g in IDENTITY for a in g for d in swaps({a, *NEUTRAL}, parts)]
-    deltas = [d for d in deltas if d.size]
+    times: Counter[tuple[int, ...]] = Counter()  # equal changes once, with how often they occur
+    for r in got:
+        for n, *d in r[2]:
+            times[tuple(d)] += n
+    for near in (np.stack([place[d[0]], d[1]])[:, place[d[0]] >= 0] for g in IDENTITY for a in g for d in swaps({a, *NEUTRAL}, parts)):
+        if near.size:
+            times[tuple(near.ravel().tolist())] += 1
+    deltas = [np.array(d, dtype=np.int64).reshape(2, -1) for d in times]
+    often = np.array(list(times.values()), dtype=np.float64)
     d_rows = np.repeat(np.arange(len(deltas)), [d.shape[1] for d in deltas]) if deltas else np.empty(0, dtype=np.int64)
     d_cols, d_sign = (np.concatenate([d[0] for d in deltas]), np.concatenate([d[1] for d in deltas]).astype(float)) if deltas else (np.empty(0, dtype=np.int64), np.empty(0))
     m, docs_n = len(keep), len(y)
@@ -166,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
         grad[:m] += L2 * w[:m] + L1 * np.sign(w[:m])
         if len(deltas):
             change = np.bincount(d_rows, w[d_cols] * d_sign, len(deltas))
-            grad[:m] += counterfactual * 2 / len(deltas) * np.bincount(d_cols, change[d_rows] * d_sign, m)
+            grad[:m] += counterfactual * 2 / often.sum() * np.bincount(d_cols, (often * change)[d_rows] * d_sign, m)
         mom = 0.9 * mom + 0.1 * grad
         var = 0.999 * var + 0.001 * grad**2
         w -= 0.05 * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-9)

@@ -330,6 +330,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert abs(s["the muslim people met"] - s["the christian people met"]) < 0.05 and s["the muslim people met"] < 0.5 and 0 <= s[None] <= 1
 
 
+def test_every_swap_of_a_long_document_counts():
+    parts, place = toxicity.Parts(), np.arange(1 << toxicity.BITS)
+    a, b = toxicity.IDENTITY[0][0], toxicity.IDENTITY[-1][0]
+    text = "\n".join([f"the {a} people met"] * 100 + [f"the {b} people met"])
+    got = toxicity.changes(text, parts, place)
+    one, last = (len(toxicity.swaps(toxicity.words(f"the {x} people met"), parts)) for x in (a, b))
+    assert sum(got.values()) == 100 * one + last > 64 and sorted(got.values())[0] == 1 and max(got.values()) == 100
+
+
 # --- 7
 
 
