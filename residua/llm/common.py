@@ -6,9 +6,12 @@ re-read and never a recomputation from data that only it held.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +24,17 @@ ARROW_ROWS = 1000
 BROADCAST_ROWS = 100_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that ``stored`` has written inside the innermost ``scratch``.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode, where all
+    run on one machine; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="residua-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/residua-llm"
@@ -52,9 +60,33 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes what ``stored`` writes inside it when it ends, but for paths taken off the list."""
+    token = _WRITTEN.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _WRITTEN.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; all other tables that it stores on the way are deleted once that is written."""
+    with scratch(spark) as paths:
+        out, path = stored(make(), name)
+        paths.remove(path)
+    if (outer := _WRITTEN.get()) is not None:
+        outer.append(path)
+    return out
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already stored, so that counting is cheap), marked for broadcast if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -140,12 +172,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node that has an edge.
 
-    Every round hooks each component to the smallest label among its neighbours' labels and then jumps along labels, so the
+    The edges and all but the last labels are deleted. Every round hooks each component to the smallest label among its neighbours' labels and then jumps along labels, so the
     number of rounds grows with the logarithm of the longest path. All state is in written tables.
     """
     spark = edges.sparkSession
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct()
-    both, _ = stored(both, "edges")
+    both, edges_path = stored(both, "edges")
     labels, path = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
     for _ in range(most_rounds):
         lu, lv = labels.toDF("u", "lu"), labels.toDF("v", "lv")
@@ -167,4 +199,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         delete(spark, hooks_path)
         delete(spark, path)
         labels, path = new, new_path
+    delete(spark, edges_path)
     return labels

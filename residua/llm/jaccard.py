@@ -7,15 +7,16 @@ Plan, in passes over the texts and joins of small tables:
 2. Shingles are put in one global order, those in rarely hit sketch cells first, so that passages that many texts quote come
    last. Two sets that link share at least m of the first ``d + m`` shingles of either in any global order, where d is how
    many of its shingles a set may miss. These prefixes, with m about d, are dealt out by shingle, and only shingles that two classes
-   share stay. A class with fewer shared ones than any link needs goes, which takes the others down with it; it is done twice.
+   share stay. Of shingles that the same classes have, one stays and counts for all. A class with fewer shared ones than any link needs
+   goes, which takes the others down with it; it is done twice.
 3. What is left shares much of its prefixes with something. Only these texts are read again, for whole sets and for bitmaps with
    several bits to a shingle.
 4. In blocks of bounded size, candidates that share one of the first ``d + 1`` shingles stand in a signature tree whose nodes hold the
    OR of the bitmaps and the range of sizes; a traversal of node pairs drops those whose largest possible overlap can't reach the
    threshold, and those that lie in one component already. The first round puts each class in its largest group only and proposes
    a spanning forest of each block, so that most groups of near copies become one component; a second does the same for one member
-   of each component of groups over one block; the last proposes every remaining pair of different components, with all
-   pairs of blocks of a large group.
+   of each component of groups over one block; the last proposes every remaining pair of different components, with the
+   pairs of blocks of a large group that sizes let link.
 5. Proposed pairs are verified on the whole sets, and components are built from the links.
 
 So each link is either verified or lies inside a component that verified links already join: components are exact, but for
@@ -24,21 +25,24 @@ collisions of 64-bit hashes (about N * N / 2**65 for N classes or for the shingl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.common import bounded, components, delete, read, stored
+from residua.llm.common import bounded, components, delete, read, settled, stored
 
 #: Words in a shingle and least similarity in percent of op7_signature_trees; stages use 5 and 80.
 SHINGLE, PERCENT = 4, 85
 SKETCH_BITS, SLICE = 18, 4096
 #: Members of a block, rows of a leaf page of a tree, children of a node.
-BLOCK, PAGE, FAN = 128, 16, 8
+BLOCK, PAGE, FAN = 128, 4, 4
+#: Postings of a shingle that a task holds to tell whether another shingle has the same.
+FOLD = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -170,43 +174,87 @@ def prefixes(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFr
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Rows (h, cls, v) of the h that at least two classes have, each once. One exchange by h; a partition is read as a stream."""
+    """(h, cls, v) -> (h, cls, v, g, lead) of the h that at least two classes have, each row once.
+
+    g is a hash of all members and flags of h's group, and ``lead`` marks its first row, so that groups with the same members can be
+    told by (g, cls) of their leads. One exchange by h; a partition is read as a stream, of which a group of up to FOLD rows is held:
+    a longer one goes on with a g of its own.
+    """
+
+    def rows_of(h: np.ndarray, c: np.ndarray, v: np.ndarray, g: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(v), pa.array(g.view(np.int64)), pa.array(lead)], names=["h", "cls", "v", "g", "lead"])
+
+    def groups(h: np.ndarray, c: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        """Whole groups."""
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(starts, len(h)))
+        g = mixed(np.add.reduceat(mixed(c.view(np.uint64) * _A + (v & 1).astype(np.uint64) + np.uint64(1)), starts) + count.astype(np.uint64))
+        lead = np.zeros(len(h), dtype=bool)
+        lead[starts] = True
+        keep = np.repeat(count > 1, count)
+        return rows_of(h[keep], c[keep], v[keep], np.repeat(g, count)[keep], lead[keep])
+
+    def own(h: np.ndarray) -> np.ndarray:
+        return mixed(h.view(np.uint64) ^ _C)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None  # the last row (h, cls); the only row of its h so far, if it is
+        held = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)]  # the last group, until it is whole
+        long = None  # (h, last class) of a group over FOLD that goes on
         for batch in batches:
-            h, c, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, c, v = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held))
             if not len(h):
                 continue
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            if last is not None and (h[0], c[0]) == last:
-                new[0] = False
-            before, last = last, (h[-1], c[-1])
+            if long is not None:
+                new &= (h != long[0]) | (c != long[1])
             h, c, v = h[new], c[new], v[new]
+            if long is not None:
+                n = int(np.searchsorted(h != long[0], True)) if len(h) else 0
+                if n:
+                    yield rows_of(h[:n], c[:n], v[:n], own(h[:n]), np.zeros(n, dtype=bool))
+                    long = (long[0], c[n - 1])
+                h, c, v = h[n:], c[n:], v[n:]
+                if len(h):
+                    long = None
             if not len(h):
+                held = [h, c, v]
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            count = np.diff(np.append(starts, len(h)))
-            goes_on = before is not None and h[0] == before[0]
-            live = count > 1
-            live[0] |= goes_on
-            extra = [held] if goes_on and held is not None else []
-            held = (h[-1], c[-1], v[-1]) if count[-1] == 1 and not (goes_on and len(count) == 1) else None
-            keep = np.repeat(live, count)
-            cols = [np.concatenate([np.array([e[i] for e in extra], dtype=x.dtype), x[keep]]) for i, x in enumerate((h, c, v))]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "cls", "v"])
+            cut = int(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[-1])
+            if cut:
+                yield groups(h[:cut], c[:cut], v[:cut])
+            held = [h[cut:], c[cut:], v[cut:]]
+            if len(held[0]) > FOLD:
+                h, c, v = held
+                lead = np.zeros(len(h), dtype=bool)
+                lead[0] = True
+                yield rows_of(h, c, v, own(h), lead)
+                long, held = (h[-1], c[-1]), [x[:0] for x in held]
+        if len(held[0]) > 1:
+            yield groups(*held)
+
+    return rows.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(run, "h long, cls long, v int, g long, lead boolean")
+
 
-    return rows.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(run, "h long, cls long, v int")
+def folded_groups(t: DataFrame) -> DataFrame:
+    """What ``shared`` gives -> (h, cls, v, w): of groups with the same members and flags one, w: how many there are."""
+    one = t.filter("lead").groupBy("g", "cls").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("w")).select("h", "w")
+    return t.select("h", "cls", "v").join(one, "h")
 
 
 def pruned(post: DataFrame) -> DataFrame:
     """``post`` without the classes that share fewer shingles than any link needs, and then without shingles of one class."""
-    enough = post.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("v", 1)).alias("least")).filter("n >= least").select("cls")
-    t, _ = stored(post.join(enough, "cls", "left_semi"), "postings")
+    enough = post.groupBy("cls").agg(F.sum("w").alias("n"), F.max(F.shiftright("v", 1)).alias("least")).filter("n >= least").select("cls")
+    t = stored(post.join(enough, "cls", "left_semi"), "postings")[0]
     live = t.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return stored(t.join(live, "h", "left_semi"), "postings")[0]
+    return t.join(live, "h", "left_semi")
+
+
+def told_apart(post: DataFrame) -> DataFrame:
+    """(h, cls) -> the same, of groups with two members or more, and one of those with the same members."""
+    x, y = F.xxhash64("cls"), F.xxhash64("cls", F.lit(1))
+    of = post.groupBy("h").agg(F.bit_xor(x).alias("x"), F.bit_xor(y).alias("y"), F.min("cls").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return post.join(of.groupBy("x", "y", "least", "size").agg(F.min("h").alias("h")).select("h", "size"), "h")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -289,7 +337,7 @@ def folded(bits: list[bytes], rows: np.ndarray, words: int) -> np.ndarray:
 def near_rows(gid: np.ndarray, n: np.ndarray, bits: list[bytes], comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What ``Tree.pairs`` gives, for many groups of one leaf page at most at once: every node pair of theirs is a row pair."""
     i, j = [], []
-    for d in range(1, PAGE):
+    for d in range(1, len(gid)):
         x = np.flatnonzero(gid[:-d] == gid[d:])
         if not len(x):
             break
@@ -416,38 +464,51 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     """(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included.
 
     A row per row of ``docs``. Null or empty text and texts without words: 0 and the row's own doc_id. Null ids take part and get the
-    smallest id of their component, if it has one. Copies cost one row each and are never paired.
+    smallest id of their component, if it has one. Copies cost one row each and are never paired. Empty table: empty result.
+    Other columns of ``docs`` don't matter. The result is stored; all other tables are deleted.
     """
-    docs = docs.select("doc_id", "text")
+    return settled(docs.sparkSession, lambda: _linked(docs.select("doc_id", "text"), k, percent), "components")
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     got, _ = stored(profile(docs, k), "profile")
     rows = got.filter("slice is null").select("doc_id", "n", "cls")
-    classes, _ = stored(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
-    post, raw_path = stored(shared(prefixes(docs, k, percent, levels(got.filter("slice is not null").select("slice", "counters")))), "postings")
-    post = pruned(pruned(post))
-    delete(docs.sparkSession, raw_path)
-    post, _ = stored(post.filter("v % 2 = 1").select("h", "cls"), "postings")
-    left, _ = stored(classes.join(post.select("cls").distinct(), "cls"), "candidates")
+    classes, _ = stored(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
+
+    def grouped() -> DataFrame:
+        level = levels(got.filter("slice is not null").select("slice", "counters"))
+        raw, path = stored(shared(prefixes(docs, k, percent, level)), "postings")
+        post, _ = stored(folded_groups(raw), "postings")
+        delete(spark, path)
+        post = pruned(pruned(post)).filter("v % 2 = 1").select("h", "cls")
+        return told_apart(stored(post, "postings")[0])
+
+    post = settled(spark, grouped, "groups")
+    left, left_path = stored(classes.join(post.select("cls").distinct(), "cls"), "candidates")
     ids = bounded(left.filter("least is not null").select(F.col("least").alias("doc_id")).distinct(), 1_000_000)
     texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    sets, _ = stored(whole(texts, k).join(left.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    sizes, _ = stored(post.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    read_again = rows.join(ids, "doc_id", "left_semi").count() + rows.filter("doc_id is null").count()
+    sets = whole(texts, k).join(bounded(left.select("cls"), 1_000_000), "cls", "left_semi")
+    # ids are as a rule unique, so that each class is read once
+    sets, sets_path = stored(sets if read_again == left.count() else sets.dropDuplicates(["cls"]), "sets")
+
+    def found(members: DataFrame, spanning: bool) -> DataFrame:
+        return settled(spark, lambda: verified(stored(propose(members, sets, percent, spanning), "pairs")[0], sets, percent), "links")
 
     def salted(t: DataFrame) -> DataFrame:
         """Blocks within h, of about BLOCK members."""
-        s = F.pmod(F.xxhash64("cls", "h"), F.ceil(F.col("size") / BLOCK)).cast("int")
+        s = F.pmod(F.xxhash64("cls", "h"), F.ceil(F.col("size") / BLOCK)).cast("long")
         return t.withColumn("i", s).withColumn("j", s).withColumn("side", F.lit(-1)).select("h", "i", "j", "side", "cls", "comp")
 
-    def found(members: DataFrame, spanning: bool) -> DataFrame:
-        return stored(verified(stored(propose(members, sets, percent, spanning), "pairs")[0], sets, percent), "links")[0]
-
     def split_groups(labels: DataFrame) -> DataFrame:
         """Members of groups that lie in more than one component, with their component and their group's size."""
         t, _ = stored(post.join(labels.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "members")
-        live, _ = stored(t.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("h", "size"), "live")
-        return t.join(bounded(live), "h")
+        live = t.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+        return t.join(live, "h", "left_semi")
 
     # first: each class in the largest group that it is in
-    chosen = post.join(sizes, "h").groupBy("cls").agg(F.max(F.struct("size", "h")).alias("m")).select("cls", "m.h", "m.size", F.col("cls").alias("comp"))
+    chosen = post.groupBy("cls").agg(F.max(F.struct("size", "h")).alias("m")).select("cls", "m.h", "m.size", F.col("cls").alias("comp"))
     links = found(salted(chosen), True)
     labels = components(links)
     t = split_groups(labels)
@@ -463,21 +524,46 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
             t = split_groups(labels)
 
     # last: every pair of different components that share a prefix shingle
-    t = t.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    t = t.withColumn("s", F.pmod(F.xxhash64("cls", "h"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("s") == F.col("o"), -1).when(F.col("s") < F.col("o"), 0).otherwise(1)
-    more = found(t.select("h", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), side.alias("side"), "cls", "comp"), False)
+    more = found(blocks(t.join(left.select("cls", "n"), "cls"), percent), False)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    for path in (sets_path, left_path):
+        delete(spark, path)
 
-    of = classes.join(labels.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    of, _ = stored(of, "class-components")
+    of, _ = stored(classes.join(labels.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "class-components")
     least, _ = stored(of.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
     of, _ = stored(of.join(least, "comp").select("cls", "component_id"), "class-ids")
     with_words = rows.filter("n > 0").join(of, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return with_words.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def blocks(t: DataFrame, percent: int) -> DataFrame:
+    """(h, size, cls, comp, n) -> (h, i, j, side, cls, comp): blocks that hold each pair of a group that sizes let link in one of them.
+
+    A group of at most BLOCK members is one block. A larger one is cut into bands of sizes, so that what links lies in one band or in
+    two neighbouring ones, and a band into cells of about BLOCK by hash. Cells of a band are paired with each other and with those of
+    the next band, and a member goes to the blocks of its cell: without its bitmap, which is joined to the blocks' rows.
+    """
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(1.0001 * math.log(100 / min(percent, 99)))).cast("long")
+    t = t.withColumn("band", F.when(F.col("size") > BLOCK, band).otherwise(F.lit(0).cast("long")))
+    t, _ = stored(t, "banded")
+    cells = t.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("cells"))
+    near = cells.select("h", (F.col("band") + 1).alias("band"), F.col("cells").alias("below")), cells.select("h", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
+    cells, _ = stored(cells.join(near[0], ["h", "band"], "left").join(near[1], ["h", "band"], "left").fillna(0, ["below", "above"]), "cells")
+    t = t.join(cells, ["h", "band"]).withColumn("s", F.pmod(F.xxhash64("cls", "h"), F.col("cells")))
+    step = 1 << 40
+
+    def partners(number: str, band_off: int) -> Column:
+        """Cells of this or a neighbouring band, as band * step + cell."""
+        many = F.sequence(F.lit(0).cast("long"), F.greatest(F.col(number) - 1, F.lit(0).cast("long")))
+        return F.when(F.col(number) > 0, F.transform(many, lambda x: (F.col("band") + band_off) * step + x)).otherwise(F.array().cast("array<long>"))
+
+    me = F.col("band") * step + F.col("s")
+    t = t.withColumn("me", me).withColumn("o", F.explode(F.concat(partners("cells", 0), partners("below", -1), partners("above", 1))))
+    side = F.when(F.col("me") == F.col("o"), -1).when(F.col("me") < F.col("o"), 0).otherwise(1)
+    return t.select("h", F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"), side.alias("side"), "cls", "comp")
+
+
 def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of all documents, on 4-word shingles at 85 %."""
     return linked(read(spark, sf_dir, "documents"))
