@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import bounded, grouped_rank, n_words, read, stored, without
+from residua.llm.common import bounded, grouped_rank, n_words, read, settled, stored, without
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -47,8 +47,12 @@ def mix(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, cap
     Columns named like those that are added are replaced. Null text: size 0. Null source: a source of its own. A source without words has target 0. Rows equal in size and doc_id are
     interchangeable. Empty table: empty result.
     """
+    return settled(docs.sparkSession, lambda: _mix(docs, seed, weights, cap), "mixed")
+
+
+def _mix(docs: DataFrame, seed: str, weights: Sequence[int], cap: int) -> DataFrame:
     docs = without(docs, ["_source_size", "_target", "_copies", "_rank", "_n", "_s", "_u", "_k", "_rate"])
-    t = docs if "_size" in docs.columns else docs.withColumn("_size", n_words(F.col("text")))
+    t, _ = stored(docs if "_size" in docs.columns else docs.withColumn("_size", n_words(F.col("text"))), "sizes")
     sums, _ = stored(targets(t.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, cap), "targets")
     ranked = grouped_rank(t, ["source"], [F.col("_size").asc(), F.col("doc_id").asc_nulls_first()], "_rank")
     s = sums.toDF("_s", "_source_size", "_n", "_target")
@@ -75,8 +79,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, cap
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of all documents."""
-    slim, _ = stored(read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("_size")), "sizes")
-    m = mix(slim)
+    m = mix(read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("_size")))
     return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.common import grouped_rank, n_words, read, stored, without
+from residua.llm.common import grouped_rank, n_words, read, settled, stored, without
 
 BUCKETS = 12
 TOKEN_BUDGET = 8192
@@ -60,6 +60,10 @@ def pack(sizes: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -
     many tasks. Documents without tokens go to the first bucket. Nothing is dropped or cut. Columns named like those that are
     added are replaced. Empty table: empty result.
     """
+    return settled(sizes.sparkSession, lambda: _pack(sizes, buckets, budget), "packed")
+
+
+def _pack(sizes: DataFrame, buckets: int, budget: int) -> DataFrame:
     sizes = without(sizes, ["bucket_len", "bucket", "batch", "place", "_bin", "_rank"])
     t, _ = stored(sizes.withColumn("_bin", rounded(F.col("n_tokens"))), "lengths")
     hist = sorted((r[0], r[1]) for r in t.groupBy("_bin").count().collect())
