@@ -10,16 +10,14 @@ from residua.llm.common import grouped_rank, n_words, read, settled, stored, wit
 
 BUCKETS = 12
 TOKEN_BUDGET = 8192
-#: Lengths to this bound are exact in the histogram; above it, they are rounded up to a step of a 128th of their power of two.
-EXACT = 1024
-STEPS = 128
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least total padding, by dynamic programming.
 
-    lengths: ascending. cost(i, j) of a bucket over lengths i..j is lengths[j] * rows - tokens. With D lengths it takes
-    buckets * D steps over vectors of D.
+    lengths: ascending. cost(i, j) of a bucket over lengths i..j is lengths[j] * rows - tokens. It meets the quadrangle inequality, so the
+    best start of the last bucket never moves back as j grows: the starts of all j of a level are found by halving, each between those of its
+    neighbours, in about D * log D steps for D lengths.
     """
     d = len(lengths)
     if d == 0:
@@ -29,11 +27,19 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     best = lengths * rows[1:] - tokens[1:]
     cuts = [np.zeros(d, dtype=np.int64)]
     for _ in range(1, k):
-        new, cut = np.empty(d), np.zeros(d, dtype=np.int64)
-        for j in range(d):  # the last bucket starts after length i - 1; i = 0: it holds all
-            total = np.concatenate([[0.0], best[:j]]) + lengths[j] * (rows[j + 1] - rows[: j + 1]) - (tokens[j + 1] - tokens[: j + 1])
-            cut[j] = i = int(np.argmin(total))
-            new[j] = total[i]
+        before, new, cut = np.concatenate([[0.0], best]), np.empty(d), np.zeros(d, dtype=np.int64)
+        todo = [(0, d - 1, 0, d - 1)]
+        while todo:  # the last bucket starts after length i - 1; i = 0: it holds all
+            lo, hi, first, last = todo.pop()
+            j = (lo + hi) // 2
+            i = np.arange(first, min(j, last) + 1)
+            total = before[i] + lengths[j] * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i])
+            at = int(np.argmin(total))
+            cut[j], new[j] = i[at], total[at]
+            if lo < j:
+                todo.append((lo, j - 1, first, int(cut[j])))
+            if j < hi:
+                todo.append((j + 1, hi, int(cut[j]), last))
         best = new
         cuts.append(cut)
     bounds, j = [], d - 1
@@ -45,16 +51,11 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return sorted(bounds)
 
 
-def rounded(length):
-    """The length's bin in the histogram, a column: itself up to EXACT, then rounded up to the step of its power of two."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(EXACT)).cast("double")))) / STEPS
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long")).cast("long")
-
-
 def pack(sizes: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """(doc_id, n_tokens, ...) with bucket_len, bucket, batch, place.
 
-    The histogram has EXACT + STEPS * log2(longest / EXACT) bins at most and is all that reaches the driver. Documents of a
+    The histogram of exact lengths is all that reaches the driver: at most a row per length up to the longest, and no more than the square
+    root of twice the corpus's tokens. Rows without n_tokens count as empty. Documents of a
     bucket stand by length, then doc_id, and fill batches of floor(budget / bucket_len) rows (1 at least: a document over
     the budget is a batch of its own); each row of a batch is padded to bucket_len. A bucket that holds most documents is ranked over
     many tasks. Documents without tokens go to the first bucket. Nothing is dropped or cut. Columns named like those that are
@@ -64,18 +65,21 @@ def pack(sizes: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -
 
 
 def _pack(sizes: DataFrame, buckets: int, budget: int) -> DataFrame:
-    sizes = without(sizes, ["bucket_len", "bucket", "batch", "place", "_bin", "_rank"])
-    t, _ = stored(sizes.withColumn("_bin", rounded(F.col("n_tokens"))), "lengths")
-    hist = sorted((r[0], r[1]) for r in t.groupBy("_bin").count().collect())
+    sizes = without(sizes, ["bucket_len", "bucket", "batch", "place", "_rank"])
+    t, _ = stored(sizes.withColumn("n_tokens", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long"))), "lengths")
+    hist = sorted((r[0], r[1]) for r in t.groupBy("n_tokens").count().collect())
     bounds = best_bounds(np.array([x for x, _ in hist], dtype=np.int64), np.array([n for _, n in hist], dtype=np.int64), buckets)
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    t = t.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("_bin"))).cast("int")).withColumn("bucket_len", F.element_at(limits, F.col("bucket") + 1)).drop("_bin")
+    t = t.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("n_tokens"))).cast("int")).withColumn("bucket_len", F.element_at(limits, F.col("bucket") + 1))
     ranked = grouped_rank(t, ["bucket"], [F.col("n_tokens").asc(), F.col("doc_id").asc_nulls_first()], "_rank")
     cap = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1).cast("long"))))
     return ranked.withColumn("batch", F.floor(F.col("_rank") / cap).cast("long")).withColumn("place", (F.col("_rank") % cap).cast("long")).drop("_rank")
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_len, batch, place, padding of all documents; tokens are words."""
+    """doc_id, n_tokens, bucket, bucket_len, batch, place, padding of all documents; tokens are words.
+
+    Null, empty and blank texts have none. Repeated ids and rows: a place each. Empty table: empty result. Other columns don't matter.
+    """
     t = pack(read(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("n_tokens")))
     return t.select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "place", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
