@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,8 @@ def extract_uniprot_mappings(s: Structures) -> DataFrame:
 
 
 def annotate_structure_counts(s: Structures) -> DataFrame:
-    return spatial.structure_counts(s["atoms"], s["asym_units"], s["entities"])
+    more = {k: s.tables.get(k) for k in ("assemblies", "connections", "conf_records", "sheet_strands")}
+    return spatial.structure_counts(s["atoms"], s["asym_units"], s["entities"], **more)
 
 
 def annotate_ligand_contacts(s: Structures, distance_cutoff: float = 4.0, include_waters: bool = False) -> DataFrame:
@@ -174,8 +176,8 @@ def compute_sequence_similarity(spark: SparkSession, items: Mapping[str, str] |
         t = spark.createDataFrame(list(items.items()), "item_id string, sequence string")
     t = t.filter("sequence is not null")
     if engine is not None:
-        return X.relationships(X.best_hits(engine(t)), F.col("score"), F.col("coverage"), engine=getattr(engine, "__name__", "custom"))
-    p = X.jaccard_pairs(t, round(100 * threshold), k, words=False)
+        return X.relationships(X.best_hits(engine(t)), F.col("score"), F.col("coverage"), engine=getattr(engine, "__name__", "custom"), identity=F.col("score"))
+    p = X.jaccard_pairs(t, Fraction(str(threshold)) * 100, k, words=False)
     union = F.col("size_a") + F.col("size_b") - F.col("shared")
     return X.relationships(p, F.col("shared") / union, F.col("shared") / F.greatest("size_a", "size_b"), k=str(k), threshold=str(threshold))
 

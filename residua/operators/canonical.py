@@ -138,6 +138,13 @@ def missing_backbone(atoms: DataFrame) -> DataFrame:
     return t.withColumn("missing", lacks).filter(F.size("missing") > 0).drop("_has")
 
 
+def polymers_first(atoms: DataFrame) -> DataFrame:
+    """ATOM rows by residue, in order of appearance, then all others, renumbered."""
+    is_atom = F.col("group_pdb") == "ATOM"
+    first = F.when(is_atom, F.min(F.when(is_atom, F.col("atom_ord"))).over(Window.partitionBy(*RESIDUE)))
+    return reordered(atoms.withColumn("_first", first), F.col("_first").asc_nulls_last(), F.col("atom_ord")).drop("_first")
+
+
 def drop_partial_residues(atoms: DataFrame) -> DataFrame:
     """Atoms without the residues that lack backbone atoms; residues in order of appearance first, then HETATM rows, renumbered."""
     residue = Window.partitionBy(*RESIDUE)
@@ -205,13 +212,14 @@ def truncate_to_regions(atoms: DataFrame) -> DataFrame:
 def pick_altlocs(atoms: DataFrame, strategy: str = "select_best_occupancy", tie: str = "alphabetical_first", label: str | None = None) -> tuple[DataFrame, DataFrame]:
     """atoms -> (atoms with one conformer per residue, its label cleared; mapping of the residues that had several).
 
-    A residue is (chain, number, component), NULLs equal. Means are taken over decimals, so that ties don't depend on the order of
+    Labels '', '.' and '?' are none. ``select_first`` takes the alphabetically first label of a residue, as does ``select_user_defined`` where
+    it lacks the wanted one. A residue is (chain, number, component), NULLs equal. Means are taken over decimals, so that ties don't depend on the order of
     summation. Atoms without a label come first in the result, then the chosen ones by residue. All of it is windows within an entry: atoms
     that are partitioned by entry aren't moved.
     """
     if strategy == "preserve":
-        return atoms, nowhere(atoms.select("entry_id", "label_asym_id", F.lit("").alias("residue_id"), F.col("label_alt_id").alias("selected")))
-    has = F.coalesce(F.col("label_alt_id") != "", F.lit(False))
+        return atoms, nowhere(atoms.select("entry_id", "label_asym_id", F.lit("").alias("residue_id"), F.col("label_alt_id").alias("selected"), F.lit(0).cast("bigint").alias("n_altlocs"), F.array("label_alt_id").alias("available_altlocs"), F.lit("").alias("selection_reason")))
+    has = F.coalesce(~F.col("label_alt_id").isin("", ".", "?"), F.lit(False))
     mean = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,6)"))
     alike, residue = Window.partitionBy(*RESIDUE, "label_alt_id"), Window.partitionBy(*RESIDUE)
     ties = {"alphabetical_first": [F.asc("label_alt_id")], "alphabetical_last": [F.desc("label_alt_id")], "lowest_b_factor": [F.asc("_b"), F.asc("label_alt_id")], "highest_b_factor": [F.desc("_b"), F.asc("label_alt_id")]}
@@ -220,18 +228,19 @@ def pick_altlocs(atoms: DataFrame, strategy: str = "select_best_occupancy", tie:
     if strategy == "select_best_occupancy":
         order = [F.desc("_occ"), *ties[tie]]
     elif strategy == "select_first":
-        order = [F.asc("_first"), F.asc("label_alt_id")]
+        order = [F.asc("label_alt_id")]
     elif strategy == "select_user_defined":
-        order = [F.desc(F.col("label_alt_id") == F.lit(label)), F.asc("_first"), F.asc("label_alt_id")]
+        order = [F.desc(F.col("label_alt_id").eqNullSafe(F.lit(label))), F.asc("label_alt_id")]
     else:
         raise ValueError(f"unknown altloc strategy: {strategy}")
-    t = atoms.withColumn("_has", has).withColumns({"_occ": mean("occupancy").over(alike), "_b": mean("b_iso").over(alike), "_first": F.min("atom_ord").over(alike)})
+    t = atoms.withColumn("_has", has).withColumns({"_occ": mean("occupancy").over(alike), "_b": mean("b_iso").over(alike)})
     best = F.first("label_alt_id").over(residue.orderBy(F.desc("_has"), *order))
     t = t.withColumn("_alt", best).withColumn("_group", F.min(F.when(F.col("_has"), F.col("atom_ord"))).over(residue))
-    kept = t.filter(~F.col("_has") | (F.col("label_alt_id") == F.col("_alt"))).withColumn("label_alt_id", F.lit(None).cast("string"))
+    kept = t.filter(~F.col("_has") | (F.col("label_alt_id") == F.col("_alt"))).withColumn("label_alt_id", F.when(~F.col("_has"), F.col("label_alt_id")))
     out = reordered(kept, F.col("_has"), F.when(F.col("_has"), F.col("_group")), F.col("atom_ord")).select(*atoms.columns)
-    several = t.filter("_has").groupBy(*RESIDUE).agg(F.first("_alt").alias("selected"), F.count_distinct("label_alt_id").alias("n_altlocs")).filter("n_altlocs > 1")
-    return out, several.select("entry_id", "label_asym_id", S.altloc_residue_id(F.col("label_seq_id"), F.col("label_comp_id")).alias("residue_id"), "selected", "n_altlocs")
+    several = t.filter("_has").groupBy(*RESIDUE).agg(F.first("_alt").alias("selected"), F.sort_array(F.collect_set("label_alt_id")).alias("available_altlocs")).filter(F.size("available_altlocs") > 1)
+    reason = {"select_first": "first_alphabetical", "select_user_defined": "user_defined", "select_best_occupancy": "best_occupancy"}[strategy]
+    return out, several.select("entry_id", "label_asym_id", S.altloc_residue_id(F.col("label_seq_id"), F.col("label_comp_id")).alias("residue_id"), "selected", F.size("available_altlocs").cast("bigint").alias("n_altlocs"), "available_altlocs", F.lit(reason).alias("selection_reason"))
 
 
 # --- entities ----------------------------------------------------------------------------------------------------------
@@ -282,11 +291,16 @@ def is_ion(description: Column) -> Column:
 
 
 def kept_chains(asym: DataFrame, entities: DataFrame, strategy: str, waters: bool = True, ions: bool = True, nonpolymers: bool = True) -> DataFrame:
-    """asym_units with ``_keep``: unknown entities and polymers stay, the rest by strategy and flags."""
+    """asym_units with ``_keep``: unknown entities and polymers stay, the rest by strategy and flags.
+
+    Units of one id (as author chain ids can be) stay or go together, by the entity of the last of them.
+    """
+    alike = Window.partitionBy("entry_id", "id").orderBy("asym_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    asym = asym.withColumn("_own", F.col("entity_id")).withColumn("entity_id", F.last("entity_id").over(alike))
     e = entities.select("entry_id", F.col("id").alias("entity_id"), F.col("type").alias("_type"), F.col("pdbx_description").alias("_desc"))
     t = asym.join(e, ["entry_id", "entity_id"], "left")
     other = F.lit(False) if strategy == "annotate_only" else F.when(F.col("_type") == "water", F.lit(waters)).when(is_ion(F.col("_desc")), F.lit(ions)).otherwise(F.lit(nonpolymers))
-    return t.withColumn("_keep", F.when(F.col("_type").isNull() | (F.col("_type") == "polymer"), F.lit(True)).otherwise(other))
+    return t.withColumn("_keep", F.when(F.col("_type").isNull() | (F.col("_type") == "polymer"), F.lit(True)).otherwise(other)).withColumn("entity_id", F.col("_own")).drop("_own")
 
 
 def filter_ligands(asym: DataFrame, atoms: DataFrame, entities: DataFrame, strategy: str = "preserve", waters: bool = True, ions: bool = True, nonpolymers: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -297,10 +311,19 @@ def filter_ligands(asym: DataFrame, atoms: DataFrame, entities: DataFrame, strat
         raise ValueError(f"unknown ligand strategy: {strategy}")
     t = kept_chains(asym, entities, strategy, waters, ions, nonpolymers)
     keep = t.filter("_keep").select(*asym.columns)
-    notes = diagnostic(t.filter(~F.col("_keep")) if strategy == "annotate_only" else nowhere(t), "LIGAND_ANNOTATED_ONLY", F.concat(F.lit("chain "), F.col("id"), F.lit(" is kept as an annotation only")), F.col("id"), "info")
+    notes = diagnostic(t.filter(~F.col("_keep")) if strategy == "annotate_only" else nowhere(t), "LIGAND_ANNOTATED_ONLY", F.concat(F.lit("chain "), F.col("id"), F.lit(" is kept as an annotation only")), F.col("id"))
     return keep, in_listed(atoms, keep), notes
 
 
+def strip_content(asym: DataFrame, atoms: DataFrame, entities: DataFrame, ligands: bool = True, waters: bool = True, ions: bool = True, nonpolymers: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(asym, atoms) of the same entries without ligands, waters or ions, or without anything but polymers: entries are never dropped."""
+    if not nonpolymers:
+        ligands = waters = ions = False
+    t = kept_chains(asym, entities, "filter", waters, ions, ligands)
+    keep = t.filter("_keep").select(*asym.columns)
+    return keep, in_listed(atoms, keep)
+
+
 # --- validation --------------------------------------------------------------------------------------------------------
 
 
@@ -314,10 +337,22 @@ def collisions(asym: DataFrame, atoms: DataFrame) -> DataFrame:
     return out.unionByName(r.filter("_a > _k").select("entry_id", F.lit("RESIDUE_NUMBER_COLLISION").alias("code"), "chain_id", (F.col("_a") - F.col("_k")).alias("n"), (F.col("_c") - F.col("_k")).alias("residue_level")))
 
 
-def status(entries: DataFrame, found: DataFrame, strictness: str = "moderate", fail_on_unresolved: bool = True, warnings_as_errors: bool = False) -> DataFrame:
-    """(entry_id, n_warnings, n_errors, status): strict turns warnings into errors; permissive changes nothing."""
-    n = found.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_warnings"))
-    t = entries.select("entry_id").join(n, "entry_id", "left").withColumn("n_warnings", F.coalesce("n_warnings", F.lit(0)))
-    t = t.withColumn("n_errors", F.col("n_warnings") if strictness == "strict" else F.lit(0).cast("bigint"))
+def collision_notes(asym: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Errors: one per entry that lists a chain id twice, and one per numbered ATOM row whose (chain, number, insertion code) an earlier row has."""
+    twice = asym.groupBy("entry_id").agg(F.count("id").alias("_n"), F.count_distinct("id").alias("_d")).filter("_n > _d")
+    chains = diagnostic(twice, "CANONICAL_CHAIN_ID_COLLISION", F.lit("chain ids are listed more than once"), F.lit(None), "error", "validation")
+    alike = Window.partitionBy("entry_id", "label_asym_id", "label_seq_id", "ins_code").orderBy("atom_ord")
+    again = atoms.filter("group_pdb = 'ATOM' and label_seq_id is not null").withColumn("_n", F.row_number().over(alike)).filter("_n > 1")
+    where = F.concat(F.lit("number "), F.col("label_seq_id").cast("string"), F.lit(" of chain "), F.col("label_asym_id"), F.lit(" is taken"))
+    return chains.unionByName(diagnostic(again, "RESIDUE_NUMBER_COLLISION", where, F.col("label_asym_id"), "error", "validation"))
+
+
+def status(entries: DataFrame, notes: DataFrame, strictness: str = "moderate", fail_on_unresolved: bool = True, warnings_as_errors: bool = False) -> DataFrame:
+    """(entry_id, n_warnings, n_errors, status) from all notes (entry_id, severity); ``strict`` counts every warning as an error as well,
+    ``permissive`` changes nothing."""
+    n = notes.groupBy("entry_id").agg(F.count_if(F.col("severity") == "warning").alias("n_warnings"), F.count_if(F.col("severity") == "error").alias("n_errors"))
+    t = entries.select("entry_id").join(n, "entry_id", "left").fillna(0, ["n_warnings", "n_errors"])
+    if strictness == "strict":
+        t = t.withColumn("n_errors", F.col("n_errors") + F.col("n_warnings"))
     bad = ((F.col("n_errors") > 0) if fail_on_unresolved else F.lit(False)) | ((F.col("n_warnings") > 0) if warnings_as_errors else F.lit(False))
-    return t.withColumn("status", F.when(bad, "failed").when(F.col("n_warnings") > 0, "warning").otherwise("success"))
+    return t.withColumn("status", F.when(bad, "failed").when((F.col("n_warnings") > 0) | (F.col("n_errors") > 0), "warning").otherwise("success"))

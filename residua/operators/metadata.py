@@ -45,8 +45,8 @@ def entry_metadata(entries: DataFrame, raw: DataFrame) -> DataFrame:
         F.coalesce(got("_struct", "title"), S.clean(F.col("title"))).alias("title"),
         F.coalesce(got("_struct_keywords", "text"), got("_struct_keywords", "pdbx_keywords")).alias("keywords"),
         got("_citation", "title").alias("citation_title"),
-        got("_citation", "pdbx_database_id_DOI").alias("citation_doi"),
-        got("_citation", "pdbx_database_id_PubMed").alias("citation_pubmed"),
+        got("_citation", "pdbx_database_id_DOI").alias("doi"),
+        got("_citation", "pdbx_database_id_PubMed").alias("pubmed_id"),
         S.provenance(F.lit("_struct"), F.col("entry_id")).alias("provenance"),
     )
 
@@ -66,17 +66,30 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def taxonomies(raw: DataFrame) -> DataFrame:
-    """Organisms of entities: genetically manipulated sources, then natural ones, then synthetic."""
-
-    def take(name: str, scientific: str, common: str, taxid: str, host: str | None, host_id: str | None) -> DataFrame:
-        t = category(raw, name)
-        host_of = (S.clean(item(host)) if host else F.lit(None).cast("string"), S.as_int(item(host_id)) if host_id else F.lit(None).cast("bigint"))
-        return t.select("entry_id", "row_ord", S.clean(item("entity_id")).alias("entity_id"), S.clean(item(scientific)).alias("scientific_name"), S.clean(item(common)).alias("common_name"), S.as_int(item(taxid)).alias("taxonomy_id"), host_of[0].alias("host_name"), host_of[1].alias("host_taxonomy_id"), S.provenance(F.lit(name), S.clean(item("entity_id"))).alias("provenance"))
+    """Organisms of entities: genetically manipulated sources, then natural ones, then synthetic. Of several items for a value the first that
+    says something counts."""
+
+    def take(name: str, taxid: Sequence[str], scientific: Sequence[str], common: Sequence[str], host: Sequence[str] = (), system: Sequence[str] = ()) -> DataFrame:
+        some = lambda names: S.first_value(*[item(n) for n in names]) if names else F.lit(None).cast("string")
+        host_id, host_name, host_common = host or ((), (), ())
+        return category(raw, name).select(
+            "entry_id",
+            "row_ord",
+            S.clean(item("entity_id")).alias("entity_id"),
+            S.as_int(some(taxid)).alias("ncbi_taxon_id"),
+            some(scientific).alias("organism_scientific"),
+            some(common).alias("organism_common"),
+            S.as_int(some(host_id)).alias("host_ncbi_taxon_id"),
+            some(host_name).alias("host_scientific"),
+            some(host_common).alias("host_common"),
+            some(system).alias("expression_system"),
+            S.provenance(F.lit(name), item("entity_id")).alias("provenance"),
+        )
 
     return union_sources(
-        take("_entity_src_gen", "pdbx_gene_src_scientific_name", "gene_src_common_name", "pdbx_gene_src_ncbi_taxonomy_id", "pdbx_host_org_scientific_name", "pdbx_host_org_ncbi_taxonomy_id"),
-        take("_entity_src_nat", "pdbx_organism_scientific", "common_name", "pdbx_ncbi_taxonomy_id", None, None),
-        take("_pdbx_entity_src_syn", "organism_scientific", "organism_common_name", "ncbi_taxonomy_id", None, None),
+        take("_entity_src_gen", ["pdbx_gene_src_ncbi_taxonomy_id"], ["pdbx_gene_src_scientific_name", "gene_src_scientific_name"], ["gene_src_common_name"], (["pdbx_host_org_ncbi_taxonomy_id"], ["pdbx_host_org_scientific_name"], ["host_org_common_name"]), ["expression_system_id", "plasmid_name"]),
+        take("_entity_src_nat", ["pdbx_ncbi_taxonomy_id", "ncbi_taxonomy_id"], ["pdbx_organism_scientific", "organism_scientific"], ["common_name", "organism_common_name"]),
+        take("_pdbx_entity_src_syn", ["ncbi_taxonomy_id"], ["organism_scientific"], ["organism_common_name"]),
     )
 
 
@@ -97,7 +110,7 @@ def quality(raw: DataFrame) -> DataFrame:
     refine, reflns = first_rows(raw, "_refine").withColumnRenamed("cols", "r"), first_rows(raw, "_reflns").withColumnRenamed("cols", "n")
     t = methods.join(refine, "entry_id", "full").join(reflns, "entry_id", "full")
     num = lambda c, m: S.as_float(item(c, m))
-    return t.select("entry_id", F.col("methods").alias("experimental_method"), num("ls_d_res_high", "r").alias("resolution"), num("ls_R_factor_R_work", "r").alias("r_work"), num("ls_R_factor_R_free", "r").alias("r_free"), S.as_int(item("number_obs", "n")).alias("reflections"), num("percent_possible_obs", "n").alias("completeness"), num("B_iso_mean", "r").alias("mean_b"))
+    return t.select("entry_id", F.col("methods").alias("experimental_method"), num("ls_d_res_high", "r").alias("resolution"), num("ls_R_factor_R_work", "r").alias("r_work"), num("ls_R_factor_R_free", "r").alias("r_free"), S.as_int(item("number_obs", "n")).alias("observed_reflections"), num("percent_possible_obs", "n").alias("percent_possible_observed"), num("B_iso_mean", "r").alias("mean_b_factor"), S.provenance(F.lit("_exptl,_refine,_reflns"), F.lit(None).cast("string")).alias("provenance"))
 
 
 def chains_of_entities(asym: DataFrame) -> DataFrame:
@@ -125,15 +138,15 @@ def ligands_from_atoms(atoms: DataFrame, waters: bool = False) -> DataFrame:
 
 
 def ligand_metadata(raw: DataFrame, asym: DataFrame, atoms: DataFrame, waters: bool = False) -> DataFrame:
-    """Listed non-polymers with their component's name and formula and their chains, each (entity, component) once; entries that are left
+    """Listed non-polymers with their name (else their component's), formula and chains, each (entity, component) once; entries that are left
     without one get what their atoms show."""
-    t = category(raw, "_pdbx_entity_nonpoly", ["entity_id", "comp_id", "name"]).filter(S.clean(F.col("comp_id")).isNotNull())
+    t = category(raw, "_pdbx_entity_nonpoly", ["entity_id", "comp_id", "name"]).withColumns({"entity_id": S.clean(F.col("entity_id")), "comp_id": S.clean(F.col("comp_id"))}).filter("comp_id is not null")
     if not waters:
         t = t.filter(~F.upper("comp_id").isin(*WATERS))
     t = first_by(t, ["entry_id", "entity_id", "comp_id"], ["row_ord"])
-    comp = category(raw, "_chem_comp").withColumn("comp_id", S.clean(item("id"))).groupBy("entry_id", "comp_id").agg(F.max_by("cols", "row_ord").alias("_c"))
+    comp = category(raw, "_chem_comp").withColumn("comp_id", item("id")).groupBy("entry_id", "comp_id").agg(F.max_by("cols", "row_ord").alias("_c"))
     listed = t.join(comp, ["entry_id", "comp_id"], "left").join(chains_of_entities(asym), ["entry_id", "entity_id"], "left")
-    listed = listed.select("entry_id", "entity_id", "comp_id", F.coalesce(S.clean(item("name", "_c")), S.clean(F.col("name"))).alias("name"), S.clean(item("formula", "_c")).alias("formula"), S.as_float(item("formula_weight", "_c")).alias("formula_weight"), F.coalesce("chain_ids", F.array().cast("array<string>")).alias("chain_ids"))
+    listed = listed.select("entry_id", "entity_id", "comp_id", S.first_value(F.col("name"), item("name", "_c")).alias("name"), S.clean(item("formula", "_c")).alias("formula"), S.as_float(item("formula_weight", "_c")).alias("formula_weight"), F.coalesce("chain_ids", F.array().cast("array<string>")).alias("chain_ids"), S.provenance(F.lit("_pdbx_entity_nonpoly"), F.col("entity_id")).alias("provenance"))
     return with_fallback(listed, ligands_from_atoms(atoms, waters))
 
 
@@ -142,16 +155,28 @@ def with_fallback(listed: DataFrame, other: DataFrame) -> DataFrame:
     return listed.unionByName(other.join(listed.select("entry_id").distinct(), "entry_id", "left_anti"), allowMissingColumns=True)
 
 
-UNIPROT_KEY = ("entry_id", "accession", "chain_id", "seq_start", "seq_end", "db_start", "db_end")
+UNIPROT_KEY = ("entry_id", "entity_id", "asym_id", "accession", "seq_id_start", "seq_id_end", "uniprot_start", "uniprot_end")
 
 
 def uniprot_mappings(raw: DataFrame) -> DataFrame:
-    """Reference sequences, then SIFTS segments; rows without an accession go, and the first of equal ones stays."""
-    ref = category(raw, "_struct_ref").withColumn("ref_id", S.clean(item("id"))).groupBy("entry_id", "ref_id").agg(F.max_by("cols", "row_ord").alias("_r"))
-    seq = category(raw, "_struct_ref_seq").withColumn("ref_id", S.clean(item("ref_id"))).join(ref, ["entry_id", "ref_id"], "left")
-    num = lambda c: S.as_int(item(c))
-    a = seq.select("entry_id", "row_ord", F.coalesce(S.clean(item("pdbx_db_accession", "_r")), S.clean(item("pdbx_db_accession"))).alias("accession"), S.clean(item("db_name", "_r")).alias("db_name"), S.clean(item("entity_id", "_r")).alias("entity_id"), S.clean(item("pdbx_strand_id")).alias("chain_id"), num("seq_align_beg").alias("seq_start"), num("seq_align_end").alias("seq_end"), num("db_align_beg").alias("db_start"), num("db_align_end").alias("db_end"), F.lit(None).cast("double").alias("identity"))
-    b = category(raw, "_pdbx_sifts_unp_segments").select("entry_id", "row_ord", S.clean(item("unp_acc")).alias("accession"), F.lit("UNP").alias("db_name"), S.clean(item("entity_id")).alias("entity_id"), S.clean(item("asym_id")).alias("chain_id"), num("seq_id_start").alias("seq_start"), num("seq_id_end").alias("seq_end"), num("unp_start").alias("db_start"), num("unp_end").alias("db_end"), S.as_float(item("identity")).alias("identity"))
+    """Reference sequences (the row's accession, else its reference's), then SIFTS segments; rows without an accession go, and the first of
+    those equal in entity, chain, accession and ranges stays."""
+    ref = category(raw, "_struct_ref").withColumn("ref_id", item("id")).groupBy("entry_id", "ref_id").agg(F.max_by("cols", "row_ord").alias("_r"))
+    seq = category(raw, "_struct_ref_seq").withColumn("ref_id", item("ref_id")).join(ref, ["entry_id", "ref_id"], "left")
+    ends = lambda *names: [S.as_int(item(n)).alias(to) for n, to in zip(names, UNIPROT_KEY[4:], strict=True)]
+    a = seq.select(
+        "entry_id", "row_ord", S.clean(item("entity_id", "_r")).alias("entity_id"), S.clean(item("pdbx_strand_id")).alias("asym_id"),
+        S.first_value(item("pdbx_db_accession"), item("pdbx_db_accession", "_r")).alias("accession"),
+        S.clean(item("db_name", "_r")).alias("db_name"), S.clean(item("db_code", "_r")).alias("db_code"),
+        *ends("seq_align_beg", "seq_align_end", "db_align_beg", "db_align_end"),
+        F.lit(None).cast("double").alias("identity"), S.provenance(F.lit("_struct_ref_seq"), item("align_id")).alias("provenance"),
+    )
+    b = category(raw, "_pdbx_sifts_unp_segments").select(
+        "entry_id", "row_ord", S.clean(item("entity_id")).alias("entity_id"), S.clean(item("asym_id")).alias("asym_id"), S.clean(item("unp_acc")).alias("accession"),
+        F.lit("UNP").alias("db_name"), F.lit(None).cast("string").alias("db_code"),
+        *ends("seq_id_start", "seq_id_end", "unp_start", "unp_end"),
+        S.as_float(item("identity")).alias("identity"), S.provenance(F.lit("_pdbx_sifts_unp_segments"), item("segment_id")).alias("provenance"),
+    )
     return first_by(union_sources(a, b).filter("accession is not null"), UNIPROT_KEY, ["src_ord", "row_ord"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,10 +15,15 @@ FEW = 100_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a written table in the shared checkpoint folder, so that a lost executor costs a re-read only."""
+    """Cuts lineage with a written table in the shared checkpoint folder, so that a lost executor costs a re-read only.
+
+    Where spark.checkpoint.dir is unset: a temporary folder in local mode, an error on a cluster.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="residua-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/residua/{name}-{uuid.uuid4().hex}"

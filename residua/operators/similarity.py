@@ -7,6 +7,7 @@ alignment search, whose result files can be read by ``sources.sequences`` and en
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,30 +27,56 @@ def grams(items: DataFrame, k: int = 3, words: bool = True) -> DataFrame:
     return t.select("item_id", "w", at.alias("i")).select("item_id", F.xxhash64(F.array_join(F.slice("w", F.col("i"), F.lit(k)), " " if words else "")).alias("gram")).distinct()
 
 
-def jaccard_pairs(items: DataFrame, percent: int = 50, k: int = 3, words: bool = True, most_shared: int | None = None) -> DataFrame:
-    """(source_id, target_id, shared, size_a, size_b) of pairs with Jaccard similarity >= percent / 100, each unordered pair once.
+def jaccard_classes(items: DataFrame, percent: int | str | Fraction = 50, k: int = 3, words: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((item_id, rep, n), (source_id, target_id, shared, size_a, size_b)): items with equal grams have one representative, the least of them, and
+    pairs of representatives with Jaccard similarity >= percent / 100, each unordered pair once.
 
-    Only the prefix of each item's grams, rarest first, meets others: two sets that reach the threshold share a gram among the first
-    ``n - ceil(t n) + 1`` of either. The full sets are then compared. ``most_shared`` instead scores over grams of at most so many items
-    (a definition of the score, not a shortcut).
+    ``percent`` may be a decimal or a fraction as text; it is compared as a rational. Copies cost one row each and are never paired here.
+    Only the prefix of each representative's grams, rarest first, meets others: two sets that reach the threshold share a gram among the
+    first ``n - ceil(t n) + 1`` of either. The full sets are then compared.
     """
-    g = grams(items, k, words)
-    df = g.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    g = g.join(df, "gram")
-    if most_shared is not None:
-        g = g.filter(F.col("df").between(2, most_shared))
-    g = stored(g, "grams")
-    sizes = g.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    sets = stored(g.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s")).join(sizes, "item_id"), "sets")
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    t = Fraction(percent) / 100
+    p, q = t.numerator, t.denominator
+    g = stored(grams(items, k, words), "grams")
+    alike = g.groupBy("item_id").agg(F.bit_xor(F.xxhash64("gram")).alias("x"), F.bit_xor(F.xxhash64("gram", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n"))
+    alike = stored(alike, "digests")
+    reps = alike.groupBy("x", "y", "n").agg(F.min("item_id").alias("rep"))
+    members = stored(alike.join(reps, ["x", "y", "n"]).select("item_id", "rep", "n"), "members")
+    one = g.join(members.filter("item_id = rep").select("item_id", "n"), "item_id")
+    df = one.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    sets = stored(one.join(df, "gram").groupBy("item_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s")), "sets")
+    keep = F.col("n") - F.expr(f"(n * {p} + {q - 1}) div {q}") + 1
     pre = sets.select("item_id", "n", F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("x")).filter("x.df > 1").select("item_id", "n", "x.gram")
     a, b = pre.toDF("source_id", "size_a", "gram"), pre.toDF("target_id", "size_b", "gram")
-    close = (F.col("source_id") < F.col("target_id")) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    close = (F.col("source_id") < F.col("target_id")) & (q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b"))
     pairs = a.join(b, "gram").filter(close).select("source_id", "target_id", "size_a", "size_b").distinct()
     hs = sets.select("item_id", F.transform("s", lambda x: x["gram"]).alias("grams"))
     t = pairs.join(hs.toDF("source_id", "ga"), "source_id").join(hs.toDF("target_id", "gb"), "target_id")
     t = t.withColumn("shared", F.size(F.array_intersect("ga", "gb")).cast("bigint")).drop("ga", "gb")
-    return t.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    links = t.filter(q * F.col("shared") >= p * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    return members, links.select("source_id", "target_id", "shared", "size_a", "size_b")
+
+
+def jaccard_pairs(items: DataFrame, percent: int | str | Fraction = 50, k: int = 3, words: bool = True) -> DataFrame:
+    """(source_id, target_id, shared, size_a, size_b) of all pairs of items with Jaccard similarity >= percent / 100, those of copies as well.
+
+    The result has every pair, so its size is that of the answer; ``jaccard_edges`` is enough for components.
+    """
+    members, links = jaccard_classes(items, percent, k, words)
+    m = members.select("item_id", "rep")
+    a, b = m.toDF("ia", "source_id"), m.toDF("ib", "target_id")
+    across = stored(links, "links").join(a, "source_id").join(b, "target_id")
+    flip = F.col("ia") > F.col("ib")
+    pick = lambda x, y, name: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(name)
+    across = across.select(F.least("ia", "ib").alias("source_id"), F.greatest("ia", "ib").alias("target_id"), "shared", pick("size_a", "size_b", "size_a"), pick("size_b", "size_a", "size_b"))
+    own = members.toDF("source_id", "rep", "n").join(m.toDF("target_id", "rep"), "rep").filter("source_id < target_id")
+    return across.unionByName(own.select("source_id", "target_id", F.col("n").alias("shared"), F.col("n").alias("size_a"), F.col("n").alias("size_b")))
+
+
+def jaccard_edges(items: DataFrame, percent: int | str | Fraction = 50, k: int = 3, words: bool = True) -> DataFrame:
+    """(source_id, target_id) with the components of ``jaccard_pairs``: pairs of representatives, and each copy with its representative."""
+    members, links = jaccard_classes(items, percent, k, words)
+    return links.select("source_id", "target_id").unionByName(members.filter("item_id <> rep").select(F.col("rep").alias("source_id"), F.col("item_id").alias("target_id")))
 
 
 def best_hits(hits: DataFrame, order: str = "line_no") -> DataFrame:
@@ -59,9 +86,10 @@ def best_hits(hits: DataFrame, order: str = "line_no") -> DataFrame:
     return best.select("source_id", "target_id", "b.score", "b.coverage")
 
 
-def relationships(pairs: DataFrame, score: Column, coverage: Column, kind: str = "sequence_similarity", engine: str = "jaccard", version: str = "1", **parameters: str) -> DataFrame:
+def relationships(pairs: DataFrame, score: Column, coverage: Column, kind: str = "sequence_similarity", engine: str = "jaccard", version: str = "1", identity: Column | None = None, **parameters: str) -> DataFrame:
+    """Relationships sorted by pair. ``identity`` is that of an alignment; the native engine has none, so it is NULL there."""
     method = F.struct(F.lit(engine).alias("engine"), F.lit(version).alias("version"), (F.create_map(*[F.lit(x) for kv in parameters.items() for x in kv]) if parameters else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("parameters"))
-    return pairs.select("source_id", "target_id", F.lit(kind).alias("similarity_type"), score.cast("double").alias("score"), coverage.cast("double").alias("coverage"), score.cast("double").alias("identity"), method.alias("method"))
+    return pairs.select("source_id", "target_id", F.lit(kind).alias("similarity_type"), score.cast("double").alias("score"), coverage.cast("double").alias("coverage"), (F.lit(None) if identity is None else identity).cast("double").alias("identity"), method.alias("method")).orderBy("source_id", "target_id")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -124,7 +152,17 @@ def clusters(items: DataFrame, edges: DataFrame, threshold: float | None = None,
 
 
 def cluster_summary(c: DataFrame) -> DataFrame:
-    return c.agg(F.count(F.lit(1)).alias("total_clusters"), F.count_if(F.col("n_components") == 1).alias("singletons"), F.max("n_components").alias("largest"), F.sum("n_components").alias("items"))
+    return c.agg(F.count(F.lit(1)).alias("total_clusters"), F.count_if(F.col("n_components") == 1).alias("singletons"), F.max("n_components").alias("largest"), F.sum("n_components").alias("items"), (F.sum("n_components") / F.count(F.lit(1))).alias("mean_size"))
+
+
+def graph_statistics(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges (both ends known, each unordered pair once), connected components and the size of the largest."""
+    nodes = items.select("item_id").distinct()
+    e = undirected(edges.select("source_id", "target_id")).filter("source_id <> target_id").distinct()
+    e = stored(e.join(nodes.toDF("source_id"), "source_id", "left_semi").join(nodes.toDF("target_id"), "target_id", "left_semi"), "edges")
+    sizes = connected(nodes, e).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    t = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.count(F.lit(1)).alias("connected_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component_size"))
+    return t.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("edge_count"))))  # one row by one row
 
 
 def merge_small(c: DataFrame, least: int) -> DataFrame:
@@ -148,29 +186,6 @@ def check_fractions(fractions: Sequence[float]) -> None:
         raise ValueError("split fractions must sum to 1")
 
 
-def partition_keep(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
-    """(cluster_ord, n_components) -> with ``split``: clusters by size, largest first, each to the split that lacks most; ties train, val, test.
-
-    The fold is sequential by nature. Clusters of equal size and runs of them are what it sees: it goes over (size, cluster) pairs only,
-    16 bytes each, in one aggregate; members never move.
-    """
-    check_fractions(fractions)
-    total = F.sum("n_components")
-    lists = c.agg(F.array_sort(F.collect_list(F.struct((-F.col("n_components")).alias("neg"), "cluster_ord"))).alias("l"), total.alias("total"))
-    want = [F.bround(F.col("total") * F.lit(f)).cast("bigint") for f in fractions[:2]]
-    lists = lists.withColumn("goal", F.array(*want, F.col("total") - want[0] - want[1]))
-    zero = F.struct(F.array(*[F.lit(0).cast("bigint")] * 3).alias("has"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        lack = F.zip_with(F.col("goal"), acc["has"], lambda g, h: g - h)
-        most = F.array_position(lack, F.array_max(lack)).cast("int")
-        has = F.transform(acc["has"], lambda h, i: F.when(i + 1 == most, h - x["neg"]).otherwise(h))
-        return F.struct(has.alias("has"), F.concat(acc["out"], F.array(F.element_at(F.array(*[F.lit(s) for s in SPLITS]), most))).alias("out"))
-
-    out = lists.select("l", F.aggregate("l", zero, step)["out"].alias("o")).select(F.explode(F.arrays_zip("l", "o")).alias("x"))
-    return c.join(out.select(F.col("x.l.cluster_ord").alias("cluster_ord"), F.col("x.o").alias("split")), "cluster_ord")
-
-
 def fold_steps(sizes: Sequence[tuple[int, int]], fractions: Sequence[float]) -> list[tuple[int, int, int, str]]:
     """(size, number of clusters), largest first -> (size, from, to, splits in turn): what the greedy fold does, in few steps a size.
 
@@ -204,8 +219,8 @@ def fold_steps(sizes: Sequence[tuple[int, int]], fractions: Sequence[float]) ->
     return rows
 
 
-def partition_keep_large(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
-    """The result of ``partition_keep`` for any number of clusters.
+def partition_keep(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
+    """(cluster_ord, n_components) -> with ``split``: clusters by size, largest first, each to the split that lacks most; ties train, val, test.
 
     The driver sees distinct sizes and their counts only and folds over them; clusters of a size are numbered by cluster_ord over many
     tasks and find their split by a broadcast of a few steps a size.
@@ -220,6 +235,9 @@ def partition_keep_large(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0
     return ranked.join(F.broadcast(steps), on).withColumn("split", split).drop("n", "lo", "hi", "turn", "_r")
 
 
+partition_keep_large = partition_keep
+
+
 def partition_proportional(c: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
     """(cluster_ord, components) -> (cluster_ord, item_id, split): each cluster's sorted members cut at rounded shares."""
     check_fractions(fractions)

@@ -98,13 +98,13 @@ def residues_near(residues: DataFrame, targets: DataFrame, radius: float, keys:
     return grid_join(ca(targets), ca(residues), radius, keys)
 
 
-def structure_counts(atoms: DataFrame, asym: DataFrame, entities: DataFrame) -> DataFrame:
-    """Atoms, chains, entities, distinct residues, atoms with an alternate label, by entry."""
+def structure_counts(atoms: DataFrame, asym: DataFrame, entities: DataFrame, assemblies: DataFrame | None = None, connections: DataFrame | None = None, conf_records: DataFrame | None = None, sheet_strands: DataFrame | None = None) -> DataFrame:
+    """Atoms, chains, entities, distinct residues, atoms with an alternate label, by entry; of the optional tables, those that are given."""
     a = atoms.groupBy("entry_id").agg(F.count(F.lit(1)).alias("atom_count"), F.count_distinct(F.struct("label_asym_id", "label_seq_id", "auth_seq_id", "label_comp_id")).alias("residue_count"), F.count_if(F.coalesce(F.col("label_alt_id") != "", F.lit(False))).alias("altloc_atom_count"), F.count_if(F.col("group_pdb") == "ATOM").alias("atom_rows"), F.count_if(F.col("group_pdb") == "HETATM").alias("hetatm_rows"))
-    c = asym.groupBy("entry_id").agg(F.count(F.lit(1)).alias("chain_count"))
-    e = entities.groupBy("entry_id").agg(F.count(F.lit(1)).alias("entity_count"))
-    t = a.join(c, "entry_id", "full").join(e, "entry_id", "full")
-    return t.fillna(0)
+    for t, name in ((asym, "chain_count"), (entities, "entity_count"), (assemblies, "assembly_count"), (connections, "connection_count"), (conf_records, "conf_record_count"), (sheet_strands, "sheet_strand_count")):
+        if t is not None:
+            a = a.join(t.groupBy("entry_id").agg(F.count(F.lit(1)).alias(name)), "entry_id", "full")
+    return a.fillna(0)
 
 
 def counts_by(df: DataFrame, column: str) -> DataFrame:

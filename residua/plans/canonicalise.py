@@ -60,20 +60,18 @@ def canonicalise(tables: dict[str, DataFrame], policy: Policy) -> Canonical:
     if s != "preserve" or not keep_codes:
         t["atoms"], out.mappings["residue_number"] = C.number_residues(t["atoms"], s, keep_codes)
     ids, s = policy["identifier_rules.assembly_id.strategy"], policy["assembly_rules.strategy"]
-    done("assembly_id", ids)
-    if s != "preserve_as_reported":
-        out.transforms.append(f"assembly:{s}")
+    if ids != "preserve" or s != "preserve_as_reported":
+        out.transforms.append(f"assembly:{s}/id:{ids}")
     if "assemblies" in t:
         t["assemblies"], out.mappings["assembly"] = C.number_assemblies(t["assemblies"], ids, s)
 
     s = policy["missing_data_rules.missing_atoms.strategy"]
     done("missing_atoms", s)
-    if s != "preserve":
+    if s in ("annotate", "drop_partial_residue"):
         lacks = C.missing_backbone(t["atoms"])
         if policy["missing_data_rules.missing_atoms.record_missingness"]:
             notes.append(C.diagnostic(lacks, "MISSING_ATOMS", F.concat(F.lit("lacks "), F.array_join("missing", ", ")), S.residue_id(F.col("label_asym_id"), F.col("label_seq_id"))))
-        if s == "drop_partial_residue":
-            t["atoms"] = C.drop_partial_residues(t["atoms"])
+        t["atoms"] = C.drop_partial_residues(t["atoms"]) if s == "drop_partial_residue" else C.polymers_first(t["atoms"])
     s = policy["missing_data_rules.missing_residues.strategy"]
     done("missing_residues", s)
     if policy["missing_data_rules.missing_residues.record_gaps"]:
@@ -82,8 +80,6 @@ def canonicalise(tables: dict[str, DataFrame], policy: Policy) -> Canonical:
         t["atoms"] = C.drop_gapped_chains(t["atoms"])
     s = policy["missing_data_rules.incomplete_chains.strategy"]
     done("incomplete_chains", s)
-    if s != "preserve":
-        notes.append(C.diagnostic(C.incomplete_chains(t["atoms"]), "INCOMPLETE_CHAIN", F.concat(F.col("present"), F.lit(" of "), F.col("span"), F.lit(" residues")), F.col("label_asym_id")))
     if s == "exclude":
         t["atoms"], t["asym_units"] = C.exclude_incomplete(t["atoms"], t["asym_units"])
     elif s == "truncate_to_complete_regions":
@@ -105,16 +101,18 @@ def canonicalise(tables: dict[str, DataFrame], policy: Policy) -> Canonical:
         if policy["entity_rules.preserve_original_entity_ids"]:
             out.mappings["entity"] = mapping
     s = policy["ligand_rules.strategy"]
-    done("ligand", s)
+    done("ligands", s)
     if s != "preserve":
         t["asym_units"], t["atoms"], found = C.filter_ligands(t["asym_units"], t["atoms"], t["entities"], s, policy["ligand_rules.keep_waters"], policy["ligand_rules.keep_ions"], policy["ligand_rules.keep_nonpolymer_ligands"])
         notes.append(found)
 
-    clash = C.collisions(t["asym_units"], t["atoms"])
-    notes.append(clash.select("entry_id", F.lit("validation").alias("stage"), "code", F.lit("warning").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" more")).alias("message"), F.col("chain_id").alias("field")))
-    out.status = C.status(t["entries"], clash, policy["validation_rules.strictness"], policy["validation_rules.fail_on_unresolved_issues"], policy["validation_rules.warnings_as_errors"])
+    notes.append(C.collision_notes(t["asym_units"], t["atoms"]))
     for n in notes:
         out.diagnostics = n if out.diagnostics is None else out.diagnostics.unionByName(n)
+    strict = policy["validation_rules.strictness"]
+    out.status = C.status(t["entries"], out.diagnostics, strict, policy["validation_rules.fail_on_unresolved_issues"], policy["validation_rules.warnings_as_errors"])
+    if strict == "strict":
+        out.diagnostics = out.diagnostics.unionByName(out.diagnostics.filter("severity = 'warning'").withColumn("severity", F.lit("error")))
     if policy["provenance_rules.emit_canonicalisation_report"]:
         out.report = out.diagnostics.groupBy("entry_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("notes"))
     if not record:

@@ -124,19 +124,19 @@ for _tie, _order in (("alphabetical_first", "occ DESC, label_alt_id"), ("alphabe
     ORACLES[f"altloc_best_occ_{_name}"] = _altloc(_order) + _KEPT
 
 
-@query(_altloc("f, label_alt_id") + _KEPT)
+@query(_altloc("label_alt_id") + _KEPT)
 def altloc_first(spark: SparkSession, d: str) -> DataFrame:
     return C.pick_altlocs(_atoms(spark, d), "select_first")[0].select(*_ALT_COLS)
 
 
-@query(_altloc("(label_alt_id = 'O') DESC, f, label_alt_id") + _KEPT)
+@query(_altloc("(label_alt_id = 'O') DESC, label_alt_id") + _KEPT)
 def altloc_user(spark: SparkSession, d: str) -> DataFrame:
     return C.pick_altlocs(_atoms(spark, d), "select_user_defined", label="O")[0].select(*_ALT_COLS)
 
 
-@query(_altloc("occ DESC, b, label_alt_id") + " SELECT entry_id, label_asym_id, coalesce(CAST(label_seq_id AS VARCHAR), 'None') || ':' || label_comp_id AS residue_id, label_alt_id AS selected, k AS n_altlocs FROM w WHERE k > 1")
+@query(_altloc("occ DESC, b, label_alt_id") + " SELECT entry_id, label_asym_id, coalesce(CAST(label_seq_id AS VARCHAR), 'None') || ':' || label_comp_id AS residue_id, label_alt_id AS selected, k AS n_altlocs, (SELECT string_agg(m.label_alt_id, ',' ORDER BY m.label_alt_id) FROM m WHERE m.entry_id = w.entry_id AND m.label_asym_id = w.label_asym_id AND m.label_seq_id IS NOT DISTINCT FROM w.label_seq_id AND m.label_comp_id = w.label_comp_id) AS available_altlocs, 'best_occupancy' AS selection_reason FROM w WHERE k > 1")
 def altloc_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return C.pick_altlocs(_atoms(spark, d), "select_best_occupancy", "lowest_b_factor")[1]
+    return C.pick_altlocs(_atoms(spark, d), "select_best_occupancy", "lowest_b_factor")[1].withColumn("available_altlocs", F.array_join("available_altlocs", ","))
 
 
 _HAS = ", h AS (SELECT entry_id, label_asym_id, label_seq_id, label_comp_id, min(atom_ord) AS first_ord, " + ", ".join(f"bool_or(label_atom_id = '{x}') AS h_{x}" for x in C.BACKBONE) + " FROM fx_atoms WHERE group_pdb = 'ATOM' GROUP BY ALL)"
@@ -198,6 +198,57 @@ def ligand_annotate_only(spark: SparkSession, d: str) -> DataFrame:
     return C.filter_ligands(frame(spark, d, "fx_asym"), _atoms(spark, d), frame(spark, d, "fx_types"), "annotate_only")[2].select("entry_id", "code", "field")
 
 
+@query(TYPES + f" SELECT a.entry_id, a.atom_ord, a.label_asym_id FROM fx_atoms a JOIN fx_asym s ON s.entry_id = a.entry_id AND s.id = a.label_asym_id LEFT JOIN fx_types t ON t.entry_id = s.entry_id AND t.id = s.entity_id WHERE t.type IS NULL OR t.type IN ('polymer', 'water') OR ({_ION})")
+def content_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Entries without their ligands, with waters and ions."""
+    return C.strip_content(frame(spark, d, "fx_asym"), _atoms(spark, d), frame(spark, d, "fx_types"), ligands=False)[1].select("entry_id", "atom_ord", "label_asym_id")
+
+
+_AUTH = TYPES + """, s2 AS (SELECT *, auth_id AS aid, arg_max(entity_id, asym_ord) OVER (PARTITION BY entry_id, auth_id) AS e FROM fx_asym),
+k2 AS (SELECT s2.*, t.type, t.pdbx_description FROM s2 LEFT JOIN fx_types t ON t.entry_id = s2.entry_id AND t.id = s2.e),
+b2 AS (SELECT a.*, s.auth_id AS aid FROM fx_atoms a JOIN fx_asym s ON s.entry_id = a.entry_id AND s.id = a.label_asym_id)"""
+
+
+@query(_AUTH + f" SELECT entry_id, atom_ord, aid AS label_asym_id FROM b2 WHERE EXISTS (SELECT 1 FROM k2 WHERE k2.entry_id = b2.entry_id AND k2.aid = b2.aid AND (k2.type IS NULL OR k2.type = 'polymer' OR (k2.type <> 'water' AND NOT ({_ION}))))")
+def ligand_filter_auth(spark: SparkSession, d: str) -> DataFrame:
+    """Waters and ions go where author chain ids have merged units: an id is judged by its last unit."""
+    asym = frame(spark, d, "fx_asym")
+    atoms = C.rename_chains(_atoms(spark, d), C.chain_map(asym, "use_auth_chain_id"), "label_asym_id")
+    return C.filter_ligands(asym.withColumn("id", F.col("auth_id")), atoms, frame(spark, d, "fx_types"), "filter", waters=False, ions=False)[1].select("entry_id", "atom_ord", "label_asym_id")
+
+
+_STATUS = _AUTH + """, seen AS (SELECT DISTINCT entry_id, aid, label_seq_id FROM b2 WHERE group_pdb = 'ATOM' AND label_seq_id IS NOT NULL),
+gaps AS (SELECT entry_id, count(*) AS n FROM (SELECT entry_id, label_seq_id, lead(label_seq_id) OVER (PARTITION BY entry_id, aid ORDER BY label_seq_id) AS nx FROM seen) WHERE nx - label_seq_id > 1 GROUP BY 1),
+gone AS (SELECT entry_id, count(*) AS n FROM k2 WHERE type IS NOT NULL AND type <> 'polymer' GROUP BY 1),
+kept AS (SELECT * FROM k2 WHERE type IS NULL OR type = 'polymer'),
+twice AS (SELECT entry_id, 1 AS n FROM kept GROUP BY 1 HAVING count(*) > count(DISTINCT aid)),
+res AS (SELECT entry_id, count(*) - count(DISTINCT (aid, label_seq_id)) AS n FROM b2 WHERE group_pdb = 'ATOM' AND label_seq_id IS NOT NULL AND EXISTS (SELECT 1 FROM kept WHERE kept.entry_id = b2.entry_id AND kept.aid = b2.aid) GROUP BY 1),
+c AS (SELECT e.entry_id, coalesce(g.n, 0) + coalesce(o.n, 0) AS n_warnings, coalesce(t.n, 0) + coalesce(r.n, 0) AS n_errors FROM (SELECT DISTINCT entry_id FROM fx_atoms) e LEFT JOIN gaps g USING (entry_id) LEFT JOIN gone o USING (entry_id) LEFT JOIN twice t USING (entry_id) LEFT JOIN res r USING (entry_id))
+"""
+
+
+def _status(spark: SparkSession, d: str, **rules) -> DataFrame:
+    from residua.plans.canonicalise import canonicalise
+    from residua.plans.policy import policy
+
+    tables = {"atoms": _atoms(spark, d), "asym_units": frame(spark, d, "fx_asym"), "entities": frame(spark, d, "fx_types")}
+    tables["entries"] = tables["atoms"].select("entry_id").distinct()
+    p = policy({"identifier_rules": {"chain_id": {"strategy": "use_auth_chain_id"}}, "altloc_rules": {"strategy": "preserve"}, "missing_data_rules": {"missing_atoms": {"strategy": "preserve"}}, "ligand_rules": {"strategy": "annotate_only"}, "validation_rules": rules})
+    return canonicalise(tables, p).status
+
+
+@query(_STATUS + "SELECT *, CASE WHEN n_errors > 0 THEN 'failed' WHEN n_warnings > 0 THEN 'warning' ELSE 'success' END AS status FROM c")
+def canonical_status(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every entry from all its errors and warnings: merged author chains, gaps, ligands kept as annotations."""
+    return _status(spark, d)
+
+
+@query(_STATUS + "SELECT entry_id, n_warnings, n_errors + n_warnings AS n_errors, CASE WHEN n_warnings > 0 THEN 'failed' WHEN n_errors > 0 THEN 'warning' ELSE 'success' END AS status FROM c")
+def canonical_status_strict(spark: SparkSession, d: str) -> DataFrame:
+    """The same where warnings count as errors, and only warnings fail an entry."""
+    return _status(spark, d, strictness="strict", fail_on_unresolved_issues=False, warnings_as_errors=True)
+
+
 @query(ASYM + " SELECT entry_id, 'CANONICAL_CHAIN_ID_COLLISION' AS code, auth_id AS chain_id, count(*) - 1 AS n FROM fx_asym GROUP BY entry_id, auth_id HAVING count(*) > 1 UNION ALL SELECT entry_id, 'RESIDUE_NUMBER_COLLISION', label_asym_id, count(*) - count(DISTINCT label_seq_id) FROM fx_atoms WHERE group_pdb = 'ATOM' AND label_seq_id IS NOT NULL GROUP BY entry_id, label_asym_id HAVING count(*) > count(DISTINCT label_seq_id)")
 def validate_collisions(spark: SparkSession, d: str) -> DataFrame:
     asym = frame(spark, d, "fx_asym").withColumn("id", F.col("auth_id"))
@@ -257,6 +308,100 @@ def uniprot_dedup(spark: SparkSession, d: str) -> DataFrame:
     return t.select("ref_id", "asym_id", "seq_id_start", "seq_id_end", "row_ord", "tie")
 
 
+def _raw(spark: SparkSession, d: str, **categories: tuple[str, str, str, dict[str, str]]) -> DataFrame:
+    """Raw rows: category=(table, entry_id, row_ord, {item: SQL of its text})."""
+    out = None
+    for name, (table, entry, order, items) in categories.items():
+        pairs = ", ".join(f"'{k}', CAST({v} AS STRING)" for k, v in items.items())
+        t = frame(spark, d, table).selectExpr(f"CAST({entry} AS STRING) AS entry_id", f"'{name}' AS category", f"CAST({order} AS INT) AS row_ord", f"map({pairs}) AS cols")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+#: An item that is a null token for some keys and missing text for others.
+_HOLEY = "CASE {k} % 4 WHEN 0 THEN '?' WHEN 1 THEN ' . ' WHEN 2 THEN {v} ELSE concat('  ', {v}, ' ') END"
+_FIX = "CASE WHEN {k} % 4 IN (0, 1) THEN NULL ELSE {v} END"
+
+
+def _holey(k: str, v: str) -> str:
+    return _HOLEY.format(k=k, v=v)
+
+
+def _fix(k: str, v: str) -> str:
+    return _FIX.format(k=k, v=v)
+
+
+@query("SELECT src_ord, entry_id, row_ord, entity_id, ncbi_taxon_id, organism_scientific, organism_common, host_ncbi_taxon_id, host_scientific, host_common, expression_system FROM ("
+    "SELECT 1 AS src_ord, CAST(c_nationkey AS VARCHAR) AS entry_id, CAST(c_custkey AS INT) AS row_ord, c_mktsegment AS entity_id, CAST(c_custkey AS BIGINT) AS ncbi_taxon_id, coalesce(" + _fix("c_custkey", "c_name") + ", c_mktsegment) AS organism_scientific, " + _fix("c_custkey", "c_mktsegment") + " AS organism_common, CAST(c_nationkey AS BIGINT) AS host_ncbi_taxon_id, c_name AS host_scientific, c_mktsegment AS host_common, coalesce(" + _fix("c_custkey", "'E'") + ", c_name) AS expression_system FROM customer "
+    "UNION ALL SELECT 2, CAST(s_nationkey AS VARCHAR), CAST(s_suppkey AS INT), NULL, CASE WHEN s_suppkey % 4 IN (2, 3) THEN 7 ELSE CAST(s_suppkey AS BIGINT) END, coalesce(" + _fix("s_suppkey", "s_name") + ", 'other'), coalesce(" + _fix("s_suppkey", "'common'") + ", s_name), NULL, NULL, NULL, NULL FROM supplier "
+    "UNION ALL SELECT 3, CAST(n_nationkey AS VARCHAR), CAST(n_nationkey AS INT), CAST(n_regionkey AS VARCHAR), NULL, " + _fix("n_nationkey", "n_name") + ", n_name, NULL, NULL, NULL, NULL FROM nation)")
+def taxonomies_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Organisms from raw categories, with values that only a fallback item has."""
+    raw = _raw(spark, d,
+        _entity_src_gen=("customer", "c_nationkey", "c_custkey", {"entity_id": "c_mktsegment", "pdbx_gene_src_ncbi_taxonomy_id": "c_custkey", "pdbx_gene_src_scientific_name": _holey("c_custkey", "c_name"), "gene_src_scientific_name": "c_mktsegment", "gene_src_common_name": _holey("c_custkey", "c_mktsegment"), "pdbx_host_org_ncbi_taxonomy_id": "c_nationkey", "pdbx_host_org_scientific_name": "c_name", "host_org_common_name": "c_mktsegment", "expression_system_id": _holey("c_custkey", "'E'"), "plasmid_name": "c_name"}),
+        _entity_src_nat=("supplier", "s_nationkey", "s_suppkey", {"pdbx_ncbi_taxonomy_id": _holey("s_suppkey", "'7'"), "ncbi_taxonomy_id": "s_suppkey", "pdbx_organism_scientific": _holey("s_suppkey", "s_name"), "organism_scientific": "'other'", "common_name": _holey("s_suppkey", "'common'"), "organism_common_name": "s_name"}),
+        _pdbx_entity_src_syn=("nation", "n_nationkey", "n_nationkey", {"entity_id": "n_regionkey", "ncbi_taxonomy_id": "'1.5'", "organism_scientific": _holey("n_nationkey", "n_name"), "organism_common_name": "n_name"}),
+    )
+    return metadata.taxonomies(raw).drop("provenance")
+
+
+@query("WITH r AS (SELECT p_brand AS entry_id, CAST(p_partkey AS VARCHAR) AS id, " + _fix("p_partkey", "p_name") + " AS acc, p_type AS db_name, p_name AS db_code, CAST(p_size AS VARCHAR) AS entity_id FROM part), "
+    "l AS (SELECT p_brand AS entry_id, CAST(l_orderkey AS INT) AS row_ord, CAST(l_partkey AS VARCHAR) AS ref_id, l_returnflag AS asym_id, " + _fix("l_orderkey", "l_linestatus") + " AS acc, CAST(l_linenumber AS BIGINT) AS a, CAST(l_linenumber + 5 AS BIGINT) AS b FROM lineitem JOIN part ON p_partkey = l_partkey), "
+    "u AS (SELECT 1 AS src_ord, l.entry_id, l.row_ord, r.entity_id, l.asym_id, coalesce(l.acc, r.acc) AS accession, r.db_name, r.db_code, l.a AS seq_id_start, l.b AS seq_id_end, l.a AS uniprot_start, CAST(NULL AS BIGINT) AS uniprot_end, CAST(NULL AS DOUBLE) AS identity FROM l JOIN r ON r.entry_id = l.entry_id AND r.id = l.ref_id "
+    "UNION ALL SELECT 2, CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS INT), o_orderstatus, NULL, " + _fix("o_orderkey", "o_orderpriority") + ", 'UNP', NULL, 1, 9, 3, 4, 0.5 FROM orders) "
+    "SELECT entry_id, entity_id, asym_id, accession, seq_id_start, seq_id_end, uniprot_start, uniprot_end, min(row_ord) AS row_ord, arg_min(db_name, row_ord) AS db_name, max(identity) AS identity FROM u WHERE accession IS NOT NULL GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"))
+def uniprot_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Reference sequences with accessions of their own or of their reference, and segments; each mapping once."""
+    lines = frame(spark, d, "lineitem").join(frame(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    one = lambda **items: F.create_map(*[x for k, v in items.items() for x in (F.lit(k), F.expr(f"CAST({v} AS STRING)"))])
+    seq = lines.select(F.col("p_brand").alias("entry_id"), F.lit("_struct_ref_seq").alias("category"), F.col("l_orderkey").cast("int").alias("row_ord"), one(ref_id="l_partkey", pdbx_strand_id="l_returnflag", pdbx_db_accession=_holey("l_orderkey", "l_linestatus"), seq_align_beg="l_linenumber", seq_align_end="l_linenumber + 5", db_align_beg="l_linenumber", db_align_end="'x'").alias("cols"))
+    raw = _raw(spark, d,
+        _struct_ref=("part", "p_brand", "p_partkey", {"id": "p_partkey", "pdbx_db_accession": _holey("p_partkey", "p_name"), "db_name": "p_type", "db_code": "p_name", "entity_id": "p_size"}),
+        _pdbx_sifts_unp_segments=("orders", "o_custkey", "o_orderkey", {"unp_acc": _holey("o_orderkey", "o_orderpriority"), "entity_id": "o_orderstatus", "asym_id": "'?'", "seq_id_start": "1", "seq_id_end": "9", "unp_start": "3", "unp_end": "4", "identity": "'0.5'"}),
+    ).unionByName(seq)
+    names = ["entry_id", "entity_id", "asym_id", "accession", "seq_id_start", "seq_id_end", "uniprot_start", "uniprot_end"]
+    t = metadata.uniprot_mappings(raw)
+    return t.groupBy(*names).agg(F.min("row_ord").alias("row_ord"), F.first("db_name").alias("db_name"), F.max("identity").alias("identity"))
+
+
+@query("WITH n AS (SELECT p_brand AS entry_id, CAST(p_size AS VARCHAR) AS entity_id, p_type AS comp_id, arg_min(" + _fix("p_partkey", "p_name") + ", p_partkey) FILTER (true) AS x, min(p_partkey) AS k FROM part WHERE p_brand <> 'Brand#2' GROUP BY 1, 2, 3), "
+    "f AS (SELECT n.entry_id, n.entity_id, n.comp_id, coalesce(CASE WHEN n.k % 4 IN (2, 3) THEN p.p_name END, n.entry_id) AS name, p.p_brand AS formula FROM n JOIN part p ON p.p_partkey = n.k) "
+    "SELECT entry_id, entity_id, comp_id, name, formula, CAST(1.5 AS DOUBLE) AS formula_weight, '' AS chain_ids FROM f "
+    "UNION ALL SELECT 'Brand#2', 'e', 'GOL', NULL, NULL, NULL, 'A,B'")
+def ligands_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Listed non-polymers, named by themselves or by their components; an entry without a list gets what its atoms show."""
+    raw = _raw(spark, d, _pdbx_entity_nonpoly=("part", "p_brand", "p_partkey", {"entity_id": "p_size", "comp_id": "p_type", "name": _holey("p_partkey", "p_name")}), _chem_comp=("part", "p_brand", "p_partkey", {"id": "p_type", "name": "p_brand", "formula": "p_brand", "formula_weight": "'1.5'"})).filter("entry_id <> 'Brand#2'")
+    atoms = spark.sql("SELECT * FROM VALUES ('Brand#2', 'HETATM', 'e', 'GOL', 'B'), ('Brand#2', 'HETATM', 'e', 'GOL', 'A'), ('Brand#2', 'HETATM', 'e', 'HOH', 'W'), ('Brand#1', 'HETATM', 'e', 'GOL', 'Z') AS t(entry_id, group_pdb, label_entity_id, label_comp_id, label_asym_id)")
+    asym = spark.sql("SELECT 'none' AS entry_id, 'A' AS id, '1' AS entity_id, 1 AS asym_ord")
+    t = metadata.ligand_metadata(raw, asym, atoms)
+    return t.select("entry_id", "entity_id", "comp_id", "name", "formula", "formula_weight", F.array_join("chain_ids", ",").alias("chain_ids"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS entry_id, string_agg(" + _fix("o_orderkey", "o_orderpriority") + ", '; ' ORDER BY o_orderkey) AS experimental_method, arg_min(o_orderkey / 10.0, o_orderkey) AS resolution, CAST(NULL AS DOUBLE) AS r_work, min(o_orderkey) AS observed_reflections FROM orders GROUP BY 1")
+def quality_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Methods of all rows, figures of the first rows."""
+    raw = _raw(spark, d, _exptl=("orders", "o_custkey", "o_orderkey", {"method": _holey("o_orderkey", "o_orderpriority")}), _refine=("orders", "o_custkey", "o_orderkey", {"ls_d_res_high": "CAST(o_orderkey / 10.0 AS DECIMAL(18,1))", "ls_R_factor_R_work": "'n/a'"}), _reflns=("orders", "o_custkey", "o_orderkey", {"number_obs": "o_orderkey"}))
+    return metadata.quality(raw).select("entry_id", "experimental_method", "resolution", "r_work", "observed_reflections")
+
+
+@query("WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS entry_id, p_name, p_type, p_size FROM part) SELECT entry_id, p_name AS title, coalesce(" + _fix("p_size", "p_type") + ", p_name) AS keywords, p_type AS citation_title, " + _fix("p_size", "p_name") + " AS doi, NULL::VARCHAR AS pubmed_id FROM e")
+def entry_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Entry metadata with keywords of two items."""
+    e = frame(spark, d, "part").select(F.col("p_partkey").cast("string").alias("entry_id"), F.col("p_name").alias("title"))
+    raw = _raw(spark, d, _struct_keywords=("part", "p_partkey", "0", {"text": _holey("p_size", "p_type"), "pdbx_keywords": "p_name"}), _citation=("part", "p_partkey", "0", {"title": "p_type", "pdbx_database_id_DOI": _holey("p_size", "p_name")}))
+    return metadata.entry_metadata(e, raw).drop("provenance")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS entry_id, '1' AS id, " + _fix("p_partkey", "p_type") + " AS ec_number, p_name AS mutation, CAST(NULL AS VARCHAR) AS fragment, 'A,B' AS chain_ids FROM part")
+def entity_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with what raw rows say of them, and their chains."""
+    part = frame(spark, d, "part").select(F.col("p_partkey").cast("string").alias("entry_id"))
+    asym = part.withColumn("x", F.explode(F.array(F.struct(F.lit("B").alias("id"), F.lit(2).alias("o")), F.struct(F.lit("A").alias("id"), F.lit(1).alias("o"))))).select("entry_id", "x.id", F.lit("1").alias("entity_id"), F.col("x.o").alias("asym_ord"))
+    raw = _raw(spark, d, _entity=("part", "p_partkey", "0", {"id": "1", "pdbx_ec": _holey("p_partkey", "p_type"), "pdbx_mutation": "p_name"}))
+    t = metadata.entity_metadata(part.withColumn("id", F.lit("1")), asym, raw)
+    return t.select("entry_id", "id", "ec_number", "mutation", "fragment", F.array_join("chain_ids", ",").alias("chain_ids"))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS entry_id, CAST(0 AS INT) AS row_ord, p_name AS name, CAST(NULL AS VARCHAR) AS absent, p_brand AS brand FROM part WHERE p_type = 'SMALL'")
 def metadata_category(spark: SparkSession, d: str) -> DataFrame:
     p = frame(spark, d, "part")
@@ -356,7 +501,7 @@ q AS (SELECT root, count(*) AS n_components, string_agg(CAST(item_id AS VARCHAR)
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     items = _documents(spark, d).drop("sequence")
-    return similarity.clusters(items, similarity.stored(similarity.jaccard_pairs(_documents(spark, d)), "pairs"))
+    return similarity.clusters(items, similarity.stored(similarity.jaccard_edges(_documents(spark, d)), "edges"))
 
 
 @query(_COMPONENTS + " SELECT cluster_ord, components, n_components FROM q")
@@ -364,11 +509,17 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).select("cluster_ord", F.array_join(F.transform("components", lambda x: x.cast("string")), ",").alias("components"), "n_components")
 
 
-@query(_COMPONENTS + " SELECT count(*) AS total_clusters, count(*) FILTER (n_components = 1) AS singletons, max(n_components) AS largest, CAST(sum(n_components) AS BIGINT) AS items FROM q")
+@query(_COMPONENTS + " SELECT count(*) AS total_clusters, count(*) FILTER (n_components = 1) AS singletons, max(n_components) AS largest, CAST(sum(n_components) AS BIGINT) AS items, sum(n_components) / count(*)::DOUBLE AS mean_size FROM q")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return similarity.cluster_summary(_clusters(spark, d))
 
 
+@query(_COMPONENTS + " SELECT CAST(sum(n_components) AS BIGINT) AS node_count, (SELECT count(*) FROM e) AS edge_count, count(*) AS connected_components, max(n_components) AS largest_component_size FROM q")
+def graph_statistics(spark: SparkSession, d: str) -> DataFrame:
+    items = _documents(spark, d)
+    return similarity.graph_statistics(items.select("item_id"), similarity.jaccard_pairs(items))
+
+
 _SIZES = """WITH RECURSIVE c AS (SELECT CAST(row_number() OVER (ORDER BY min(p_partkey)) AS INT) AS cluster_ord, count(*) AS n_components FROM part GROUP BY p_name, p_type),
 o AS (SELECT *, row_number() OVER (ORDER BY n_components DESC, cluster_ord) AS rn FROM c),
 g AS (SELECT CAST(round_even(sum(n_components) * 0.6::DOUBLE, 0) AS BIGINT) AS gt, CAST(round_even(sum(n_components) * 0.2::DOUBLE, 0) AS BIGINT) AS gv, CAST(sum(n_components) AS BIGINT) AS total FROM c),
@@ -471,7 +622,8 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 _PLAN = TYPES + """, m AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY entry_id ORDER BY f) AS VARCHAR) AS c FROM (SELECT *, CASE WHEN type = 'polymer' AND seq_can <> '' THEN min(entity_ord) OVER (PARTITION BY entry_id, seq_can, type = 'polymer') ELSE entity_ord END AS f FROM fx_types)),
 ch AS (SELECT entry_id, id, entity_id, chr(CAST(64 + row_number() OVER (PARTITION BY entry_id ORDER BY asym_ord) AS INT)) AS nc FROM fx_asym),
 a1 AS (SELECT a.* REPLACE (ch.nc AS label_asym_id) FROM fx_atoms a JOIN ch ON ch.entry_id = a.entry_id AND ch.id = a.label_asym_id),
-a2 AS (SELECT * REPLACE (CAST(dense_rank() OVER (PARTITION BY entry_id, label_asym_id ORDER BY f) AS INT) AS label_seq_id) FROM (SELECT *, min(atom_ord) OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id, ins_code) AS f FROM a1)),
+a0 AS (SELECT * REPLACE (CAST(dense_rank() OVER (PARTITION BY entry_id, label_asym_id ORDER BY f) AS INT) AS label_seq_id) FROM (SELECT *, min(atom_ord) OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id, ins_code) AS f FROM a1)),
+a2 AS (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY entry_id ORDER BY CASE WHEN group_pdb = 'ATOM' THEN g0 END NULLS LAST, atom_ord) AS BIGINT) AS atom_ord) FROM (SELECT *, min(atom_ord) FILTER (group_pdb = 'ATOM') OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id) AS g0 FROM a0)),
 e AS (SELECT entry_id, label_asym_id, label_seq_id, label_comp_id, label_alt_id, CAST(sum(CAST(occupancy AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS occ, CAST(sum(CAST(b_iso AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS b, min(atom_ord) AS o FROM a2 WHERE label_alt_id <> '' GROUP BY ALL),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id ORDER BY occ DESC, b, label_alt_id) AS r, min(o) OVER (PARTITION BY entry_id, label_asym_id, label_seq_id, label_comp_id) AS g FROM e) WHERE r = 1),
 a3 AS (SELECT a.entry_id, a.label_asym_id, a.label_entity_id, a.label_seq_id, a.label_comp_id, a.label_atom_id, CAST(row_number() OVER (PARTITION BY a.entry_id ORDER BY a.label_alt_id IS NOT NULL, CASE WHEN a.label_alt_id IS NOT NULL THEN w.g END, a.atom_ord) AS BIGINT) AS atom_ord

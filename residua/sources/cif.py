@@ -18,7 +18,15 @@ from residua.functions import scalars as S
 from residua.operators.metadata import category, item
 
 #: Categories that typed tables hold already and ``raw`` leaves out.
-BULK = ("_atom_site", "_atom_site_anisotrop")
+BULK = ("_atom_site", "_atom_site_anisou")
+#: An optional category is read where it has all of these items, and is as good as absent elsewhere.
+NEEDED = {
+    "_entity": ["id", "pdbx_description", "formula_weight", "src_method"],
+    "_struct_conn": ["id", "conn_type_id", *[f"ptnr{k}_{x}" for k in (1, 2) for x in ("label_asym_id", "label_comp_id", "label_seq_id", "label_atom_id", "auth_asym_id", "auth_seq_id", "PDB_ins_code", "symmetry")], "pdbx_dist_value", "details"],
+    "_pdbx_struct_assembly": ["id", "details", "method_details", "oligomeric_details", "oligomeric_count"],
+    "_struct_conf": ["id", "conf_type_id", *[f"{e}_{x}" for e in ("beg", "end") for x in ("label_asym_id", "label_seq_id", "auth_asym_id", "auth_seq_id")]],
+    "_struct_sheet_range": ["sheet_id", "id", *[f"{e}_{x}" for e in ("beg", "end") for x in ("label_asym_id", "label_seq_id", "auth_asym_id", "auth_seq_id")]],
+}
 _TOKEN = re.compile(r"""^;(?P<text>.*?)\n;(?=\s|\Z)|'(?P<one>(?:[^'\n]|'(?=\S))*)'(?=\s|\Z)|"(?P<two>(?:[^"\n]|"(?=\S))*)"(?=\s|\Z)|\#[^\n]*|(?P<bare>[^\s]+)""", re.M | re.S)
 
 
@@ -111,8 +119,9 @@ def read(spark: SparkSession, path: str | list[str], model_num: int = 1, raw_tok
     return tables(read_rows(spark.read.format("binaryFile").load(path), raw_tokens), model_num)
 
 
-def has_all(rows: DataFrame, cat: str, names: list[str]) -> DataFrame:
-    """Rows of a category of entries in which every named item occurs."""
+def has_all(rows: DataFrame, cat: str) -> DataFrame:
+    """Rows of a category of entries in which every needed item of it occurs."""
+    names = NEEDED[cat]
     t = rows.filter(F.col("category") == cat)
     ok = t.groupBy("entry_id").agg(F.array_distinct(F.flatten(F.collect_set(F.map_keys("cols")))).alias("k")).filter(F.size(F.array_intersect("k", F.array(*[F.lit(x) for x in names]))) == len(names))
     return t.join(ok.select("entry_id"), "entry_id", "left_semi")
@@ -137,7 +146,7 @@ def _blank(c: Column) -> Column:
 
 def _partner(k: int) -> Column:
     p = f"ptnr{k}_"
-    return F.struct(F.coalesce(_val(p + "label_asym_id"), F.lit("")).alias("label_asym_id"), F.coalesce(_val(p + "label_comp_id"), F.lit("")).alias("label_comp_id"), _int(p + "label_seq_id").alias("label_seq_id"), _val(p + "label_atom_id").alias("label_atom_id"), _val(p + "auth_asym_id").alias("auth_asym_id"), _val(p + "auth_seq_id").alias("auth_seq_id"), _val(f"pdbx_ptnr{k}_PDB_ins_code").alias("ins_code"), _val(p + "symmetry").alias("symmetry"))
+    return F.struct(F.coalesce(_val(p + "label_asym_id"), F.lit("")).alias("label_asym_id"), F.coalesce(_val(p + "label_comp_id"), F.lit("")).alias("label_comp_id"), _int(p + "label_seq_id").alias("label_seq_id"), _val(p + "label_atom_id").alias("label_atom_id"), _val(p + "auth_asym_id").alias("auth_asym_id"), _val(p + "auth_seq_id").alias("auth_seq_id"), _val(p + "PDB_ins_code").alias("ins_code"), _val(p + "symmetry").alias("symmetry"))
 
 
 def _range(extra: list[Column]) -> list[Column]:
@@ -159,7 +168,9 @@ def tables(rows: DataFrame, model_num: int = 1) -> dict[str, DataFrame]:
     ent = ent.groupBy("entry_id", "id").agg(F.max_by("cols", "row_ord").alias("cols"), F.min("row_ord").alias("row_ord"))
     poly = category(good, "_entity_poly").withColumn("id", item("entity_id")).groupBy("entry_id", "id").agg(F.max_by("cols", "row_ord").alias("p"))
     pv = lambda c: S.null_token(item(c, "p"))
-    entities = ent.join(poly, ["entry_id", "id"], "left").select("entry_id", F.row_number().over(Window.partitionBy("entry_id").orderBy("row_ord")).alias("entity_ord"), "id", F.coalesce(_val("type"), F.lit("non-polymer")).alias("type"), _val("pdbx_description").alias("pdbx_description"), _num("formula_weight").alias("formula_weight"), _val("src_method").alias("src_method"), F.when(F.col("p").isNotNull(), F.struct(pv("type").alias("type"), S.clean_sequence(pv("pdbx_seq_one_letter_code")).alias("seq"), S.clean_sequence(pv("pdbx_seq_one_letter_code_can")).alias("seq_can"), pv("pdbx_strand_id").alias("strand_id"))).alias("poly"))
+    described = has_all(good, "_entity").select("entry_id").distinct().withColumn("_d", F.lit(True))
+    told = lambda c: F.when(F.col("_d"), c)
+    entities = ent.join(described, "entry_id", "left").join(poly, ["entry_id", "id"], "left").select("entry_id", F.row_number().over(Window.partitionBy("entry_id").orderBy("row_ord")).alias("entity_ord"), "id", F.coalesce(_val("type"), F.lit("non-polymer")).alias("type"), told(_val("pdbx_description")).alias("pdbx_description"), told(_num("formula_weight")).alias("formula_weight"), told(_val("src_method")).alias("src_method"), F.when(F.col("p").isNotNull(), F.struct(pv("type").alias("type"), S.clean_sequence(pv("pdbx_seq_one_letter_code")).alias("seq"), S.clean_sequence(pv("pdbx_seq_one_letter_code_can")).alias("seq_can"), pv("pdbx_strand_id").alias("strand_id"))).alias("poly"))
     entities = entities.withColumn("seq_can", F.coalesce("poly.seq_can", "poly.seq"))
 
     site = category(good, "_atom_site").withColumn("model_num", F.coalesce(_int("pdbx_PDB_model_num"), F.lit(1)))
@@ -197,17 +208,18 @@ def tables(rows: DataFrame, model_num: int = 1) -> dict[str, DataFrame]:
     asym = asym.join(entities.select("entry_id", F.col("id").alias("entity_id"), "entity_ord"), ["entry_id", "entity_id"], "left")
     asym = asym.withColumn("asym_ord", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.col("entity_ord").asc_nulls_last(), "_f"))).select("entry_id", "asym_ord", "id", "entity_id", "auth_id")
 
-    conn = category(good, "_struct_conn").select("entry_id", F.col("row_ord").alias("conn_ord"), _val("id").alias("id"), F.coalesce(_val("conn_type_id"), F.lit("covale")).alias("conn_type_id"), _partner(1).alias("ptnr1"), _partner(2).alias("ptnr2"), _num("pdbx_dist_value").alias("dist"), _val("details").alias("details"))
-    conf = has_all(good, "_struct_conf", ["id", "conf_type_id", "beg_label_asym_id", "end_label_asym_id"]).select(*_range([_val("id").alias("id"), _val("conf_type_id").alias("conf_type_id")]))
-    strands = has_all(good, "_struct_sheet_range", ["sheet_id", "id", "beg_label_asym_id", "end_label_asym_id"]).select(*_range([_val("sheet_id").alias("sheet_id"), _val("id").alias("id")]))
+    conn = has_all(good, "_struct_conn").select("entry_id", F.col("row_ord").alias("conn_ord"), _val("id").alias("id"), F.coalesce(_val("conn_type_id"), F.lit("covale")).alias("conn_type_id"), _partner(1).alias("ptnr1"), _partner(2).alias("ptnr2"), _num("pdbx_dist_value").alias("dist"), _val("details").alias("details"))
+    conf = has_all(good, "_struct_conf").select(*_range([_val("id").alias("id"), _val("conf_type_id").alias("conf_type_id")]))
+    strands = has_all(good, "_struct_sheet_range").select(*_range([_val("sheet_id").alias("sheet_id"), _val("id").alias("id")]))
 
-    gen = category(good, "_pdbx_struct_assembly_gen").select("entry_id", "row_ord", item("assembly_id").alias("id"), F.struct(item("assembly_id").alias("assembly_id"), item("oper_expression").alias("oper_expression"), F.split(F.regexp_replace(item("asym_id_list"), r"\s", ""), ",").alias("asym_id_list")).alias("g"), operators(item("oper_expression")).alias("names"))
+    gen = category(good, "_pdbx_struct_assembly_gen").select("entry_id", "row_ord", item("assembly_id").alias("id"), F.struct(item("assembly_id").alias("assembly_id"), F.array_join(operators(item("oper_expression")), ",").alias("oper_expression"), F.split(F.regexp_replace(item("asym_id_list"), r"\s", ""), ",").alias("asym_id_list")).alias("g"), operators(item("oper_expression")).alias("names"))
     m = F.array(*[F.array(*[_num(f"matrix[{i}][{j}]") for j in (1, 2, 3)]) for i in (1, 2, 3)])
     oper = category(good, "_pdbx_struct_oper_list").select("entry_id", item("id").alias("name"), F.struct(item("id").alias("id"), _val("type").alias("type"), m.alias("matrix"), F.array(*[_num(f"vector[{i}]") for i in (1, 2, 3)]).alias("vector")).alias("op"))
     used = gen.select("entry_id", "id", "row_ord", F.posexplode("names").alias("at", "name")).groupBy("entry_id", "id", "name").agg(F.min(F.struct("row_ord", "at")).alias("o")).join(oper, ["entry_id", "name"])
     used = used.groupBy("entry_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "op"))), lambda x: x["op"]).alias("operators"))
     gens = gen.groupBy("entry_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "g"))), lambda x: x["g"]).alias("generators"))
-    asm = category(good, "_pdbx_struct_assembly").select("entry_id", F.col("row_ord").alias("assembly_ord"), item("id").alias("id"), _val("details").alias("details"), _val("method_details").alias("method_details"), _val("oligomeric_details").alias("oligomeric_details"), _int("oligomeric_count").alias("oligomeric_count"))
+    reported = has_all(good, "_pdbx_struct_assembly").select("entry_id").distinct().withColumn("_d", F.lit(True))
+    asm = category(good, "_pdbx_struct_assembly").join(reported, "entry_id", "left").select("entry_id", F.col("row_ord").alias("assembly_ord"), item("id").alias("id"), told(_val("details")).alias("details"), told(_val("method_details")).alias("method_details"), told(_val("oligomeric_details")).alias("oligomeric_details"), told(_int("oligomeric_count")).alias("oligomeric_count"))
     assemblies = asm.join(gens, ["entry_id", "id"], "left").join(used, ["entry_id", "id"], "left")
 
     no_atoms = ids.join(atoms.select("entry_id").distinct(), "entry_id", "left_anti").select("entry_id", F.lit("parsing").alias("stage"), F.lit("MISSING_ATOM_SITE").alias("code"), F.lit("warning").alias("severity"), F.lit("no atoms").alias("message"))

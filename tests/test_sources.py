@@ -14,8 +14,10 @@ loop_
 _entity.id
 _entity.type
 _entity.pdbx_description
-1 polymer chain
-2 non-polymer 'ZINC ION'
+_entity.formula_weight
+_entity.src_method
+1 polymer chain ? man
+2 non-polymer 'ZINC ION' 65.4 syn
 loop_
 _entity_poly.entity_id
 _entity_poly.type
@@ -91,6 +93,22 @@ def test_tables(spark, tmp_path):
     assert cif.read(spark, str(tmp_path / "1abc.cif"), model_num=7)["diagnostics"].first()["code"] == "MODEL_NOT_FOUND"
 
 
+def test_optional_categories_need_all_their_items(spark, tmp_path):
+    sides = [f"ptnr{k}_{x}" for k in (1, 2) for x in ("label_asym_id", "label_comp_id", "label_seq_id", "label_atom_id", "auth_asym_id", "auth_seq_id", "PDB_ins_code", "symmetry")]
+    names = ["id", "conn_type_id", *sides, "pdbx_dist_value", "details"]
+    loop = "loop_\n" + "".join(f"_struct_conn.{n}\n" for n in names) + " ".join(["c1", "?", *["A", "CYS", "7", "SG", "A", "9", "B", "."] * 2, "2.0", "x"]) + "\n"
+    extra = "_atom_site_anisotrop.id 1\n"
+    (tmp_path / "full.cif").write_text(CIF.replace("1ABC", "FULL") + loop + extra)
+    (tmp_path / "part.cif").write_text(CIF.replace("1ABC", "PART").replace("_entity.formula_weight\n", "").replace("chain ?", "chain").replace("ION' 65.4", "ION'") + loop.replace("_struct_conn.details\n", "").replace(" x\n", "\n"))
+    t = cif.read(spark, str(tmp_path))
+    conn = t["connections"].collect()
+    assert [(r["entry_id"], r["conn_type_id"], r["ptnr1"]["ins_code"], r["ptnr2"]["label_seq_id"], r["dist"]) for r in conn] == [("FULL", "covale", "B", 7, 2.0)]
+    assert {(r["entry_id"], r["pdbx_description"], r["src_method"]) for r in t["entities"].filter("id = '2'").collect()} == {("FULL", "ZINC ION", "syn"), ("PART", None, None)}
+    asm = t["assemblies"].filter("entry_id = 'FULL'").first()
+    assert asm["details"] is None and asm["generators"][0]["oper_expression"] == "1,2"
+    assert t["raw"].filter("category = '_atom_site_anisotrop'").count() == 1
+
+
 def test_operator_expressions(spark):
     t = spark.createDataFrame([("1",), ("1,2",), ("(1-3)",), ("(1-2)(3,P)",)], "e string").select(cif.operators(F.col("e")))
     assert [r[0] for r in t.collect()] == [["1"], ["1", "2"], ["1", "2", "3"], ["1x3", "1xP", "2x3", "2xP"]]
