@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import bounded, read, stored
+from residua.llm.common import bounded, read, settled, stored
 
 #: A node is template if it is the same on SHARE of the pages that have its slot, on at least PAGES different ones.
 PAGES, SHARE = 4, 0.8
@@ -22,7 +23,7 @@ _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^'
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 #: Fixed values of the HTML standard.
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "select", "title", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"html", "body", "p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "fieldset", "details", "summary", "hr", "header", "footer", "nav", "aside", "form", "center", "menu", "dialog", "head", "hgroup", "search", "legend"}
 _ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
@@ -30,6 +31,9 @@ _ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"})
 _AROUND = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button", "search", "fieldset"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
 _NAMES = {"nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "footers", "sidebar", "sidebars", "aside", "widget", "widgets", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsors", "sponsored", "promo", "promos", "promotion", "banner", "banners", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "copyright", "form", "search", "skip", "paywall", "teaser", "teasers"}
+#: Of these names, those that are also words of subjects: they count only beside words of layouts (``ad-slot``, not ``social-studies``).
+_SUBJECTS = {"social", "notice", "notices", "share", "sharing", "form", "search", "reply", "replies", "banner", "banners", "menu", "menus", "related", "respond", "copyright", "login", "ad", "sponsor", "sponsors", "promotion", "consent", "footers"}
+_LAYOUT = {"slot", "box", "bar", "block", "container", "wrapper", "wrap", "inner", "outer", "top", "bottom", "left", "right", "middle", "main", "site", "page", "list", "item", "items", "area", "section", "panel", "primary", "secondary", "global", "link", "links", "icon", "icons", "button", "buttons", "content", "post", "posts", "article", "articles", "entry", "body", "text", "unit", "units", "row", "col", "column", "grid", "group", "media", "widget", "small", "large", "fixed", "sticky", "mobile", "desktop", "user", "reader", "news", "stories", "tools", "actions", "zone", "placeholder", "frame", "module", "region", "info", "note", "line", "bottombar", "rail", "id", "js", "ui", "c", "m", "l", "s", "x", "js", "new", "your", "our", "by", "for", "us"}
 _HEADS = {"header", "headers"}
 _DIVIDES = {"html", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form"}
 _WITH = {"with", "has", "no", "without", "is", "js"}
@@ -47,6 +51,12 @@ class Node:
         self.text, self.linked, self.dropped = "", 0, False
 
 
+def names_around(parts: list[str]) -> bool:
+    """Whether the words of a class name or id are those of something around an article."""
+    found = _NAMES.intersection(parts)
+    return bool(found - _SUBJECTS) or bool(found) and all(x in _NAMES or x in _LAYOUT or x in _HEADS or not x or x.isdigit() for x in parts)
+
+
 def look(tag: str, attrs: str) -> tuple[str, str]:
     """Label of an element (its tag and class names) and its role: '' (may hold content), 'around' or 'head'."""
     role = "around" if tag in _AROUND else "head" if tag in _HEADS else ""
@@ -60,7 +70,7 @@ def look(tag: str, attrs: str) -> tuple[str, str]:
         for name in names:
             parts = re.split(r"[^a-z0-9]+", _CAMEL.sub(r"\1-\2", name).lower())
             if parts[0] not in _WITH:
-                role = "around" if _NAMES.intersection(parts) else role or ("head" if _HEADS.intersection(parts) else "")
+                role = "around" if names_around(parts) else role or ("head" if _HEADS.intersection(parts) else "")
     return (f"{tag}.{'.'.join(sorted(got.get('class', '').split()))}" if got.get("class") else tag), ("main" if got.get("role", "").lower() == "main" and not role else role)
 
 
@@ -170,81 +180,152 @@ def parse(html: str) -> Node:
     return root
 
 
-def holds(node: Node, tags: set[str]) -> bool:
-    return any(x.tag in tags or holds(x, tags) for x in node.kids)
+def preorder(root: Node) -> list[Node]:
+    """All nodes below and including ``root`` in page order, however deep; reversed, children come before parents."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(reversed(node.kids))
+    return out
 
 
-def unwrap(node: Node) -> None:
+def unwrap(root: Node) -> None:
     """A form around a whole page, as some servers write it, isn't one: it holds an article, a main element or a first heading."""
-    for x in node.kids:
-        if x.tag == "form" and x.role == "around" and holds(x, {"article", "main", "h1"}):
-            x.role = ""
-        unwrap(x)
-
-
-def outline(node: Node) -> list:
-    """[label, digest of all below, children, nodes] of a tree without its head."""
-    if node.tag == "#":
-        return ["#", xxhash.xxh64_intdigest(node.text), [], [node]]
-    kids = [outline(x) for x in node.kids if x.tag != "head"]
-    return [node.label, xxhash.xxh64_intdigest(f"{node.label}({','.join(str(x[1]) for x in kids)})"), kids, [node]]
+    holding: set[int] = set()
+    for node in reversed(preorder(root)):
+        if any(x.tag in ("article", "main", "h1") or id(x) in holding for x in node.kids):
+            holding.add(id(node))
+            if node.tag == "form" and node.role == "around":
+                node.role = ""
+
+
+def outline(root: Node) -> list:
+    """[label, digest of all below, children] of a tree without its head."""
+    made: dict[int, list] = {}
+    for node in reversed(preorder(root)):
+        if node.tag == "#":
+            made[id(node)] = ["#", xxhash.xxh64_intdigest(node.text), []]
+        else:
+            kids = [made[id(x)] for x in node.kids if x.tag != "head"]
+            made[id(node)] = [node.label, xxhash.xxh64_intdigest(f"{node.label}({','.join(str(x[1]) for x in kids)})"), kids]
+    return made[id(root)]
+
+
+def nodes_of(o: list) -> list[list]:
+    """Nodes of an outline in page order."""
+    out, todo = [], [o]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo.extend(reversed(x[2]))
+    return out
 
 
-def numbered(o: list, out: list | None = None) -> list[list]:
-    """Nodes of an outline in page order; a node's number is its place."""
-    out = [] if out is None else out
-    out.append(o)
-    for x in o[2]:
-        numbered(x, out)
+def anchored(x: list[list], y: list[list]) -> list[tuple[int, int]]:
+    """Places in two lists of siblings that map onto each other because they are equal in all below and alone so in either, in order."""
+    at: dict[int, list[list[int]]] = {}
+    for side, kids in enumerate((x, y)):
+        for i, k in enumerate(kids):
+            at.setdefault(k[1], [[], []])[side].append(i)
+    both = sorted((i[0], j[0]) for i, j in at.values() if len(i) == len(j) == 1)
+    ends: list[int] = []  # the longest run of rising places in y (patience sorting)
+    last: list[int] = []
+    before = [-1] * len(both)
+    for k, (_, j) in enumerate(both):
+        n = bisect.bisect_left(ends, j)
+        ends[n:] = [j] if n == len(ends) else [j, *ends[n + 1 :]]
+        last[n:] = [k] if n == len(last) else [k, *last[n + 1 :]]
+        before[k] = last[n - 1] if n else -1
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(both[k])
+        k = before[k]
+    return out[::-1]
+
+
+def align(a: list, b: list) -> list[tuple[list, list]]:
+    """Simple tree matching of two outlines: pairs of nodes, with labels, parents and order kept.
+
+    Siblings equal in all below are matched first; between them, and at the ends, the longest common sequence of labels is matched, level by
+    level from the roots, by a table of one byte per pair of siblings that are left. No call nests, so depth doesn't matter.
+    """
+    out: list[tuple[list, list]] = []
+    todo = [(a, b)] if a[0] == b[0] else []
+    while todo:
+        p, q = todo.pop()
+        if p[1] == q[1]:
+            out += zip(nodes_of(p), nodes_of(q), strict=True)
+            continue
+        out.append((p, q))
+        x, y = p[2], q[2]
+        fixed = [*anchored(x, y), (len(x), len(y))]
+        i = j = 0
+        for m, n in fixed:
+            todo += [(x[i + r], y[j + c]) for r, c in in_order([k[0] for k in x[i:m]], [k[0] for k in y[j:n]])]
+            if m < len(x):
+                todo.append((x[m], y[n]))
+            i, j = m + 1, n + 1
     return out
 
 
-def align(a: list, b: list) -> tuple[float, list[tuple[list, list]]]:
-    """Simple tree matching: the most nodes of two ordered trees that map onto each other with labels, parents and order kept.
-
-    Nodes equal in all below count one and a half, so that constants are found among like siblings.
-    """
-    if a[0] != b[0]:
-        return 0.0, []
-    if a[1] == b[1]:
-        pairs = list(zip(numbered(a), numbered(b), strict=True))
-        return 1.5 * len(pairs), pairs
-    x, y = a[2], b[2]
-    m, n = len(x), len(y)
-    cell = [[align(p, q) if p[0] == q[0] else (0.0, []) for q in y] for p in x]
-    best = [[0.0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + cell[i - 1][j - 1][0])
-    i, j, pairs = m, n, [(a, b)]
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += cell[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-    return 1 + best[m][n], pairs
+def in_order(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of labels; equal ends are taken off first."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    u, v = x[head : len(x) - tail], y[head : len(y) - tail]
+    out = [(i, i) for i in range(head)]
+    if u and v:
+        code = {w: k for k, w in enumerate(dict.fromkeys([*u, *v]))}
+        cv = np.array([code[w] for w in v])
+        best = np.zeros(len(v) + 1, dtype=np.int32)
+        rises = np.zeros((len(u), len(v)), dtype=bool)  # whether the best of (i, j) is over that of (i, j - 1)
+        for i, w in enumerate(u):
+            got = np.maximum(best[1:], best[:-1] + (cv == code[w]))
+            best = np.concatenate([[0], np.maximum.accumulate(got)]).astype(np.int32)
+            rises[i] = best[1:] > best[:-1]
+        i, j, pairs = len(u) - 1, len(v) - 1, []
+        while i >= 0 and j >= 0:
+            if not rises[i, j]:
+                j -= 1
+            elif u[i] == v[j]:
+                pairs.append((head + i, head + j))
+                i, j = i - 1, j - 1
+            else:
+                i -= 1
+        out += reversed(pairs)
+    return out + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
 
 
-def slots(node: Node, path: int, out: list[tuple[int, int, list[Node]]]) -> tuple[int, bool]:
+def slots(root: Node, path: int, out: list[tuple[int, int, list[Node]]]) -> tuple[int, bool]:
     """Adds (slot, digest of all below, nodes) of the elements with text below a node, without its head, and of text beside elements.
 
     A slot is the path of labels from the root. Returns the node's digest and whether it has text.
     """
-    got = []
-    kids = [x for x in node.kids if x.tag != "head"]
-    for x in kids:
-        slot = xxhash.xxh64_intdigest(f"{path}/{x.label}") >> 1
-        if x.tag == "#":
-            d, some = xxhash.xxh64_intdigest(x.text) >> 1, True
-        else:
-            d, some = slots(x, slot, out)
-        if some and (x.tag != "#" or len(kids) > 1):
-            out.append((slot, d, [x]))
-        got.append((d, some))
-    return xxhash.xxh64_intdigest(f"{node.label}({','.join(str(d) for d, _ in got)})") >> 1, any(some for _, some in got)
+    paths, order, todo = {id(root): path}, [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        kids = [x for x in node.kids if x.tag != "head"]
+        for x in kids:
+            paths[id(x)] = xxhash.xxh64_intdigest(f"{paths[id(node)]}/{x.label}") >> 1
+        todo.extend(reversed(kids))
+    got: dict[int, tuple[int, bool]] = {}
+    for node in reversed(order):
+        if node.tag == "#":
+            got[id(node)] = xxhash.xxh64_intdigest(node.text) >> 1, True
+            continue
+        kids = [x for x in node.kids if x.tag != "head"]
+        for x in kids:
+            d, some = got[id(x)]
+            if some and (x.tag != "#" or len(kids) > 1):
+                out.append((paths[id(x)], d, [x]))
+        got[id(node)] = xxhash.xxh64_intdigest(f"{node.label}({','.join(str(got[id(x)][0]) for x in kids)})") >> 1, any(got[id(x)][1] for x in kids)
+    return got[id(root)]
 
 
 def layout(node: Node, depth: int = 4) -> str:
@@ -258,44 +339,51 @@ def layout(node: Node, depth: int = 4) -> str:
     return f"{node.label}({','.join(kids)})"
 
 
-def length(node: Node) -> int:
-    """Characters of text below that are neither template nor around an article."""
-    return 0 if node.dropped or node.role == "around" else len(node.text) + sum(map(length, node.kids))
+def lengths(root: Node) -> dict[int, int]:
+    """Characters of text below each node that are neither template nor around an article, by the node's id."""
+    out: dict[int, int] = {}
+    for node in reversed(preorder(root)):
+        out[id(node)] = 0 if node.dropped or node.role == "around" else len(node.text) + sum([out[id(x)] for x in node.kids])
+    return out
 
 
-def articles(node: Node, tag: str, out: list[Node]) -> list[Node]:
-    """Outermost elements of a tag outside what stands around articles."""
-    for x in node.kids:
+def articles(root: Node, tag: str) -> list[Node]:
+    """Outermost elements of a tag below ``root``, outside what stands around articles."""
+    out, todo = [], list(reversed(root.kids))
+    while todo:
+        x = todo.pop()
         if x.role == "around":
             continue
         if x.tag == tag or tag == "main" and x.role == "main":
             out.append(x)
         else:
-            articles(x, tag, out)
+            todo.extend(reversed(x.kids))
     return out
 
 
-def blocks(node: Node, out: list[str], inside: bool, head: bool = False) -> None:
-    for x in node.kids:
+def blocks(root: Node, inside: bool) -> list[str]:
+    """Texts below ``root`` in page order, without template, what is around articles and (outside of one) lists of links."""
+    counts: dict[int, tuple[int, int, int]] = {}  # links, characters, linked characters
+    for node in [] if inside else reversed(preorder(root)):
+        below = [counts[id(x)] for x in node.kids]
+        counts[id(node)] = tuple(map(sum, zip((int(bool(node.linked)), len(node.text), node.linked), *below, strict=True)))
+    out: list[str] = []
+    todo = [(x, root, False) for x in reversed(root.kids)]
+    while todo:
+        x, parent, head = todo.pop()
         if x.dropped or x.role == "around":
             continue
         if x.tag == "#":
-            if not head or node.tag in _HEADINGS:
+            if not head or parent.tag in _HEADINGS:
                 out.append(x.text)
             continue
         if not inside and x.tag in ("ul", "ol", "div", "section", "table", "p"):
-            links, total = tally(x)
-            if links >= 3 and total[1] >= 0.8 * total[0] > 0:
+            links, total, linked = counts[id(x)]
+            if links >= 3 and linked >= 0.8 * total > 0:
                 continue  # a list of links
-        blocks(x, out, inside, head or x.role == "head")
-
-
-def tally(node: Node) -> tuple[int, tuple[int, int]]:
-    links, total, linked = int(bool(node.linked)), len(node.text), node.linked
-    for x in node.kids:
-        a, (b, c) = tally(x)
-        links, total, linked = links + a, total + b, linked + c
-    return links, (total, linked)
+        inner = head or x.role == "head"
+        todo.extend([(y, x, inner) for y in reversed(x.kids)])
+    return out
 
 
 def extract(html: str, template: set[tuple[int, int, int]] | None = None) -> str:
@@ -310,18 +398,15 @@ def extract(html: str, template: set[tuple[int, int, int]] | None = None) -> str
             if (0, slot, d) in template or (group, slot, d) in template:
                 for node in nodes:
                     node.dropped = True
+    size = lengths(root)
     for tag in ("article", "main"):
-        found = [x for x in articles(root, tag, []) if not template or length(x)]
+        found = [x for x in articles(root, tag) if not template or size[id(x)]]
         if found:
-            top = max(found, key=length)
-            if tag == "main" and (inner := [x for x in articles(top, "article", []) if not template or length(x)]):
-                top = max(inner, key=length)
-            out: list[str] = []
-            blocks(top, out, True)
-            return "\n".join(out)
-    out = []
-    blocks(root, out, False)
-    return "\n".join(out)
+            top = max(found, key=lambda x: size[id(x)])
+            if tag == "main" and (inner := [x for x in articles(top, "article") if not template or size[id(x)]]):
+                top = max(inner, key=lambda x: size[id(x)])
+            return "\n".join(blocks(top, True))
+    return "\n".join(blocks(root, False))
 
 
 def host(url: Column) -> Column:
@@ -337,6 +422,10 @@ def induce(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFr
     all its pages. A node is template where its share of either is large enough. Tasks send sums; no task holds a host.
     """
 
+    return settled(pages.sparkSession, lambda: _induce(pages, least, share), "templates")
+
+
+def _induce(pages: DataFrame, least: int, share: float) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -386,7 +475,7 @@ def induce(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFr
     whole = F.col("all") >= share * F.col("have_all")
     one = (F.col("n") >= least) & (F.col("n") >= share * F.col("have"))
     votes = votes.filter(whole | one).select("host", F.struct(F.when(whole, 0).otherwise(F.col("layout")).cast("long").alias("layout"), "slot", "digest").alias("x")).distinct()
-    return stored(votes.groupBy("host").agg(F.collect_list("x").alias("template")), "templates")[0]
+    return votes.groupBy("host").agg(F.collect_list("x").alias("template"))
 
 
 def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
@@ -421,5 +510,9 @@ def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
 
 
 def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, text, n_chars of all pages."""
+    """page_id, url, text, n_chars of all pages.
+
+    Null or empty html: empty text and 0. Repeated pages: a row each. Null or odd urls: pages without a template. Pages of any depth and length:
+    whole. Other columns don't matter. Empty table: empty result.
+    """
     return main_text(read(spark, sf_dir, "pages"))

@@ -258,10 +258,51 @@ def test_extraction(page, want):
 
 def test_alignment_maps_equal_nodes():
     a, b = (html.outline(html.parse(p)) for p in ("<div><h1>x</h1><p>1</p><p>s</p></div>", "<div><h1>y</h1><p>2</p><p>3</p><p>s</p></div>"))
-    pairs = [(x[0], x[1] == y[1]) for x, y in html.align(a, b)[1] if x[0] == "p"]
+    pairs = [(x[0], x[1] == y[1]) for x, y in html.align(a, b) if x[0] == "p"]
     assert sorted(pairs) == [("p", False), ("p", True)]
 
 
+def matched(a, b):
+    """The most nodes that simple tree matching maps, by its recurrence."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[2], b[2]
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + matched(p, q))
+    return 1 + m[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_against_brute_force(seed):
+    r = random.Random(seed)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else r.choice('xyz')}</{t}>" for t in r.choices(["div", "section", "ul"], k=r.randrange(1, 4)))
+
+    for _ in range(20):
+        a, b = (html.outline(html.parse(page(2))) for _ in range(2))
+        pairs = html.align(a, b)
+        place = [{id(x): k for k, x in enumerate(html.nodes_of(t))} for t in (a, b)]
+        at = sorted((place[0][id(x)], place[1][id(y)]) for x, y in pairs)
+        assert all(x[0] == y[0] for x, y in pairs) and len({i for i, _ in at}) == len({j for _, j in at}) == len(at)
+        assert all(j < k for (_, j), (_, k) in itertools.pairwise(at))
+        assert len(at) <= matched(a, b) and (a[1] != b[1] or len(at) == len(html.nodes_of(a)))
+    same = html.outline(html.parse(page(3)))
+    assert len(html.align(same, same)) == matched(same, same)
+
+
+def test_deep_and_wide_pages():
+    assert html.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    wide = "".join(f"<p>a {i}</p><h2>b {i}</h2>" for i in range(10_000))
+    assert html.extract(f"<article>{wide}</article>").count("\n") == 19_999
+    a, b = (html.outline(html.parse(f"<article>{w}</article>")) for w in (wide, wide.replace("<p>a 77</p>", "<p>new</p><p>a 77</p>")))
+    assert len(html.align(a, b)) == len(html.nodes_of(a))
+    assert html.extract("<article><p>x</p><div class='social-studies'>y</div><section class='notice-of-meeting'><p>z</p></section><math><mi>e</mi></math><div class='ad-slot'>buy</div></article>") == "x\ny\nz\ne"
+    assert html.extract("<article><p>a</div></section><b>b<table><tr><td>c</article></p>d") == "a\nb\nc"
+
+
 # --- 5
 
 
