@@ -20,9 +20,10 @@ from residua.llm.common import read
 BITS = 18
 #: Labelled documents of each class used for fitting, at most.
 SAMPLE = 12_000
-#: Word parts that the classifier keeps: those most unlike between the classes.
+#: Word parts that the classifier keeps: those most unlike between the classes, and all parts of identity terms.
 KEPT = 6_000
-#: Least difference of a kept part's rates, in standard errors; penalties on squared and absolute weights.
+#: Least difference of a kept part's rates, in standard errors (of 2 ** BITS parts, about 16 differ so much by chance); penalties on squared and
+#: absolute weights.
 LEAST_Z, L2, L1 = 4.0, 2e-5, 1e-4
 #: Weight of the squared change in score when an identity term is swapped.
 COUNTERFACTUAL = 5.0
@@ -39,6 +40,8 @@ IDENTITY = (
     ("blind", "deaf", "disabled", "elderly", "young", "old"),
     ("mexican", "chinese", "indian", "german", "french", "spanish", "russian", "turkish"),
 )
+#: Words that name no group; any identity term may be swapped for them.
+PLAIN = ("person", "people")
 #: Words around an identity term in the neutral sentences that counterfactuals are also drawn from.
 NEUTRAL = ("the", "people", "community", "is", "are", "my", "friend", "neighbour", "and", "with", "group", "of", "we", "met", "a", "person", "who", "proud", "to", "be")
 _WORD = re.compile(r"[^\W_]+")
@@ -87,7 +90,7 @@ def swaps(found: set[str], parts: Parts) -> list[np.ndarray]:
             if a in found:
                 rest = features(" ".join(found - {a}), parts)
                 fa = np.setdiff1d(parts[a], rest)
-                for b in group:
+                for b in (*group, *PLAIN):
                     if b != a:
                         fb = np.setdiff1d(parts[b], rest)
                         out.append(np.stack([np.concatenate([fa, fb]), np.concatenate([-np.ones(len(fa)), np.ones(len(fb))]).astype(np.int64)]))
@@ -109,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     """Fits on at most ``rows`` labelled documents of each class among the label rows that meet ``where``.
 
     First pass: each task counts, per feature, the documents of either class that have it; 2 ** BITS counts come to the driver,
-    which keeps the KEPT features whose rates differ most. Second pass: the documents' kept features and, for identity terms in
+    which keeps the KEPT features whose rates differ most, and those of identity terms. Second pass: the documents' kept features and, for identity terms in
     them, the changes that swapping one brings. Then logistic loss with an L2 penalty plus ``counterfactual`` times the squared
     change in log-odds of every swap is brought down by full-batch Adam, on the driver, over bounded arrays.
     """
@@ -141,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     z = (p[1] - p[0]) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]))
     keep = np.sort(np.argsort(-np.abs(z), kind="stable")[:KEPT])
     keep = keep[np.abs(z[keep]) > LEAST_Z]
+    named = Parts()
+    keep = np.union1d(keep, np.concatenate([named[a] for g in (*IDENTITY, PLAIN) for a in g]))
     place = np.full(size, -1, dtype=np.int64)
     place[keep] = np.arange(len(keep))
 
@@ -161,13 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     cols = np.concatenate([np.array(r[1], dtype=np.int64) for r in got])
     rows_ = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
     parts = Parts()
-    times: Counter[tuple[int, ...]] = Counter()  # equal changes once, with how often they occur
+    seen: Counter[tuple[int, ...]] = Counter()  # equal changes once, with how often they occur
     for r in got:
         for n, *d in r[2]:
-            times[tuple(d)] += n
+            seen[tuple(d)] += n
+    # half of the penalty is on swaps in labelled texts, as often as they occur, half on those in neutral sentences, so that no term goes free
+    share = 0.5 if seen else 0.0
+    times: Counter[tuple[int, ...]] = Counter({d: share * n / sum(seen.values()) for d, n in seen.items()})
+    plain: Counter[tuple[int, ...]] = Counter()
     for near in (np.stack([place[d[0]], d[1]])[:, place[d[0]] >= 0] for g in IDENTITY for a in g for d in swaps({a, *NEUTRAL}, parts)):
         if near.size:
-            times[tuple(near.ravel().tolist())] += 1
+            plain[tuple(near.ravel().tolist())] += 1
+    for d, n in plain.items():
+        times[d] += (1 - share) * n / sum(plain.values())
     deltas = [np.array(d, dtype=np.int64).reshape(2, -1) for d in times]
     often = np.array(list(times.values()), dtype=np.float64)
     d_rows = np.repeat(np.arange(len(deltas)), [d.shape[1] for d in deltas]) if deltas else np.empty(0, dtype=np.int64)
@@ -235,7 +246,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of all documents."""
+    """doc_id, held_out, score, predicted of all documents.
+
+    Null or empty text: scored by the bias alone. Null ids: held out. Repeated rows: a row each. Without both classes among the labels that may be
+    learnt from: one score for all. Empty table: empty result. Other columns don't matter.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -380,6 +380,32 @@ def test_every_swap_of_a_long_document_counts():
     assert sum(got.values()) == 100 * one + last > 64 and sorted(got.values())[0] == 1 and max(got.values()) == 100
 
 
+def test_the_penalty_spares_neutral_mentions(spark):
+    """Where toxic texts name groups more often than others do, the penalised model takes fewer neutral held-out mentions for toxic."""
+    r = random.Random(16)
+    insults, words = [f"insult{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(5)], [f"w{i}" for i in range(200)]
+    terms = [t for g in toxicity.IDENTITY[:2] for t in g]
+    rows, labels, neutral = [], [], set()
+    for i in range(3000):
+        t, bad = [r.choice(words) for _ in range(20)], i % 3 == 0
+        if bad:
+            t[r.randrange(20)] = r.choice(insults)
+        if r.random() < (0.7 if bad else 0.06):
+            t[r.randrange(20)] = r.choice(terms)
+            if not bad:
+                neutral.add(i)
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic long")
+    wrong, right = [], []
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.train(docs, lab, ~toxicity.held_out(F.col("doc_id")), counterfactual=weight)
+        out = toxicity.score(docs, model).filter(toxicity.held_out(F.col("doc_id"))).select("doc_id", "score", "predicted").collect()
+        wrong.append(sum(x["score"] for x in out if x["doc_id"] in neutral) / sum(x["doc_id"] in neutral for x in out))
+        right.append(sum(x["predicted"] == dict(labels)[x["doc_id"]] for x in out) / len(out))
+    assert wrong[1] < 0.7 * wrong[0] and right[1] >= right[0] - 0.01
+
+
 # --- 7
 
 
@@ -480,7 +506,7 @@ def test_batches_keep_the_budget(spark):
 def test_license_rules(spark):
     texts = ["x.\nLicensed under the Apache License, Version 2.0.", "Permission is hereby granted. Released under the MIT License! All rights reserved.", "MIT.", None, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."]
     got = [x["licenses"] for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), F.col("text")).orderBy("doc_id").collect()]
-    assert got == ["Apache-2.0", "MIT,Proprietary", "", "", "BSD-2-Clause"]
+    assert got == ["Apache-2.0", "MIT", "", "", "BSD-2-Clause"]
 
 
 MIT = """The MIT License
@@ -512,12 +538,22 @@ def test_wrapped_licenses(spark, width, mark):
     texts = [MIT, GPL.format(3), GPL.format(2), BSD.format("2."), BSD.format("(b)"), APACHE, "Code, licensed under the MIT License, see LICENSE", "The project is not licensed under the MIT License. Permission is no\nMIT License matter."]
     docs = spark.createDataFrame([(i, wrapped(t)) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1)
     got = [(x["sentence_ids"], x["licenses"]) for x in licenses.scan(docs, F.col("text")).orderBy("doc_id").collect()]
-    bsd = ("bsd_grant,bsd_source,bsd_binary", "BSD-3-Clause,BSD-2-Clause")
+    bsd = ("bsd_grant,bsd_source,bsd_binary", "BSD-2-Clause")
     gpl = ("gpl3_grant,gpl_warranty,gpl_details", "GPL-3.0")
     assert got == [("mit_title,mit_grant,mit_condition", "MIT"), gpl, ("gpl2_grant,gpl_warranty,gpl_details", "GPL-2.0"), bsd, bsd, ("apache_header,apache_compliance,apache_copy_at", "Apache-2.0"), ("mit_notice", "MIT"), ("", "")]
     assert all(any(k in s for k in licenses.KEYS) for s in licenses.SENTENCES)
 
 
+NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+def test_rules_use_up_sentences_in_order(spark):
+    """Ordered, longest first: three clauses are one licence, two licences in a text are two, a reservation counts alone only."""
+    texts = ["Copyright (c) 2020 X. All rights reserved.\n\n" + BSD.format("2.") + NAMES, NAMES + BSD.format("2."), MIT + "\n" + BSD.format("2.") + NAMES + "\n" + MIT, GPL.format(3) + "\n" + GPL.format(2), "All rights reserved.", "SPDX-License-Identifier: MIT\n\nSPDX-License-Identifier: Apache-2.0\n"]
+    got = [x["licenses"] for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), F.col("text")).orderBy("doc_id").collect()]
+    assert got == ["BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause,MIT", "GPL-3.0,GPL-2.0", "Proprietary", "Apache-2.0,MIT"]
+
+
 # --- 10
 
 
