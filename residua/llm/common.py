@@ -46,6 +46,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the work folder; returns the reread table and its path. Its shuffle files go at once."""
     spark = df.sparkSession
@@ -157,9 +162,9 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
 
 def hot_keys(df: DataFrame, key: str, parts: int = 1000) -> DataFrame:
     """Keys that hold over 1/``parts`` of all rows, with their counts: fewer than ``parts`` rows, whatever the input."""
-    counts, _ = stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") > max(total // parts, 100))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = df.count()
+    return stored(counts.filter(F.col("n") > max(total // parts, 100)), "hot")[0]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

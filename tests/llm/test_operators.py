@@ -577,3 +577,38 @@ def test_shards(spark, tmp_path):
     assert set(by) == set(range(24)) and all(sorted(x["slot"] for x in xs) == list(range(len(xs))) for xs in by.values())
     load = [sum(x["size"] for x in xs) for xs in by.values()]
     assert max(load) - min(load) < 0.01 * sum(load) / 24
+
+
+def test_a_stored_map_is_read_and_edited(spark, tmp_path):
+    store = str(tmp_path / "maps")
+    r = random.Random(12)
+    docs = lambda lo, hi: spark.createDataFrame([(i, r.randrange(8, 9000)) for i in range(lo, hi)], "doc_id long, size long")
+    first, path = sharding.assign(docs(0, 4000), 256, 8, store=store)
+    old = {x["doc_id"]: x for x in first.collect()}
+    assert path == store and {x["map_version"] for x in old.values()} == {2}
+    again = {x["doc_id"]: x["shard"] for x in sharding.assign(first.select("doc_id", "size"), 256, 8, store=store)[0].collect()}
+    assert again == {i: x["shard"] for i, x in old.items()} and spark.read.parquet(store).select("version").distinct().count() == 2
+    grown = sharding.assign(first.select("doc_id", "size").unionByName(docs(4000, 6000)), 256, 9, store=store)[0].collect()
+    maps = defaultdict(dict)
+    for x in spark.read.parquet(store).collect():
+        maps[x["version"]][x["virtual_slot"]] = x["shard"]
+    assert {x["map_version"] for x in grown} == {3} and set(maps) == {1, 2, 3} and {x["shard"] for x in grown} == set(range(9))
+    assert all(maps[3][x["virtual_slot"]] == x["shard"] and x["virtual_slot"] == old.get(x["doc_id"], x)["virtual_slot"] for x in grown)
+    assert sum(maps[2][s] != maps[3][s] for s in range(256)) < 128
+    with pytest.raises(ValueError, match="slots"):
+        sharding.assign(docs(0, 9), 64, 8, store=store)
+
+
+def test_hot_and_null_ids_spread(spark, tmp_path):
+    texts = ["é" * (k % 50) for k in range(3000)]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(3000)]
+    table(spark, tmp_path, "documents", [(i, None if k == 5 else t, "", "", 0) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], DOC)
+    got = sharding.op10_virtual_slots(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t if k != 5 else "").encode()) + 8, zlib.crc32((t if k != 5 else "").encode())) for k, (i, t) in enumerate(zip(ids, texts, strict=True)))
+    assert Counter((x["doc_id"], x["size"], x["text_crc32"]) for x in got) == want
+    load = Counter()
+    for x in got:
+        load[x["shard"]] += x["size"]
+    assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values()) / 24
+    assert len({x["virtual_slot"] for x in got if x["doc_id"] == 7}) > 500
+    assert {x["map_version"] for x in got} == {2}
