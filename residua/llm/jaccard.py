@@ -40,7 +40,7 @@ from residua.llm.common import bounded, components, delete, read, settled, store
 SHINGLE, PERCENT = 4, 85
 SKETCH_BITS, SLICE = 18, 4096
 #: Members of a block, rows of a leaf page of a tree, children of a node.
-BLOCK, PAGE, FAN = 128, 4, 4
+BLOCK, PAGE, FAN = 512, 8, 4
 #: Postings of a shingle that a task holds to tell whether another shingle has the same.
 FOLD = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -538,28 +538,38 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def blocks(t: DataFrame, percent: int) -> DataFrame:
-    """(h, size, cls, comp, n) -> (h, i, j, side, cls, comp): blocks that hold each pair of a group that sizes let link in one of them.
+    """(h, size, cls, comp, n) -> (h, i, j, side, cls, comp): blocks that hold each pair of a group that lies in two components and that sizes let
+    link in one of them.
 
     A group of at most BLOCK members is one block. A larger one is cut into bands of sizes, so that what links lies in one band or in
-    two neighbouring ones, and a band into cells of about BLOCK by hash. Cells of a band are paired with each other and with those of
-    the next band, and a member goes to the blocks of its cell: without its bitmap, which is joined to the blocks' rows.
+    two neighbouring ones, and a band into cells of about BLOCK by hash, those of the group's largest component apart from the others. Cells
+    of others are paired with all cells of their band and the next; cells of the largest component only with those of others, so that
+    a group of near copies that is one component but for a few members costs a row per member and few more. Members go to blocks
+    without their bitmaps, which are joined to the blocks' rows.
     """
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(1.0001 * math.log(100 / min(percent, 99)))).cast("long")
-    t = t.withColumn("band", F.when(F.col("size") > BLOCK, band).otherwise(F.lit(0).cast("long")))
-    t, _ = stored(t, "banded")
-    cells = t.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("cells"))
-    near = cells.select("h", (F.col("band") + 1).alias("band"), F.col("cells").alias("below")), cells.select("h", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
-    cells, _ = stored(cells.join(near[0], ["h", "band"], "left").join(near[1], ["h", "band"], "left").fillna(0, ["below", "above"]), "cells")
-    t = t.join(cells, ["h", "band"]).withColumn("s", F.pmod(F.xxhash64("cls", "h"), F.col("cells")))
-    step = 1 << 40
-
-    def partners(number: str, band_off: int) -> Column:
-        """Cells of this or a neighbouring band, as band * step + cell."""
-        many = F.sequence(F.lit(0).cast("long"), F.greatest(F.col(number) - 1, F.lit(0).cast("long")))
-        return F.when(F.col(number) > 0, F.transform(many, lambda x: (F.col("band") + band_off) * step + x)).otherwise(F.array().cast("array<long>"))
-
-    me = F.col("band") * step + F.col("s")
-    t = t.withColumn("me", me).withColumn("o", F.explode(F.concat(partners("cells", 0), partners("below", -1), partners("above", 1))))
+    large = F.col("size") > BLOCK
+    major = t.filter(large).groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    t = t.withColumn("band", F.when(large, band).otherwise(F.lit(0).cast("long"))).join(major, "h", "left")
+    t, _ = stored(t.withColumn("main", F.coalesce(F.col("comp") == F.col("major"), F.lit(False))).drop("major"), "banded")
+    count = lambda of: F.ceil(F.count_if(of) / BLOCK).cast("long")
+    cells, _ = stored(t.groupBy("h", "band").agg(count(~F.col("main")).alias("others"), count(F.col("main")).alias("mains")), "cells")
+    near = [cells.select("h", (F.col("band") - off).alias("band"), F.col("others").alias(f"others{off}"), F.col("mains").alias(f"mains{off}")) for off in (-1, 1)]
+    t = t.join(cells.join(near[0], ["h", "band"], "left").join(near[1], ["h", "band"], "left").fillna(0), ["h", "band"])
+    step, half = 1 << 40, 1 << 39
+
+    def partners(kind: str) -> list[Column]:
+        """Cells of this and the neighbouring bands, as band * step + cell, those of the largest component from ``half`` on."""
+        out = []
+        for off, number in ((0, kind), (-1, f"{kind}-1"), (1, f"{kind}1")):
+            first = (F.col("band") + off) * step + (half if kind == "mains" else 0)
+            some = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(f"`{number}`") - 1, F.lit(0).cast("long"))), lambda x, first=first: first + x)
+            out.append(F.when(F.col(f"`{number}`") > 0, some).otherwise(F.array().cast("array<long>")))
+        return out
+
+    s = F.pmod(F.xxhash64("cls", "h"), F.greatest(F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")), F.lit(1).cast("long")))
+    t = t.withColumn("me", F.col("band") * step + F.when(F.col("main"), half).otherwise(0) + s)
+    t = t.withColumn("o", F.explode(F.when(F.col("main"), F.concat(*partners("others"))).otherwise(F.concat(*partners("others"), *partners("mains")))))
     side = F.when(F.col("me") == F.col("o"), -1).when(F.col("me") < F.col("o"), 0).otherwise(1)
     return t.select("h", F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"), side.alias("side"), "cls", "comp")
 
