@@ -560,12 +560,13 @@ def blocks(t: DataFrame, percent: int) -> DataFrame:
 
     def partners(kind: str) -> list[Column]:
         """Cells of this and the neighbouring bands, as band * step + cell, those of the largest component from ``half`` on."""
-        out = []
-        for off, number in ((0, kind), (-1, f"{kind}-1"), (1, f"{kind}1")):
+
+        def cells_of(off: int, number: Column) -> Column:
             first = (F.col("band") + off) * step + (half if kind == "mains" else 0)
-            some = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(f"`{number}`") - 1, F.lit(0).cast("long"))), lambda x, first=first: first + x)
-            out.append(F.when(F.col(f"`{number}`") > 0, some).otherwise(F.array().cast("array<long>")))
-        return out
+            some = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(number - 1, F.lit(0).cast("long"))), lambda x: first + x)
+            return F.when(number > 0, some).otherwise(F.array().cast("array<long>"))
+
+        return [cells_of(off, F.col(f"`{kind}{off or ''}`")) for off in (0, -1, 1)]
 
     s = F.pmod(F.xxhash64("cls", "h"), F.greatest(F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")), F.lit(1).cast("long")))
     t = t.withColumn("me", F.col("band") * step + F.when(F.col("main"), half).otherwise(0) + s)
