@@ -26,7 +26,7 @@ HEADER = 44
 RATE = 8000
 #: A dictionary for compressing chunks is trained on the chunks of so many rows, on at most so many chunks (at least LEARN_LEAST, or there
 #: is none), to at most so many bytes.
-LEARN_ROWS, LEARN_CHUNKS, LEARN_LEAST, WORDS = 1000, 2500, 500, 112_640
+LEARN_ROWS, LEARN_CHUNKS, LEARN_LEAST, WORDS = 3000, 8000, 500, 112_640
 #: Level of compression; chunks from this length on are also tried with bz2.
 LEVEL, LONG = 15, 1536
 #: The gear table: 256 numbers drawn from a fixed seed.
@@ -238,7 +238,11 @@ def load(lists: DataFrame, table: DataFrame) -> DataFrame:
         cold = refs.join(F.broadcast(hot), "digest", "left_anti").join(table.hint("merge"), "digest")
         warm = refs.join(F.broadcast(table.join(F.broadcast(hot), "digest")), "digest")
         rows = cold.select("media", "place", "digest", "data").unionByName(warm.select("media", "place", "digest", "data"))
-        return rebuilt(rows.groupBy("media").agg(F.collect_list(F.struct("place", "digest", "data")).alias("chunks")), words)
+        # one binary a chunk moves: its place in four bytes, digest and data
+        one = F.concat(F.unhex(F.lpad(F.hex(F.col("place").cast("long")), 8, "0")), "digest", "data")
+        chunk = lambda b: F.struct(F.conv(F.hex(F.substring(b, 1, 4)), 16, 10).cast("int").alias("place"), F.substring(b, 5, 16).alias("digest"), b.substr(F.lit(21), F.length(b)).alias("data"))
+        lists_ = rows.groupBy("media").agg(F.collect_list(one).alias("chunks"))
+        return rebuilt(lists_.select("media", F.transform("chunks", chunk).alias("chunks")), words)
 
     return settled(spark, make, "media")
 
