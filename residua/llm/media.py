@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ RATE = 8000
 LEARN_ROWS, LEARN_CHUNKS, LEARN_LEAST, WORDS = 3000, 8000, 500, 112_640
 #: Level of compression; chunks from this length on are also tried with bz2.
 LEVEL, LONG = 15, 1536
+#: Media are read back in so many parts, one after the other, so that only a part of the chunks lies beside their table at once.
+PARTS = 2
 #: The gear table: 256 numbers drawn from a fixed seed.
 GEAR = np.random.RandomState(20_240_229).randint(0, 2**63, size=256, dtype=np.int64).astype(np.uint64)
 
@@ -225,16 +228,14 @@ def load(lists: DataFrame, table: DataFrame) -> DataFrame:
     """What each distinct medium reads back as, stored.
 
     Lists are made distinct by medium first, so copies cost nothing. Chunks that over a thousandth of all references name are fewer
-    than a thousand; with at most MOST bytes each, they are broadcast. All others are joined by digest.
+    than a thousand; with at most MOST bytes each, they are broadcast. All others are joined by digest. Media are dealt by hash into PARTS
+    parts, and the shuffled chunks of one are deleted before the next is read.
     """
     spark = lists.sparkSession
     name = lists.select("words").first()
     words = bytes(spark.read.parquet(_words_path(spark, name[0])).first()[0]) if name and name[0] else b""
 
-    def make() -> DataFrame:
-        refs = lists.groupBy("media").agg(F.first("chunks").alias("chunks")).select("media", F.posexplode("chunks").alias("place", "digest"))
-        refs, _ = stored(refs, "references")
-        hot = hot_keys(refs, "digest").select("digest")
+    def part(refs: DataFrame, hot: DataFrame) -> DataFrame:
         cold = refs.join(F.broadcast(hot), "digest", "left_anti").join(table.hint("merge"), "digest")
         warm = refs.join(F.broadcast(table.join(F.broadcast(hot), "digest")), "digest")
         rows = cold.select("media", "place", "digest", "data").unionByName(warm.select("media", "place", "digest", "data"))
@@ -244,6 +245,13 @@ def load(lists: DataFrame, table: DataFrame) -> DataFrame:
         lists_ = rows.groupBy("media").agg(F.collect_list(one).alias("chunks"))
         return rebuilt(lists_.select("media", F.transform("chunks", chunk).alias("chunks")), words)
 
+    def make() -> DataFrame:
+        refs = lists.groupBy("media").agg(F.first("chunks").alias("chunks")).select("media", F.posexplode("chunks").alias("place", "digest"))
+        refs, _ = stored(refs, "references")
+        hot = hot_keys(refs, "digest").select("digest")
+        which = F.pmod(F.xxhash64("media"), F.lit(PARTS))
+        return reduce(DataFrame.unionByName, [stored(part(refs.filter(which == k), hot), "media-part")[0] for k in range(PARTS)])
+
     return settled(spark, make, "media")
 
 
