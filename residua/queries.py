@@ -668,3 +668,6 @@ def structure_checks(spark: SparkSession, d: str) -> DataFrame:
     t = {"entries": atoms.select("entry_id").distinct(), "atoms": atoms, "asym_units": frame(spark, d, "fx_asym"), "entities": frame(spark, d, "fx_types").filter("type <> 'water'")}
     raw = spark.createDataFrame([], "entry_id string, category string, row_ord int, cols map<string,string>")
     return checks.structure(t, raw).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+from residua import file_queries  # noqa: E402, F401  (registers its queries here)

@@ -22,6 +22,7 @@ BULK = ("_atom_site", "_atom_site_anisou")
 #: An optional category is read where it has all of these items, and is as good as absent elsewhere.
 NEEDED = {
     "_entity": ["id", "pdbx_description", "formula_weight", "src_method"],
+    "_entity_poly": ["entity_id", "type", "pdbx_seq_one_letter_code", "pdbx_seq_one_letter_code_can", "pdbx_strand_id"],
     "_struct_conn": ["id", "conn_type_id", *[f"ptnr{k}_{x}" for k in (1, 2) for x in ("label_asym_id", "label_comp_id", "label_seq_id", "label_atom_id", "auth_asym_id", "auth_seq_id", "PDB_ins_code", "symmetry")], "pdbx_dist_value", "details"],
     "_pdbx_struct_assembly": ["id", "details", "method_details", "oligomeric_details", "oligomeric_count"],
     "_struct_conf": ["id", "conf_type_id", *[f"{e}_{x}" for e in ("beg", "end") for x in ("label_asym_id", "label_seq_id", "auth_asym_id", "auth_seq_id")]],
@@ -94,7 +95,7 @@ def parse(text: str, raw_tokens: bool = False) -> tuple[str, list[tuple[str, int
 
 
 def read_rows(files: DataFrame, raw_tokens: bool = False) -> DataFrame:
-    """(path, content) -> (path, entry_id, category, row_ord, cols, code, message); a failed file has one row with a code and no category."""
+    """(path, content) -> (path, entry_id, category, row_ord, cols, code, message); a failed file, or one without atoms, has one row with a code and no category."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("entry_id", pa.string()), ("category", pa.string()), ("row_ord", pa.int32()), ("cols", pa.map_(pa.string(), pa.string())), ("code", pa.string()), ("message", pa.string())])
@@ -105,6 +106,8 @@ def read_rows(files: DataFrame, raw_tokens: bool = False) -> DataFrame:
                     data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                     name, rows = parse(data.decode("utf-8"), raw_tokens)
                     out = [(path, name or stem, c, k, list(r.items()), None, None) for c, k, r in rows]
+                    if all(c != "_atom_site" for c, _, _ in rows):
+                        out = [(path, name or stem, None, None, None, "NO_MODEL", "the structure contains no models")]
                 except (CifError, UnicodeDecodeError, OSError, EOFError) as e:
                     code = "EMPTY_CONTENT" if str(e) == "EMPTY_CONTENT" else "CIF_PARSE_ERROR" if isinstance(e, CifError) else "PARSE_ERROR"
                     out = [(path, stem, None, None, None, code, str(e)[:500])]
@@ -152,21 +155,21 @@ def _partner(k: int) -> Column:
 def _range(extra: list[Column]) -> list[Column]:
     out = ["entry_id", F.col("row_ord").alias("ord"), *extra]
     for p in ("beg", "end"):
-        out += [_val(f"{p}_label_asym_id").alias(f"{p}_label_asym_id"), _int(f"{p}_label_seq_id").alias(f"{p}_label_seq_id"), _val(f"{p}_auth_asym_id").alias(f"{p}_auth_asym_id"), _val(f"{p}_auth_seq_id").alias(f"{p}_auth_seq_id")]
+        out += [F.coalesce(_val(f"{p}_label_asym_id"), F.lit("")).alias(f"{p}_label_asym_id"), _int(f"{p}_label_seq_id").alias(f"{p}_label_seq_id"), _val(f"{p}_auth_asym_id").alias(f"{p}_auth_asym_id"), _val(f"{p}_auth_seq_id").alias(f"{p}_auth_seq_id")]
     return out
 
 
 def tables(rows: DataFrame, model_num: int = 1) -> dict[str, DataFrame]:
     """Typed tables from ``read_rows``. Persist or write ``rows`` first where several of them are used."""
     good = rows.filter("code is null")
-    failed = rows.filter("code is not null").select("entry_id", F.lit("parsing").alias("stage"), "code", F.lit("failed").alias("severity"), "message")
+    failed = rows.filter("code is not null").select("entry_id", F.lit("parsing").alias("stage"), "code", F.lit("error").alias("severity"), "message")
     ids = good.select("entry_id").distinct()
     title = category(good, "_struct").groupBy("entry_id").agg(F.min_by(S.clean(item("title")), "row_ord").alias("title"))
     entries = ids.join(title, "entry_id", "left")
 
     ent = category(good, "_entity").withColumn("id", item("id"))
     ent = ent.groupBy("entry_id", "id").agg(F.max_by("cols", "row_ord").alias("cols"), F.min("row_ord").alias("row_ord"))
-    poly = category(good, "_entity_poly").withColumn("id", item("entity_id")).groupBy("entry_id", "id").agg(F.max_by("cols", "row_ord").alias("p"))
+    poly = has_all(good, "_entity_poly").withColumn("id", item("entity_id")).groupBy("entry_id", "id").agg(F.max_by("cols", "row_ord").alias("p"))
     pv = lambda c: S.null_token(item(c, "p"))
     described = has_all(good, "_entity").select("entry_id").distinct().withColumn("_d", F.lit(True))
     told = lambda c: F.when(F.col("_d"), c)
@@ -208,9 +211,9 @@ def tables(rows: DataFrame, model_num: int = 1) -> dict[str, DataFrame]:
     asym = asym.join(entities.select("entry_id", F.col("id").alias("entity_id"), "entity_ord"), ["entry_id", "entity_id"], "left")
     asym = asym.withColumn("asym_ord", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.col("entity_ord").asc_nulls_last(), "_f"))).select("entry_id", "asym_ord", "id", "entity_id", "auth_id")
 
-    conn = has_all(good, "_struct_conn").select("entry_id", F.col("row_ord").alias("conn_ord"), _val("id").alias("id"), F.coalesce(_val("conn_type_id"), F.lit("covale")).alias("conn_type_id"), _partner(1).alias("ptnr1"), _partner(2).alias("ptnr2"), _num("pdbx_dist_value").alias("dist"), _val("details").alias("details"))
-    conf = has_all(good, "_struct_conf").select(*_range([_val("id").alias("id"), _val("conf_type_id").alias("conf_type_id")]))
-    strands = has_all(good, "_struct_sheet_range").select(*_range([_val("sheet_id").alias("sheet_id"), _val("id").alias("id")]))
+    conn = has_all(good, "_struct_conn").select("entry_id", F.col("row_ord").alias("conn_ord"), item("id").alias("id"), F.coalesce(_val("conn_type_id"), F.lit("covale")).alias("conn_type_id"), _partner(1).alias("ptnr1"), _partner(2).alias("ptnr2"), _num("pdbx_dist_value").alias("dist"), _val("details").alias("details"))
+    conf = has_all(good, "_struct_conf").select(*_range([item("id").alias("id"), F.coalesce(_val("conf_type_id"), F.lit("")).alias("conf_type_id")]))
+    strands = has_all(good, "_struct_sheet_range").select(*_range([item("sheet_id").alias("sheet_id"), item("id").alias("id")]))
 
     gen = category(good, "_pdbx_struct_assembly_gen").select("entry_id", "row_ord", item("assembly_id").alias("id"), F.struct(item("assembly_id").alias("assembly_id"), F.array_join(operators(item("oper_expression")), ",").alias("oper_expression"), F.split(F.regexp_replace(item("asym_id_list"), r"\s", ""), ",").alias("asym_id_list")).alias("g"), operators(item("oper_expression")).alias("names"))
     m = F.array(*[F.array(*[_num(f"matrix[{i}][{j}]") for j in (1, 2, 3)]) for i in (1, 2, 3)])
@@ -222,9 +225,8 @@ def tables(rows: DataFrame, model_num: int = 1) -> dict[str, DataFrame]:
     asm = category(good, "_pdbx_struct_assembly").join(reported, "entry_id", "left").select("entry_id", F.col("row_ord").alias("assembly_ord"), item("id").alias("id"), told(_val("details")).alias("details"), told(_val("method_details")).alias("method_details"), told(_val("oligomeric_details")).alias("oligomeric_details"), told(_int("oligomeric_count")).alias("oligomeric_count"))
     assemblies = asm.join(gens, ["entry_id", "id"], "left").join(used, ["entry_id", "id"], "left")
 
-    no_atoms = ids.join(atoms.select("entry_id").distinct(), "entry_id", "left_anti").select("entry_id", F.lit("parsing").alias("stage"), F.lit("MISSING_ATOM_SITE").alias("code"), F.lit("warning").alias("severity"), F.lit("no atoms").alias("message"))
-    notes = failed.unionByName(no_model).unionByName(no_atoms)
-    status = rows.select("entry_id").distinct().join(notes.groupBy("entry_id").agg(F.max(F.when(F.col("severity") == "failed", 2).otherwise(1)).alias("s")), "entry_id", "left")
+    notes = failed.unionByName(no_model)
+    status = rows.select("entry_id").distinct().join(notes.groupBy("entry_id").agg(F.max(F.when(F.col("severity") == "error", 2).otherwise(1)).alias("s")), "entry_id", "left")
     status = status.select("entry_id", F.when(F.col("s") == 2, "failed").when(F.col("s") == 1, "warning").otherwise("success").alias("status"))
     return {"entries": entries, "entities": entities, "asym_units": asym, "atoms": atoms, "connections": conn, "assemblies": assemblies, "conf_records": conf, "sheet_strands": strands, "raw": good.filter(~F.col("category").isin(*BULK)).select("entry_id", "category", "row_ord", "cols"), "diagnostics": notes, "status": status}
 

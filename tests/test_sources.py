@@ -21,11 +21,14 @@ _entity.src_method
 loop_
 _entity_poly.entity_id
 _entity_poly.type
+_entity_poly.pdbx_seq_one_letter_code
 _entity_poly.pdbx_seq_one_letter_code_can
-1 polypeptide(L)
+_entity_poly.pdbx_strand_id
+1 polypeptide(L) ?
 ;MK
 TA
 ;
+A
 loop_
 _atom_site.group_PDB
 _atom_site.id
@@ -81,8 +84,11 @@ def test_tables(spark, tmp_path):
     (tmp_path / "2abc.cif.gz").write_bytes(gzip.compress(CIF.replace("1ABC", "2ABC").encode()))
     (tmp_path / "bad.cif").write_text("data_bad\nloop_\n_a.b\n_a.c\n1\n")
     (tmp_path / "none.cif").write_text("\n")
+    (tmp_path / "empty.cif").write_text("data_EMPTY\n_struct.title x\n")
     t = cif.read(spark, str(tmp_path))
-    assert {(r["entry_id"], r["status"]) for r in t["status"].collect()} == {("1ABC", "success"), ("2ABC", "success"), ("bad", "failed"), ("none", "failed")}
+    assert {(r["entry_id"], r["status"]) for r in t["status"].collect()} == {("1ABC", "success"), ("2ABC", "success"), ("bad", "failed"), ("none", "failed"), ("EMPTY", "failed")}
+    assert {(r["entry_id"], r["code"], r["severity"]) for r in t["diagnostics"].collect()} == {("bad", "CIF_PARSE_ERROR", "error"), ("none", "EMPTY_CONTENT", "error"), ("EMPTY", "NO_MODEL", "error")}
+    assert {r["entry_id"] for r in t["entries"].collect()} == {"1ABC", "2ABC"}
     a = t["atoms"].filter("entry_id = '1ABC'").orderBy("atom_ord").collect()
     assert [(r["group_pdb"], r["id"], r["label_seq_id"], r["auth_seq_id"], r["label_alt_id"]) for r in a] == [("ATOM", 1, 11, "11", None), ("ATOM", 2, 11, "11B", "A"), ("HETATM", 3, None, "301", None)]
     assert [(r["id"], r["entity_id"]) for r in t["asym_units"].filter("entry_id = '2ABC'").orderBy("asym_ord").collect()] == [("A", "1"), ("B", "2")]
