@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import scalars as S
+from residua.operators.ranking import stored
 
 WATERS = ("HOH", "WAT", "DOD")
 
@@ -203,6 +204,31 @@ def validate(md_entry: DataFrame, fields: Sequence[str]) -> DataFrame:
     return md_entry.select("entry_id", pairs.alias("field")).filter("field is not null").select("entry_id", F.lit("PARTIAL_METADATA").alias("code"), F.lit("warning").alias("severity"), "field")
 
 
+def stale(retrieved: DataFrame, before: str, column: str = "retrieved_at") -> DataFrame:
+    """STALE_METADATA for each entry whose newest row is older than ``before`` (a timestamp as text)."""
+    t = retrieved.groupBy("entry_id").agg(F.max(column).alias("_t")).filter(F.col("_t") < F.lit(before).cast("timestamp"))
+    return t.select("entry_id", F.lit("STALE_METADATA").alias("code"), F.lit("warning").alias("severity"))
+
+
+def lineages(taxa: DataFrame, most_ranks: int = 64) -> DataFrame:
+    """(taxon_id, parent_id, name), roots their own parents or without one -> (taxon_id, lineage): names from the root down to the taxon.
+
+    Each round doubles the stretch of every line that is known, so rounds grow with the logarithm of the depth; state is in written tables.
+    Lines of more than ``most_ranks`` taxa, such as circles, are an error. A parent that isn't there ends the line.
+    """
+    known = stored(taxa.groupBy("taxon_id").agg(F.min("parent_id").alias("up"), F.min("name").alias("name")), "taxa")
+    up = F.when(F.col("up") != F.col("taxon_id"), F.col("up"))
+    t = stored(known.select("taxon_id", up.alias("up"), F.array("name").alias("lineage")), "lines")
+    size = 1
+    while not t.filter("up is not null").isEmpty():
+        if size > most_ranks:
+            raise ValueError(f"a line of more than {most_ranks} taxa")
+        above = t.toDF("up", "then", "before")
+        t = stored(t.join(above, "up", "left").select("taxon_id", F.col("then").alias("up"), F.when(F.col("before").isNull(), F.col("lineage")).otherwise(F.concat("before", "lineage")).alias("lineage")), "lines")
+        size *= 2
+    return t.select("taxon_id", "lineage")
+
+
 def merge_layers(*layers: DataFrame) -> DataFrame:
     out = layers[0]
     for x in layers[1:]:

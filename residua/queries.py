@@ -670,4 +670,4 @@ def structure_checks(spark: SparkSession, d: str) -> DataFrame:
     return checks.structure(t, raw).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-from residua import file_queries  # noqa: E402, F401  (registers its queries here)
+from residua import file_queries, plan_queries  # noqa: E402, F401  (they register their queries here)
