@@ -22,7 +22,7 @@ from residua.plans.policy import Policy, load_policy, policy
 from residua.sources import cif, fetch, sequences
 
 __all__ = [
-    "Structures", "load_policy", "policy", "fetch_mmcif", "fetch_list_mmcif", "mmcif_to_structure", "from_tables", "from_raw_bytes", "canonicalise_structure", "collect_metadata",
+    "Structures", "load_policy", "policy", "fetch_mmcif", "fetch_list_mmcif", "mmcif_to_structure", "from_tables", "from_raw_bytes", "from_parsed_structure", "from_canonical_structures", "from_annotated_structures", "retrieve", "retrieve_lineages", "canonicalise_structure", "collect_metadata",
     "extract_entity_metadata", "extract_entry_metadata", "extract_ligand_metadata", "extract_metadata", "extract_metadata_category", "extract_quality", "extract_taxonomies", "extract_taxonomy",
     "extract_uniprot_mappings", "annotate_chain_interfaces", "annotate_ligand_contacts", "annotate_pairwise_sequence_identity", "annotate_structure_counts", "extract_chain_records",
     "extract_interface_records", "extract_residue_records", "cluster_similar_items", "compute_sequence_similarity", "partition_dataset",
@@ -59,6 +59,38 @@ def from_tables(tables: Mapping[str, DataFrame]) -> Structures:
     return Structures(dict(tables))
 
 
+def from_parsed_structure(tables: Mapping[str, DataFrame], provider: str = "external", source_uri: str | None = None) -> tuple[Structures, DataFrame, DataFrame]:
+    """(structures, provenance, status) of tables that something else has parsed: nothing is fetched, parsed or validated, every entry succeeds."""
+    s = from_tables(tables)
+    none = lambda t: F.lit(None).cast(t)
+    came = s["entries"].select("entry_id", F.lit(provider).alias("provider"), F.lit(source_uri).cast("string").alias("source_uri"), F.lit(False).alias("from_cache"), none("timestamp").alias("retrieved_at"))
+    return s, came, s["entries"].select("entry_id", F.lit("success").alias("status"))
+
+
+def from_canonical_structures(tables: Mapping[str, DataFrame], mappings: Mapping[str, DataFrame] | None = None) -> tuple[Structures, dict[str, DataFrame], Canonical]:
+    """What ``canonicalise_structure`` returns, of tables that are canonical already."""
+    s = from_tables(tables)
+    return s, dict(mappings or {}), Canonical(dict(s.tables), dict(mappings or {}), status=s["entries"].select("entry_id", F.lit("success").alias("status")))
+
+
+def from_annotated_structures(tables: Mapping[str, DataFrame], layers: Mapping[str, DataFrame]) -> tuple[Structures, dict[str, DataFrame]]:
+    """Canonical tables with annotation layers of one's own, each with its name as ``layer_type``."""
+    for name, t in layers.items():
+        if "entry_id" not in t.columns:
+            raise ValueError(f"layer {name} lacks entry_id")
+    return from_tables(tables), {name: t.withColumn("layer_type", F.lit(name)) for name, t in layers.items()}
+
+
+def retrieve(s: Structures, table: DataFrame, required: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entries with the rows of a user's table by entry_id, diagnostics for entries it lacks): archive, UniProt, SIFTS or taxonomy rows."""
+    return M.attach(s["entries"], table, required=required)
+
+
+def retrieve_lineages(taxa: DataFrame) -> DataFrame:
+    """(taxon_id, lineage) from a user's (taxon_id, parent_id, name)."""
+    return M.lineages(taxa)
+
+
 def fetch_list_mmcif(spark: SparkSession, entry_ids: Sequence[str], provider: str, output_dir: str, source_uri: str | None = None, fetch_options: fetch.FetchOptions | None = None, **more) -> DataFrame:
     return fetch.fetch_many(spark, list(entry_ids), output_dir, provider, source_uri, fetch_options, **more)
 

@@ -481,12 +481,6 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.jaccard_pairs(_documents(spark, d)).select("source_id", "target_id", "shared", "size_a", "size_b")
 
 
-@query(_GRAMS + " SELECT * FROM e")
-def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of ``similarity_pairs``: MinHash bands alone miss some of them, so the exact join finds all."""
-    return similarity.jaccard_pairs(_documents(spark, d)).select("source_id", "target_id", "shared", "size_a", "size_b")
-
-
 @query("SELECT least(l_partkey, l_suppkey) AS source_id, greatest(l_partkey, l_suppkey) AS target_id, arg_max(q, (q, -o)) AS score, arg_max(c, (q, -o)) AS coverage FROM (SELECT l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS c, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_partkey <> l_suppkey) GROUP BY 1, 2")
 def best_hits(spark: SparkSession, d: str) -> DataFrame:
     t = frame(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("target"), F.col("l_quantity").cast("double").alias("score"), F.col("l_discount").cast("double").alias("coverage"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"))

@@ -34,6 +34,29 @@ def test_from_files_to_splits(spark, structures):
     assert {r["split"] for r in parts.collect()} == {"train"}
 
 
+def test_later_stages_take_own_tables(spark, structures):
+    (s, _, _), _ = structures
+    again, came, status = api.from_parsed_structure(s.tables, "mine")
+    assert {(r["provider"], r["from_cache"]) for r in came.collect()} == {("mine", False)} and status.filter("status = 'success'").count() == 2
+    done, mappings, out = api.from_canonical_structures(again.tables)
+    assert not mappings and out.status.count() == 2
+    counts = api.annotate_structure_counts(done)
+    _, layers = api.from_annotated_structures(done.tables, {"counts": counts})
+    assert {r["layer_type"] for r in layers["counts"].collect()} == {"counts"}
+    with pytest.raises(ValueError, match="entry_id"):
+        api.from_annotated_structures(done.tables, {"x": counts.drop("entry_id")})
+    more, notes = api.retrieve(done, spark.createDataFrame([("1ABC", "x")], "entry_id string, y string"))
+    assert more.count() == 2 and [(r["entry_id"], r["code"]) for r in notes.collect()] == [("2ABC", "MISSING_METADATA")]
+
+
+def test_lines_of_descent(spark):
+    taxa = spark.createDataFrame([(1, 1, "root"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d"), (5, 4, "e"), (9, 8, "lost")], "taxon_id long, parent_id long, name string")
+    got = {r["taxon_id"]: r["lineage"] for r in api.retrieve_lineages(taxa).collect()}
+    assert got == {1: ["root"], 2: ["root", "b"], 3: ["root", "b", "c"], 4: ["root", "b", "c", "d"], 5: ["root", "b", "c", "d", "e"], 9: ["lost"]}
+    with pytest.raises(ValueError):
+        api.retrieve_lineages(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "taxon_id long, parent_id long, name string"))
+
+
 def test_own_engine_and_inputs(spark):
     def engine(t):
         return t.crossJoin(t.toDF("b", "s")).selectExpr("item_id as query", "b as target", "0.5 as score", "0.4 as coverage", "0L as line_no")

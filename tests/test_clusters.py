@@ -104,12 +104,12 @@ def test_leakage_findings(spark):
     assert {"FORBIDDEN_CROSS_SPLIT_SIMILARITY", "CLUSTER_ISOLATION_VIOLATED", "CROSS_SPLIT_SIMILARITY_ABOVE_THRESHOLD"} <= codes
 
 
-def test_minhash_pairs_finds_all_pairs_at_the_threshold(spark, tmp_path):
+def test_all_pairs_at_the_threshold_are_found(spark, tmp_path):
     rows = []
     for i in range(0, 800, 2):  # 30 grams in common, 15 of either alone: Jaccard 0.5
         shared = [f"s{i}_{k}" for k in range(32)]
         for j in (i, i + 1):
             rows.append((j, " ".join([*shared, *(f"u{j}_{k}" for k in range(15))]), "en", "a", 0))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = Q.minhash_pairs(spark, str(tmp_path)).collect()
+    got = Q.similarity_pairs(spark, str(tmp_path)).collect()
     assert sorted(tuple(x) for x in got) == [(i, i + 1, 30, 45, 45) for i in range(0, 800, 2)]
