@@ -44,6 +44,18 @@ def interface_type(a, b):
     return F.when((x == "protein") | (y == "protein"), F.concat(F.lit("protein_"), other)).otherwise(F.lit("other"))
 
 
+def typed_interfaces(interfaces: DataFrame, asym: DataFrame, entities: DataFrame) -> DataFrame:
+    """Interfaces with ``interface_type``, from the polymer types of both chains' entities; an unknown chain counts as a ligand."""
+    kind = F.col("poly.type") if "poly" in entities.columns else F.col("poly_type")
+    e = entities.select("entry_id", F.col("id").alias("entity_id"), kind.alias("_t"))
+    chains = asym.select("entry_id", F.col("id").alias("_id"), "entity_id").join(e, ["entry_id", "entity_id"]).groupBy("entry_id", "_id").agg(F.min("_t").alias("_t"))
+    t = interfaces
+    for side in "ab":
+        t = t.join(chains.toDF("entry_id", f"chain_{side}", f"_{side}"), ["entry_id", f"chain_{side}"], "left")
+    none = F.lit("")
+    return t.withColumn("interface_type", interface_type(F.coalesce("_a", none), F.coalesce("_b", none))).select(*interfaces.columns, "interface_type")
+
+
 def filter_residues(residues: DataFrame, types: Sequence[str] | None = None, full_backbone: bool = False) -> DataFrame:
     t = residues if types is None else residues.filter(residue_type(F.col("comp_id")).isin(*types))
     if full_backbone:

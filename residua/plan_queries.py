@@ -212,3 +212,35 @@ def scalar_values(spark: SparkSession, d: str) -> DataFrame:
     p = frame(spark, d, "part")
     text = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit("d"))).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 ")))
     return p.select(F.col("p_partkey").alias("id"), S.as_float(text).alias("number"), S.first_value(F.when(F.col("p_size") % 2 == 0, F.lit(" ? ")).otherwise(F.col("p_name")), F.col("p_type")).alias("first"), S.source_url(F.lower("p_type"), "pdb").alias("url"), S.item_id(F.col("p_brand"), F.col("p_type")).alias("item_id"), S.provenance(S.category_name(F.lit("part")), F.col("p_brand"))["category"].alias("category"))
+
+
+@query("WITH " + SPLITS + " SELECT 'p' AS policy_id, '1' AS policy_version, 0.5::DOUBLE AS threshold, '0.3,0.5,0.2' AS fractions, CAST(7 AS BIGINT) AS seed, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, count(DISTINCT cluster_ord) AS n_clusters, "
+    "sha256('[[' || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FILTER (split = 'train') || '],[' || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FILTER (split = 'val') || '],[' || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FILTER (split = 'test') || ']]') AS checksum FROM s")
+def split_provenance(spark: SparkSession, d: str) -> DataFrame:
+    t = datasets.split_provenance(_splits(spark, d), (0.3, 0.5, 0.2), 0.5, "p", "1", 7)
+    return t.withColumn("fractions", F.array_join(F.transform("fractions", lambda x: x.cast("string")), ","))
+
+
+_TYPE = "CASE WHEN {k} % 4 = 0 THEN 'polypeptide(L)' WHEN {k} % 4 = 1 THEN 'polydeoxyribonucleotide' WHEN {k} % 4 = 2 THEN 'polyribonucleotide' END"
+
+
+@query("WITH i AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS entry_id, CAST(l_suppkey AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS b, l_partkey % 7 AS contact_count FROM lineitem), t AS (SELECT entry_id, a, b, " + ", ".join(f"CASE {k} % 4 WHEN 0 THEN 'protein' WHEN 1 THEN 'dna' WHEN 2 THEN 'rna' ELSE 'ligand' END AS k{k}" for k in "ab") + " FROM i WHERE contact_count >= 3), y AS (SELECT entry_id, CAST(a AS VARCHAR) AS chain_a, CAST(b AS VARCHAR) AS chain_b, CASE WHEN ka = 'protein' THEN 'protein_' || kb WHEN kb = 'protein' THEN 'protein_' || ka ELSE 'other' END AS interface_type FROM t) SELECT * FROM y WHERE interface_type IN ('protein_dna', 'protein_protein', 'protein_ligand')")
+def interface_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Interfaces of the wanted types with enough contacts; some chains' entities have no polymer type."""
+    i = frame(spark, d, "lineitem").selectExpr("CAST(l_partkey AS STRING) AS entry_id", "CAST(l_suppkey AS STRING) AS chain_a", "CAST(l_linenumber AS STRING) AS chain_b", "l_partkey % 7 AS contact_count").distinct()
+    asym = i.select("entry_id", F.explode(F.array("chain_a", "chain_b")).alias("id")).distinct().withColumn("entity_id", F.col("id"))
+    entities = asym.selectExpr("entry_id", "id", _TYPE.format(k="CAST(id AS BIGINT)") + " AS poly_type")
+    t = records.filter_interfaces(records.typed_interfaces(i, asym, entities), ["protein_dna", "protein_protein", "protein_ligand"], 3)
+    return t.select("entry_id", "chain_a", "chain_b", "interface_type")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '_' || l_returnflag || '_' || CAST(l_linenumber AS VARCHAR) AS item_id, count(*) AS n FROM lineitem GROUP BY 1")
+def residue_item_ids(spark: SparkSession, d: str) -> DataFrame:
+    t = frame(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_returnflag").alias("chain_id"), F.col("l_linenumber").alias("seq_id"))
+    return datasets.item_ids(t, "residue").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_brand AS item_id, arg_min(p_name, (-len(p_name), p_partkey)) AS sequence FROM part GROUP BY 1")
+def representative_sequences(spark: SparkSession, d: str) -> DataFrame:
+    p = frame(spark, d, "part").select(F.col("p_brand").alias("entry_id"), F.col("p_partkey").alias("chain_ord"), F.col("p_name").alias("sequence"))
+    return datasets.representative_sequences(p)

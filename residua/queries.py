@@ -526,10 +526,8 @@ f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST('' AS VARCHAR) AS split, CAST(0 AS BI
 
 
 def _part_clusters(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = frame(spark, d, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("m"), F.count(F.lit(1)).alias("n_components"), F.sort_array(F.collect_list("p_partkey")).alias("components"))
-    return c.withColumn("cluster_ord", F.row_number().over(Window.orderBy("m"))).select("cluster_ord", "components", "n_components")
+    return similarity.numbered(c, "_n", [F.col("m").asc()]).select((F.col("_n") + 1).cast("int").alias("cluster_ord"), "components", "n_components")
 
 
 @query(_SIZES + " SELECT cluster_ord, n_components, split FROM f WHERE rn > 0")

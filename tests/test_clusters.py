@@ -113,3 +113,17 @@ def test_all_pairs_at_the_threshold_are_found(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = Q.similarity_pairs(spark, str(tmp_path)).collect()
     assert sorted(tuple(x) for x in got) == [(i, i + 1, 30, 45, 45) for i in range(0, 800, 2)]
+
+
+def test_own_clustering(spark):
+    from residua.plans import datasets
+
+    items = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "item_id string, item_ord int")
+    e = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.1)], "source_id string, target_id string, score double")
+
+    def all_as_one(items, strong):
+        assert strong.count() == 1
+        return items.selectExpr("1 as g", "item_id").groupBy("g").agg(F.sort_array(F.collect_list("item_id")).alias("components"), F.count("item_id").alias("n_components")).selectExpr("1 as cluster_ord", "components", "n_components")
+
+    got = datasets.build_leakage_safe(items, e, 0.5, clustering=all_as_one)
+    assert got.splits.select("split").distinct().count() == 1 and got.clusters.count() == 1
