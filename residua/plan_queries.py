@@ -9,7 +9,7 @@ from residua.fixtures import ctes, frame
 from residua.functions import scalars as S
 from residua.operators import checks, curate, metadata, records, similarity, spatial
 from residua.plans import datasets
-from residua.queries import query
+from residua.queries import _raw, query
 from residua.sources import fetch
 
 #: Chains of parts: each part is linked with the next one, with a score from its size.
@@ -244,3 +244,46 @@ def residue_item_ids(spark: SparkSession, d: str) -> DataFrame:
 def representative_sequences(spark: SparkSession, d: str) -> DataFrame:
     p = frame(spark, d, "part").select(F.col("p_brand").alias("entry_id"), F.col("p_partkey").alias("chain_ord"), F.col("p_name").alias("sequence"))
     return datasets.representative_sequences(p)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS entry_id, CASE WHEN c_custkey % 3 <> 0 THEN '2020-01-0' || (c_custkey % 9) END AS deposition_date, (SELECT max(strftime(o_orderdate, '%Y-%m-%d')) FROM orders WHERE o_custkey = c_custkey) AS revision_date, c_mktsegment || '|' || c_nationkey AS keywords, CASE WHEN c_nationkey % 2 = 0 THEN 'P 1' END AS space_group, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey + 0.5::DOUBLE END AS a, 90::DOUBLE AS gamma FROM customer")
+def archive_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Dates, keywords, space group and cell of entries; null tokens and text that isn't a number come out as NULL."""
+    raw = _raw(
+        spark, d,
+        _struct_keywords=("customer", "c_custkey", "0", {"pdbx_keywords": "concat(c_mktsegment, ' , ', c_nationkey)"}),
+        _symmetry=("customer", "c_custkey", "0", {"space_group_name_H-M": "CASE WHEN c_nationkey % 2 = 0 THEN ' P 1 ' ELSE '?' END"}),
+        _cell=("customer", "c_custkey", "0", {"length_a": "CASE WHEN c_custkey % 4 = 0 THEN 'wide' ELSE concat(c_custkey, '.5') END", "angle_gamma": "'90'"}),
+        _pdbx_database_status=("customer", "c_custkey", "0", {"recvd_initial_deposition_date": "CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE concat('2020-01-0', c_custkey % 9) END"}),
+        _pdbx_audit_revision_history=("orders", "o_custkey", "o_orderkey", {"revision_date": "date_format(o_orderdate, 'yyyy-MM-dd')"}),
+    )
+    entries = frame(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("entry_id"))
+    t = checks.archive_metadata(entries, raw)
+    return t.select("entry_id", "deposition_date", "revision_date", F.array_join("keywords", "|").alias("keywords"), "space_group", F.col("unit_cell.a").alias("a"), F.col("unit_cell.gamma").alias("gamma"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS entry_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN '_a,_b' ELSE '_a' END AS categories FROM customer UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), '_b' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def raw_categories(spark: SparkSession, d: str) -> DataFrame:
+    raw = _raw(spark, d, _b=("orders", "o_custkey", "o_orderkey", {"x": "1"}), _a=("customer", "c_custkey", "0", {"x": "1"}))
+    return metadata.categories(raw).select("entry_id", F.array_join("categories", ",").alias("categories"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, l_returnflag AS chain_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ZN' ELSE 'HEM' END AS comp_id FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linenumber HAVING count(*) = 1 AND l_linenumber % 2 = 0 AND l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag) = 1")
+def single_atom_ions(spark: SparkSession, d: str) -> DataFrame:
+    even = F.col("l_linenumber") % 2 == 0
+    t = frame(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("entry_id"), F.when(F.col("l_returnflag") == "R", "HETATM").otherwise("ATOM").alias("group_pdb"), F.col("l_returnflag").alias("label_asym_id"), F.when(even, "ZN").otherwise("HEM").alias("label_comp_id"), F.col("l_linenumber").cast("string").alias("auth_seq_id"), F.when(even, "Zn").otherwise("C").alias("type_symbol"))
+    return checks.single_atom_ions(t)
+
+
+@query(ctes("fx_asym") + ", y AS (SELECT entry_id, id FROM fx_asym UNION ALL SELECT entry_id, id FROM fx_asym WHERE CAST(entry_id AS BIGINT) % 10 = 0 AND id = 'A'), f AS (SELECT 'CANONICAL_CHAIN_ID_COLLISION' AS code, 'error' AS severity, count(*) AS n FROM (SELECT entry_id, id FROM y GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'RESIDUE_NUMBER_COLLISION', 'error', count(*) FROM (SELECT entry_id, label_asym_id, label_seq_id FROM fx_atoms WHERE group_pdb = 'ATOM' AND label_seq_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT label_comp_id) > 1) UNION ALL SELECT 'MAPPING_INCOMPLETE', 'error', count(*) FROM y WHERE CAST(entry_id AS BIGINT) % 3 = 0 UNION ALL SELECT 'EMPTY_CANONICAL_STRUCTURE', 'error', count(DISTINCT o_orderkey) FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT entry_id FROM y) UNION ALL SELECT 'LIGANDS_EXCLUDED', 'warning', count(*) FROM (SELECT entry_id FROM fx_asym WHERE CAST(entry_id AS BIGINT) % 10 <> 0 GROUP BY 1 HAVING bool_or(id = 'R') AND CAST(entry_id AS BIGINT) % 4 = 1)) SELECT * FROM f WHERE n > 0")
+def canonical_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Validation of canonical structures: chains that occur twice, entries without a mapping, without chains, or with fewer chains than before."""
+    from residua.plans.policy import policy
+
+    atoms, asym, number = frame(spark, d, "fx_atoms"), frame(spark, d, "fx_asym"), F.col("entry_id").cast("bigint")
+    before = asym.unionByName(asym.filter((number % 10 != 0) & (number % 4 == 1) & (F.col("id") == "R")))
+    tables = {"entries": frame(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("entry_id")).distinct(), "atoms": atoms, "asym_units": asym.unionByName(asym.filter((number % 10 == 0) & (F.col("id") == "A")))}
+    known = asym.filter(number % 3 != 0).select("entry_id", F.col("id").alias("canonical_chain_id"))
+    rules = policy({"ligand_rules": {"strategy": "filter"}, "provenance_rules": {"record_original_mappings": True}})
+    found = checks.canonical(tables, {"chain_id": known}, {"atoms": atoms, "asym_units": before, "entities": frame(spark, d, "fx_types")}, rules)
+    return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
