@@ -22,7 +22,7 @@ def lines(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["altloc_best_occ_first", "altloc_best_occ_high_b", "altloc_best_occ_last", "altloc_best_occ_low_b", "altloc_mapping"])
+@pytest.mark.parametrize("name", ["altloc_best_occ_first", "altloc_best_occ_high_b", "altloc_best_occ_last", "altloc_best_occ_low_b", "altloc_mapping", "canonical_pipeline"])
 def test_means_are_doubles(spark, lines, name):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{lines}/lineitem.parquet'")
