@@ -17,7 +17,7 @@ def _loop(t: DataFrame, entry: str, order: str, name: str, items: dict[str, str]
     """(entry_id, text): a loop per entry; ``items`` are SQL texts of tokens; ``rename`` is SQL over ``entry_id`` and ``head`` for the tags."""
     head = "".join(f"{name}.{k}\n" for k in items)
     line = "concat_ws(' ', " + ", ".join(f"CAST({v} AS STRING)" for v in items.values()) + ") AS line"
-    g = t.selectExpr(f"CAST({entry} AS STRING) AS entry_id", f"{order} AS o", line).groupBy("entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    g = t.selectExpr(f"CAST({entry} AS STRING) AS entry_id", f"{order} AS o", line).groupBy("entry_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("o", "line")))["line"], "\n").alias("lines"))
     tags = g.withColumn("head", F.lit(head)).withColumn("head", F.expr(rename or "head"))
     return tags.select("entry_id", F.concat(F.lit("loop_\n"), "head", "lines", F.lit("\n")).alias("text"))
 

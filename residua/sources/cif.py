@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,93 +29,175 @@ NEEDED = {
     "_struct_conf": ["id", "conf_type_id", *[f"{e}_{x}" for e in ("beg", "end") for x in ("label_asym_id", "label_seq_id", "auth_asym_id", "auth_seq_id")]],
     "_struct_sheet_range": ["sheet_id", "id", *[f"{e}_{x}" for e in ("beg", "end") for x in ("label_asym_id", "label_seq_id", "auth_asym_id", "auth_seq_id")]],
 }
+#: Items of an atom that the typed table has, each a field of ``site``, with NULL for the tokens . and ?; ``cols`` has the others.
+SITE = ("id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_entity_id", "label_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "auth_seq_id", "auth_comp_id", "auth_asym_id", "auth_atom_id", "pdbx_PDB_model_num")
+#: Rows of a batch from Python to Spark.
+BATCH = 5000
 _TOKEN = re.compile(r"""^;(?P<text>.*?)\n;(?=\s|\Z)|'(?P<one>(?:[^'\n]|'(?=\S))*)'(?=\s|\Z)|"(?P<two>(?:[^"\n]|"(?=\S))*)"(?=\s|\Z)|\#[^\n]*|(?P<bare>[^\s]+)""", re.M | re.S)
+_MARK = re.compile(r"""(?<!\S)['"\#]|^;""", re.M)
+_MARKS = ("'", '"', "#", ";")
+_FIRST = frozenset("_lLdDsS")
+_WORD = re.compile(r"(?i)_|loop_|data_|save_|stop_")
 
 
 class CifError(ValueError):
     """The text isn't a CIF file with one block."""
 
 
-def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """(value, is_bare): quotes, text fields and comments are resolved."""
-    for m in _TOKEN.finditer(text):
+def tokens(text: str, raw_tokens: bool = False) -> tuple[list[str], set[int]]:
+    """(values, places of the quoted ones): quotes, text fields and comments are resolved. What is between them is split at white space."""
+    if not any(m in text for m in _MARKS):
+        return text.split(), set()
+    out: list[str] = []
+    quoted: set[int] = set()
+    at = 0
+    while mark := _MARK.search(text, at):
+        out += text[at : mark.start()].split()
+        m = _TOKEN.match(text, mark.start())
         kind = m.lastgroup
-        if kind == "bare":
-            yield m["bare"], True
-        elif kind:
-            yield m[kind], False
+        if kind:
+            if kind != "bare":
+                quoted.add(len(out))
+            out.append(f"'{m[kind]}'" if raw_tokens and kind != "bare" else m[kind])
+        at = m.end()
+    return out + text[at:].split(), quoted
 
 
-def parse(text: str, raw_tokens: bool = False) -> tuple[str, list[tuple[str, int, dict[str, str]]]]:
-    """(block name, rows): a row is (category, place, items). A loop's rows are its category's; single items make one row, the first of a name wins;
-    a category that is looped again is what its last loop says. ``raw_tokens`` keeps quotes around quoted values.
+def blocks(text: str, raw_tokens: bool = False) -> tuple[str, list[tuple[str, list[str], list[str]]]]:
+    """(block name, categories): a category is (name, its items, values row by row). A loop's rows are its category's; single items make one row, the
+    first of a name wins; a category that is looped again is what its last loop says. ``raw_tokens`` keeps quotes around quoted values.
     """
     if not text.strip():
         raise CifError("EMPTY_CONTENT")
+    values, quoted = tokens(text, raw_tokens)
+    n = len(values)
+    words = [i for i, v in enumerate(values) if v[:1] in _FIRST and _WORD.match(v) and i not in quoted]
+    ends = iter([*words, n])
+    end = next(ends)
     name = None
-    loops: dict[str, list[dict[str, str]]] = {}
+    loops: dict[str, tuple[list[str], list[str]]] = {}
     single: dict[str, dict[str, str]] = {}
-    it = ((f"'{v}'" if raw_tokens and not bare else v, bare) for v, bare in tokens(text))
-    held = next(it, None)
-    while held is not None:
-        v, bare = held
-        low = v.lower() if bare else ""
-        if low.startswith("data_"):
+    i = 0
+    while i < n:
+        v = values[i]
+        low = v[:5].lower() if i not in quoted else ""
+        if low == "data_":
             if name is not None:
                 raise CifError("more than one block")
-            name, held = v[5:], next(it, None)
-        elif low == "loop_":
-            tags, held = [], next(it, None)
-            while held and held[1] and held[0].startswith("_"):
-                tags.append(held[0])
-                held = next(it, None)
-            values: list[str] = []
-            while held and not (held[1] and (held[0].startswith("_") or re.match(r"(?i)(loop_|data_|save_|stop_)", held[0]))):
-                values.append(held[0])
-                held = next(it, None)
-            if not tags or len(values) % len(tags):
-                raise CifError(f"a loop of {len(tags)} items has {len(values)} values")
-            cat = tags[0].partition(".")[0]
-            keys = [t.partition(".")[2] or t for t in tags]
-            loops[cat] = [dict(zip(keys, values[i : i + len(keys)], strict=True)) for i in range(0, len(values), len(keys))]
-        elif bare and v.startswith("_"):
-            nxt = next(it, None)
-            if nxt is None or nxt[1] and nxt[0].startswith("_"):
+            name, i = v[5:], i + 1
+        elif low == "loop_" and len(v) == 5:
+            i += 1
+            first = i
+            while i < n and values[i][:1] == "_" and i not in quoted:
+                i += 1
+            tags, first = values[first:i], i
+            while end < i:
+                end = next(ends)
+            i = end
+            if not tags or (i - first) % len(tags):
+                raise CifError(f"a loop of {len(tags)} items has {i - first} values")
+            loops[tags[0].partition(".")[0]] = [t.partition(".")[2] or t for t in tags], values[first:i]
+        elif low[:1] == "_":
+            if i + 1 == n or values[i + 1][:1] == "_" and i + 1 not in quoted:
                 raise CifError(f"{v} has no value")
             cat, _, key = v.partition(".")
-            single.setdefault(cat, {}).setdefault(key or v, nxt[0])
-            held = next(it, None)
-        elif low.startswith("save_"):
+            single.setdefault(cat, {}).setdefault(key or v, values[i + 1])
+            i += 2
+        elif low == "save_":
             raise CifError("save frames aren't read")
         else:
             raise CifError(f"unexpected value {v[:40]!r}")
     if name is None:
         raise CifError("no data block")
-    rows = [(cat, k, r) for cat, all_ in loops.items() for k, r in enumerate(all_)]
-    return name, rows + [(cat, 0, r) for cat, r in single.items() if cat not in loops]
+    return name, [(cat, *t) for cat, t in loops.items()] + [(cat, list(r), list(r.values())) for cat, r in single.items() if cat not in loops]
+
+
+def parse(text: str, raw_tokens: bool = False) -> tuple[str, list[tuple[str, int, dict[str, str]]]]:
+    """(block name, rows) of ``blocks``: a row is (category, place, items)."""
+    name, all_ = blocks(text, raw_tokens)
+    return name, [(cat, k, dict(zip(keys, values[i : i + len(keys)], strict=True))) for cat, keys, values in all_ for k, i in enumerate(range(0, len(values), len(keys)))]
+
+
+class _Rows:
+    """Rows of many files, column by column, until they make a batch."""
+
+    def __init__(self) -> None:
+        self.head: list[list] = [[], [], [], [], [], []]
+        self.ends: list[int | None] = []
+        self.keys: list[str] = []
+        self.values: list[str] = []
+        self.site: list[list[str | None]] = [[] for _ in SITE]
+
+    def add(self, n: int, path: str, entry: str, cat: str | None, first: int | None, code: str | None = None, message: str | None = None) -> None:
+        for c, v in zip(self.head, (path, entry, cat, None, code, message), strict=True):
+            c += [v] * n
+        if first is not None:
+            self.head[3][-n:] = range(first, first + n)
+
+    def category(self, path: str, entry: str, cat: str, keys: list[str], values: list[str]) -> Iterator[pa.RecordBatch]:
+        width = len(keys)
+        place = {k: j for j, k in enumerate(keys)}
+        taken = [place.pop(k, None) if cat == "_atom_site" else None for k in SITE]
+        for first in range(0, len(values) // width, BATCH):
+            some = values[first * width : (first + BATCH) * width]
+            n = len(some) // width
+            self.add(n, path, entry, cat, first)
+            for c, j in zip(self.site, taken, strict=True):
+                c += [None] * n if j is None else some[j::width]
+            if place:
+                at = len(self.keys)
+                self.ends += range(at, at + n * len(place), len(place))
+                self.keys += list(place) * n
+                self.values += some if len(place) == width else [some[i + j] for i in range(0, len(some), width) for j in place.values()]
+            else:
+                self.ends += [None] * n
+            if len(self.ends) >= BATCH:
+                yield self.batch()
+
+    def failed(self, path: str, entry: str, code: str, message: str) -> None:
+        self.add(1, path, entry, None, None, code, message)
+        self.ends.append(None)
+        for c in self.site:
+            c.append(None)
+
+    def batch(self) -> pa.RecordBatch:
+        text = pa.string()
+        path, entry, cat, order, code, message = self.head
+        cols = pa.MapArray.from_arrays(pa.array([*self.ends, len(self.keys)], pa.int32()), pa.array(self.keys, text), pa.array(self.values, text))
+        plain = [pa.array(c, text) for c in self.site]
+        site = pa.StructArray.from_arrays([pc.if_else(pc.is_in(c, pa.array([".", "?"])), None, c) for c in plain], names=list(SITE))
+        arrays = [pa.array(path, text), pa.array(entry, text), pa.array(cat, text), pa.array(order, pa.int32()), cols, pa.array(code, text), pa.array(message, text), site]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(arrays, names=["path", "entry_id", "category", "row_ord", "cols", "code", "message", "site"])
 
 
 def read_rows(files: DataFrame, raw_tokens: bool = False) -> DataFrame:
-    """(path, content) -> (path, entry_id, category, row_ord, cols, code, message); a failed file, or one without atoms, has one row with a code and no category."""
+    """(path, content) -> (path, entry_id, category, row_ord, cols, code, message, site); a failed file, or one without atoms, has one row with a code and no category."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("entry_id", pa.string()), ("category", pa.string()), ("row_ord", pa.int32()), ("cols", pa.map_(pa.string(), pa.string())), ("code", pa.string()), ("message", pa.string())])
+        rows = _Rows()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 stem = re.sub(r"(\.cif)?(\.gz)?$", "", path.rsplit("/", 1)[-1])
                 try:
                     data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                    name, rows = parse(data.decode("utf-8"), raw_tokens)
-                    out = [(path, name or stem, c, k, list(r.items()), None, None) for c, k, r in rows]
-                    if all(c != "_atom_site" for c, _, _ in rows):
-                        out = [(path, name or stem, None, None, None, "NO_MODEL", "the structure contains no models")]
+                    name, all_ = blocks(data.decode("utf-8"), raw_tokens)
                 except (CifError, UnicodeDecodeError, OSError, EOFError) as e:
                     code = "EMPTY_CONTENT" if str(e) == "EMPTY_CONTENT" else "CIF_PARSE_ERROR" if isinstance(e, CifError) else "PARSE_ERROR"
-                    out = [(path, stem, None, None, None, code, str(e)[:500])]
-                for k in range(0, len(out), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[k : k + 5000], strict=True), schema.types, strict=True)], schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, "path string, entry_id string, category string, row_ord int, cols map<string,string>, code string, message string")
+                    rows.failed(path, stem, code, str(e)[:500])
+                else:
+                    if any(c == "_atom_site" and values for c, _, values in all_):
+                        for cat, keys, values in all_:
+                            yield from rows.category(path, name or stem, cat, keys, values)
+                    else:
+                        rows.failed(path, name or stem, "NO_MODEL", "the structure contains no models")
+                if len(rows.ends) >= BATCH:
+                    yield rows.batch()
+        if rows.ends:
+            yield rows.batch()
+
+    site = ",".join(f"{c}:string" for c in SITE)
+    return files.select("path", "content").mapInArrow(run, f"path string, entry_id string, category string, row_ord int, cols map<string,string>, code string, message string, site struct<{site}>")
 
 
 def read(spark: SparkSession, path: str | list[str], model_num: int = 1, raw_tokens: bool = False) -> dict[str, DataFrame]:
@@ -176,35 +259,61 @@ def tables(rows: DataFrame, model_num: int = 1) -> dict[str, DataFrame]:
     entities = ent.join(described, "entry_id", "left").join(poly, ["entry_id", "id"], "left").select("entry_id", F.row_number().over(Window.partitionBy("entry_id").orderBy("row_ord")).alias("entity_ord"), "id", F.coalesce(_val("type"), F.lit("non-polymer")).alias("type"), told(_val("pdbx_description")).alias("pdbx_description"), told(_num("formula_weight")).alias("formula_weight"), told(_val("src_method")).alias("src_method"), F.when(F.col("p").isNotNull(), F.struct(pv("type").alias("type"), S.clean_sequence(pv("pdbx_seq_one_letter_code")).alias("seq"), S.clean_sequence(pv("pdbx_seq_one_letter_code_can")).alias("seq_can"), pv("pdbx_strand_id").alias("strand_id"))).alias("poly"))
     entities = entities.withColumn("seq_can", F.coalesce("poly.seq_can", "poly.seq"))
 
-    site = category(good, "_atom_site").withColumn("model_num", F.coalesce(_int("pdbx_PDB_model_num"), F.lit(1)))
-    chosen = site.groupBy("entry_id").agg(F.bool_or(F.col("model_num") == model_num).alias("has"), F.min_by("model_num", "row_ord").alias("first"))
+    # Atoms are moved once, by entry, as typed columns and not as maps; model, place and kind are found where they then are. Each item is named
+    # once in an expression: code that repeats them outgrows what the JVM compiles (8000 bytes a method) and is interpreted.
+    site = good.filter(F.col("category") == "_atom_site").select("entry_id", "row_ord", "site.*")
+    whole_number = lambda c, t: F.regexp_extract(c, r"^([+-]?[0-9]+)(?:\r\n|\n|\r)?\z", 1).try_cast(t)
+    number = lambda c: F.regexp_extract(c, rf"^[{S.SPACE}]*({S.NUMBER})[{S.SPACE}]*\z", 1).try_cast("double")
+    auth = F.coalesce("auth_seq_id", "label_seq_id")
+    site = site.select(
+        "entry_id",
+        "row_ord",
+        F.coalesce(whole_number("pdbx_PDB_model_num", "int"), F.lit(1)).alias("model_num"),
+        whole_number("id", "int").cast("bigint").alias("id"),
+        "type_symbol",
+        "label_atom_id",
+        "label_alt_id",
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("label_comp_id", "label_asym_id", "label_entity_id")],
+        auth.alias("_auth"),
+        F.col("pdbx_PDB_ins_code").alias("ins_code"),
+        *[number(c).alias(to) for c, to in (("Cartn_x", "x"), ("Cartn_y", "y"), ("Cartn_z", "z"), ("occupancy", "occupancy"), ("B_iso_or_equiv", "b_iso"))],
+        "auth_comp_id",
+        "auth_asym_id",
+        "auth_atom_id",
+    )
+    chosen = site.groupBy("entry_id").agg(F.bool_or(F.col("model_num") == model_num).alias("has"))
     no_model = chosen.filter(~F.col("has")).select("entry_id", F.lit("parsing").alias("stage"), F.lit("MODEL_NOT_FOUND").alias("code"), F.lit("warning").alias("severity"), F.lit(f"model {model_num} isn't there").alias("message"))
-    site = site.join(chosen.select("entry_id", F.when(F.col("has"), F.lit(model_num)).otherwise(F.col("first")).alias("model_num")), ["entry_id", "model_num"])
-    kinds = entities.select("entry_id", F.col("id").alias("label_entity_id"), F.col("type").alias("_type"))
-    ins, auth = _blank(_val("pdbx_PDB_ins_code")), F.coalesce(_val("auth_seq_id"), _val("label_seq_id"))
-    atoms = site.withColumn("label_entity_id", F.coalesce(_val("label_entity_id"), F.lit(""))).join(kinds, ["entry_id", "label_entity_id"], "left").select(
+    ordered = Window.partitionBy("entry_id").orderBy("row_ord")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    site = site.withColumns({"_has": F.max(F.col("model_num") == model_num).over(whole), "_first": F.first("model_num").over(whole)})
+    site = site.filter(F.col("model_num") == F.when(F.col("_has"), F.lit(model_num)).otherwise(F.col("_first"))).withColumn("atom_ord", F.row_number().over(ordered).cast("bigint"))
+    kinds = category(good, "_entity").select("entry_id", item("id").alias("id"), "row_ord", _val("type").alias("type")).filter("id is not null").repartition("entry_id")
+    kinds = kinds.groupBy("entry_id", "id").agg(F.max_by(F.struct("type"), "row_ord")["type"].alias("type"))
+    kinds = kinds.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("type", F.lit("non-polymer"))))).alias("_kinds"))
+    ins = _blank(F.col("ins_code"))
+    atoms = site.join(kinds, "entry_id", "left").withColumn("_polymer", F.coalesce(F.try_element_at("_kinds", "label_entity_id") == "polymer", F.lit(False))).select(
         "entry_id",
-        F.row_number().over(Window.partitionBy("entry_id").orderBy("row_ord")).cast("bigint").alias("atom_ord"),
-        F.when(F.col("_type") == "polymer", "ATOM").otherwise("HETATM").alias("group_pdb"),
-        _int("id").cast("bigint").alias("id"),
-        _val("type_symbol").alias("type_symbol"),
-        _val("label_atom_id").alias("label_atom_id"),
-        _blank(_val("label_alt_id")).alias("label_alt_id"),
-        F.coalesce(_val("label_comp_id"), F.lit("")).alias("label_comp_id"),
-        F.coalesce(_val("label_asym_id"), F.lit("")).alias("label_asym_id"),
+        "atom_ord",
+        F.when(F.col("_polymer"), "ATOM").otherwise("HETATM").alias("group_pdb"),
+        "id",
+        "type_symbol",
+        "label_atom_id",
+        _blank(F.col("label_alt_id")).alias("label_alt_id"),
+        "label_comp_id",
+        "label_asym_id",
         "label_entity_id",
-        F.when(F.col("_type") == "polymer", auth.try_cast("int")).alias("label_seq_id"),
+        F.when(F.col("_polymer"), F.col("_auth").try_cast("int")).alias("label_seq_id"),
         ins.alias("ins_code"),
-        _num("Cartn_x").alias("x"),
-        _num("Cartn_y").alias("y"),
-        _num("Cartn_z").alias("z"),
-        _num("occupancy").alias("occupancy"),
-        _num("B_iso_or_equiv").alias("b_iso"),
-        F.concat(auth, F.coalesce(ins, F.lit(""))).alias("auth_seq_id"),
-        _val("auth_comp_id").alias("auth_comp_id"),
-        _val("auth_asym_id").alias("auth_asym_id"),
-        _val("auth_atom_id").alias("auth_atom_id"),
-        F.col("model_num"),
+        "x",
+        "y",
+        "z",
+        "occupancy",
+        "b_iso",
+        F.concat("_auth", F.coalesce(ins, F.lit(""))).alias("auth_seq_id"),
+        "auth_comp_id",
+        "auth_asym_id",
+        "auth_atom_id",
+        "model_num",
     )
     atoms = atoms.withColumn("id", F.when(F.col("id") > 0, F.col("id")).otherwise(F.col("atom_ord")))
     asym = atoms.groupBy("entry_id", F.col("label_asym_id").alias("id")).agg(F.min_by("label_entity_id", "atom_ord").alias("entity_id"), F.min_by("auth_asym_id", "atom_ord").alias("auth_id"), F.min("atom_ord").alias("_f"))

@@ -170,3 +170,15 @@ def test_artifact(spark, tmp_path):
     one, two = (datasets.build_artifact(str(tmp_path / str(k)), splits, {"providers": ["pdbe"]}, ["p"], {"engine": "1"}, 3) for k in (1, 2))
     assert one == two and spark.read.parquet(str(tmp_path / "1" / "splits")).count() == 3
     assert store.digest({"b": 1, "a": 2}) == store.digest({"a": 2, "b": 1})
+
+
+def test_atoms_move_once(spark, tmp_path):
+    """Atoms are moved by entry as typed columns, once; kinds once too. Items that the table lacks stay in ``cols``."""
+    for i in range(3):
+        (tmp_path / f"{i}.cif").write_text(CIF.replace("1ABC", f"E{i}"))
+    rows = cif.read_rows(spark.read.format("binaryFile").load(str(tmp_path)))
+    atoms = cif.tables(rows)["atoms"]
+    assert atoms._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert [(r["id"], r["x"], r["label_alt_id"], r["model_num"]) for r in atoms.filter("entry_id = 'E2'").orderBy("atom_ord").collect()] == [(1, 1.0, None, 1), (2, 1.0, "A", 1), (3, 4.0, None, 1)]
+    got = rows.filter("category = '_atom_site' and entry_id = 'E0'").orderBy("row_ord").select("cols", "site.label_alt_id", "site.label_seq_id").collect()
+    assert [tuple(r) for r in got] == [({"group_PDB": g}, alt, seq) for g, alt, seq in (("ATOM", None, "1"), ("ATOM", "A", "1"), ("HETATM", None, None), ("ATOM", None, "1"))]
